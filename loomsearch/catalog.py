@@ -23,15 +23,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loomsearch.plans import text_queries
-
-    return text_queries.bm25_topk(spark, sf_dir)
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top documents for a batch of queries by BM25."""
+    return queries()["bm25_topk"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
+    from loomsearch.plans import behaviour_queries, page_queries, text_queries  # noqa: F401  they register themselves
+
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return _SQL

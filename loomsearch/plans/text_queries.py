@@ -1,2 +1,205 @@
+"""Registered queries: text, retrieval, fusion, snippets, vectors, deduplication."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from loomsearch.catalog import query
+from loomsearch.functions import text as X
+from loomsearch.operators import dedup, retrieval, vectors
+from loomsearch.sources.tables import load
+
+TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '' AND strlen(x) < 40)"
+WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
+#: Queries of the benchmark: id and text.
+ASKED = ((1, "the and tion"), (2, "der die und"), (3, "que las"), (4, "idiot clown that"), (5, "licensed license version"))
+ASKED_SQL = "(VALUES " + ", ".join(f"({i}::BIGINT, '{t}')" for i, t in ASKED) + ") q(query_id, text)"
+
+
+def asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ASKED, "query_id long, text string")
+
+
+def tokens_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.field_tokens(load(spark, sf_dir, "documents"), ["text"])
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY term")
+def tok_terms(spark, sf_dir):
+    return retrieval.postings(tokens_of(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@query(f"SELECT 'text' AS field, count(*) AS n_docs, round(avg(len(t)), 6) AS avg_len FROM (SELECT {TOKENS} AS t FROM documents)")
+def field_stats(spark, sf_dir):
+    return retrieval.field_stats(tokens_of(spark, sf_dir)).select("field", "n_docs", F.round("avg_len", 6).alias("avg_len"))
+
+
+BM25_SQL = f"""
+    WITH t AS (SELECT doc_id, {TOKENS} AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS a FROM t),
+    q AS (SELECT DISTINCT query_id, unnest({TOKENS}) AS term FROM {ASKED_SQL}),
+    p AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM t) GROUP BY ALL),
+    m AS (SELECT * FROM p SEMI JOIN q USING (term)), d AS (SELECT term, count(*) AS df FROM m GROUP BY term),
+    s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * len / a))) AS score FROM m JOIN d USING (term) JOIN q USING (term), n GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)"""
+
+
+def _bm25(spark, sf_dir) -> DataFrame:
+    terms = asked(spark).select("query_id", X.index_tokens(F.col("text")).alias("terms"))
+    return retrieval.search(tokens_of(spark, sf_dir), terms).withColumn("score", F.round("score", 9))
+
+
+@query(BM25_SQL + " SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 20")
 def bm25_topk(spark, sf_dir):
-    return spark.range(1)
+    return retrieval.top(_bm25(spark, sf_dir), 20).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(BM25_SQL + " SELECT query_id, doc_id, rank::INT AS rank, (SELECT count(*) FROM r x WHERE x.query_id = r.query_id AND x.rank <= 15) AS total_hits FROM r WHERE rank > 10 AND rank <= 15")
+def bm25_page(spark, sf_dir):
+    return retrieval.top(_bm25(spark, sf_dir), 5, offset=10).select("query_id", "doc_id", "rank", "total_hits")
+
+
+@query(BM25_SQL + f""", l AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY len DESC, doc_id) AS rank FROM s JOIN (SELECT doc_id, len(w) AS len FROM t) USING (doc_id)),
+    u AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS part FROM r WHERE rank <= 100 UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM l WHERE rank <= 100),
+    f AS (SELECT query_id, doc_id, sum(part) AS score FROM u GROUP BY ALL)
+    SELECT query_id, doc_id, round(score, 6) AS score FROM f""")
+def rrf_fusion(spark, sf_dir):
+    """BM25 and length order of the same matches, fused."""
+    scored = _bm25(spark, sf_dir)
+    size = retrieval.lengths(tokens_of(spark, sf_dir)).select("doc_id", "len")
+    by_length = scored.join(size, "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("len"), "doc_id"))).where("rank <= 100")
+    return retrieval.fuse([retrieval.top(scored, 100), by_length]).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(r"""
+    WITH p AS (SELECT page_id AS doc_id, trim(regexp_split_to_array(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[-|—–]')[1]) AS title, regexp_replace(html, '<[^>]*>', ' ', 'g') AS body, url AS url_tokens FROM pages),
+    t AS (SELECT doc_id, field, list_filter(regexp_split_to_array(lower(x), '[^\p{L}\p{N}]+'), lambda x: x <> '' AND strlen(x) < 40) AS w, boost
+          FROM (SELECT doc_id, 'title' AS field, title AS x, 5.0 AS boost FROM p UNION ALL SELECT doc_id, 'body', body, 1.0 FROM p UNION ALL SELECT doc_id, 'url_tokens', url_tokens, 2.0 FROM p)),
+    n AS (SELECT field, count(*) AS n, avg(len(w)) AS a FROM t GROUP BY field),
+    m AS (SELECT field, doc_id, boost, len, term, count(*) AS tf FROM (SELECT field, doc_id, boost, len(w) AS len, unnest(w) AS term FROM t) WHERE term IN ('the', 'die', 'example', 'then') GROUP BY ALL),
+    d AS (SELECT field, term, count(*) AS df FROM m GROUP BY ALL),
+    s AS (SELECT doc_id, sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * len / a))) AS score FROM m JOIN d USING (field, term) JOIN n USING (field) GROUP BY doc_id)
+    SELECT 1::BIGINT AS query_id, doc_id, round(score, 6) AS score FROM s""")
+def bm25_multi_field(spark, sf_dir):
+    from loomsearch.operators.parse import title_of
+
+    docs = load(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), title_of(F.col("html")).alias("title"), F.regexp_replace("html", "<[^>]*>", " ").alias("body"), F.col("url").alias("url_tokens"))
+    terms = spark.createDataFrame([(1, ["the", "die", "example", "then"])], "query_id long, terms array<string>")
+    out = retrieval.search(retrieval.field_tokens(docs, ["title", "body", "url_tokens"]), terms, retrieval.BOOSTS)
+    return out.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, ' ' || array_to_string({TOKENS}, ' ') || ' ' AS t FROM documents) WHERE contains(t, ' of the ')")
+def phrase_search(spark, sf_dir):
+    return retrieval.phrase(tokens_of(spark, sf_dir), ["of", "the"], ["text"])
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, ' ' || array_to_string({TOKENS}, ' ') || ' ' AS t FROM documents) WHERE contains(t, ' of the ') AND (contains(t, ' idiot ') OR contains(t, ' version ')) AND NOT contains(t, ' scum ')")
+def boolean_search(spark, sf_dir):
+    return retrieval.boolean(tokens_of(spark, sf_dir), '"of the" AND (idiot OR version) AND NOT scum', ["text"])
+
+
+@query("SELECT doc_id, n_sentences::INT AS n_sentences, sentences FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda x: trim(x, ' ')), lambda x: strlen(x) > 10) AS s, len(s) AS n_sentences, md5(array_to_string(s, '|')) AS sentences FROM documents)")
+def sentences(spark, sf_dir):
+    own = load(spark, sf_dir, "documents").select("doc_id", X.sentences(F.col("text")).alias("s"))
+    return own.select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "|").cast("binary")).alias("sentences"))
+
+
+@query()
+def snippets(spark, sf_dir):
+    """Snippets of the best ten documents of each query."""
+    best = retrieval.top(_bm25(spark, sf_dir), 10).join(asked(spark), "query_id")
+    return best.join(load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")), "doc_id").select("query_id", "doc_id", "rank", X.snippet("body", "text").alias("snippet"))
+
+
+@query(r"""SELECT doc_id, replace(replace(replace(replace(substr(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped,
+    replace(replace(replace(substr(text, 1, 200), ' ', '+'), '&', '%26'), '#', '%23') AS url_escaped, upper(substr(text, 1, 1)) || substr(text, 2, 199) AS capital FROM documents""")
+def escapes(spark, sf_dir):
+    own = F.substring("text", 1, 200)
+    return load(spark, sf_dir, "documents").select("doc_id", X.html_escape(own).alias("escaped"), X.url_escape(own).alias("url_escaped"), X.capitalise(own).alias("capital"))
+
+
+@query(f"SELECT doc_id, len({WORDS})::INT AS word_count, len({WORDS}) >= 20 AS indexable FROM documents")
+def word_counts(spark, sf_dir):
+    own = load(spark, sf_dir, "documents").select("doc_id", X.word_count(F.col("text")).alias("word_count"))
+    return own.withColumn("indexable", F.col("word_count") >= 20)
+
+
+@query()
+def model_tokens(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", X.model_tokens(64)("text").alias("ids"))
+
+
+@query()
+def pair_tokens(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", X.pair_tokens()(F.substring("text", 1, 100), "text").alias("x")).select("doc_id", "x.*")
+
+
+@query()
+def linguistic_terms(spark, sf_dir):
+    """Document frequencies of stemmed terms."""
+    own = load(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(F.array_distinct(X.linguistic_tokens("text"))).alias("term"))
+    return own.groupBy("term").agg(F.count("*").alias("df"))
+
+
+HASHED = r"('0x' || substr(md5(w), 1, 15))::BIGINT"
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest({WORDS}) AS w FROM documents), h AS (SELECT doc_id, {HASHED} AS h FROM t),
+    v AS (SELECT doc_id, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM h, range(60) r(b) GROUP BY ALL),
+    s AS (SELECT doc_id, sum(CASE WHEN v > 0 THEN 1::BIGINT << b ELSE 0 END)::BIGINT AS simhash FROM v GROUP BY doc_id)
+    SELECT doc_id, coalesce(simhash, 0) AS simhash FROM documents LEFT JOIN s USING (doc_id)""")
+def simhash_doc(spark, sf_dir):
+    return dedup.simhash(load(spark, sf_dir, "documents"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest({WORDS}) AS w FROM documents), h AS (SELECT doc_id, {HASHED} AS h FROM t),
+    v AS (SELECT doc_id, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM h, range(60) r(b) GROUP BY ALL),
+    s AS (SELECT DISTINCT sum(CASE WHEN v > 0 THEN 1::BIGINT << b ELSE 0 END)::BIGINT AS simhash FROM v GROUP BY doc_id)
+    SELECT x.simhash AS a, y.simhash AS b, bit_count(xor(x.simhash, y.simhash))::INT AS distance FROM s x JOIN s y ON x.simhash < y.simhash AND bit_count(xor(x.simhash, y.simhash)) <= 3""")
+def near_dup_pairs(spark, sf_dir):
+    return dedup.near_pairs(dedup.simhash(load(spark, sf_dir, "documents")))
+
+
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1")
+def exact_dup(spark, sf_dir):
+    own = load(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return dedup.first_of_each(own, "text_md5", [F.col("doc_id")])
+
+
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def url_upsert_latest(spark, sf_dir):
+    """Events as upserts with the user as key."""
+    return dedup.latest(load(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type", "value")
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0),
+    s AS (SELECT query_id, vec_id, list_cosine_similarity(qv::DOUBLE[], embedding::DOUBLE[]) AS similarity FROM q, embeddings),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS rank FROM s)
+    SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank::INT AS rank FROM r WHERE rank <= 10""")
+def cosine_topk(spark, sf_dir):
+    """Searches for every vector whose id is divisible by 50, against all vectors."""
+    own = load(spark, sf_dir, "embeddings")
+    asked_ = own.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    return vectors.exact_top(own, asked_, 10).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("int").alias("rank"))
+
+
+@query()
+def ann_lsh(spark, sf_dir):
+    own = load(spark, sf_dir, "embeddings")
+    asked_ = own.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    return vectors.lsh_top(own, asked_, 10)
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS unit_sum FROM embeddings")
+def vector_normalise(spark, sf_dir):
+    own = load(spark, sf_dir, "embeddings")
+    total = F.aggregate(X.l2_normalise(F.col("embedding")), F.lit(0.0), lambda a, x: a + x)
+    return own.select("vec_id", F.round(X.l2_norm(F.col("embedding")), 4).alias("norm"), F.round(total, 4).alias("unit_sum"))
+
+
+@query()
+def embed_passages(spark, sf_dir):
+    own = load(spark, sf_dir, "documents").select("doc_id", vectors.passage(F.col("source"), F.col("text")).alias("passage"))
+    return vectors.non_zero(own.select("doc_id", vectors.embed(vectors.hashed_features)("passage").alias("vec")))
