@@ -135,9 +135,9 @@ def leaks(t: Template, own: Bench) -> list[list[dict]]:
         hit = np.flatnonzero(at >= 0)
         found.append(start[hit])
         place.append(at[hit])
-    start, place = np.concatenate(found), np.concatenate(place)
-    if not len(start):
+    if not any(map(len, found)):
         return out
+    start, place = np.concatenate(found), np.concatenate(place)
     times = own.first[place + 1] - own.first[place]
     which = np.repeat(own.first[place] - np.cumsum(times) + times, times) + np.arange(times.sum())
     start = np.repeat(start, times)

@@ -238,6 +238,7 @@ def score(docs: DataFrame, held_out: Column | None = None, order: int = ORDER, s
     frequent = collect_bounded(words.where(F.col("n") * F.lit(word_share) >= F.lit(tokens)), word_share)
     codes, times = frequent.column("code").to_numpy(), frequent.column("n").to_numpy()
     known_words = spark.sparkContext.broadcast((CodeTable(codes), times))
+    end_n = int((words.where(F.col("code") == F.lit(int(END_WORD))).first() or (0, 0))[1])
     unit = float(np.log10(tokens + 0.5 * (distinct + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,10 +260,8 @@ def score(docs: DataFrame, held_out: Column | None = None, order: int = ORDER, s
             row = own.row_of
             common = at[word] >= 0
             n = len(texts)
-            end_at = table.find(np.array([END_WORD]))[0]
-            end_n = int(times[end_at]) if end_at >= 0 else 0
             logs = np.log10(seen + 0.5)
-            base = np.bincount(row[common], weights=logs[word[common]], minlength=n) + (np.log10(end_n + 0.5) if end_at >= 0 or not len(times) else 0.0)
+            base = np.bincount(row[common], weights=logs[word[common]], minlength=n) + np.log10(end_n + 0.5)
             sure = np.bincount(row[common], minlength=n) + (end_n > 0)
             rest = ~common
             size = np.bincount(row[rest], minlength=n)
