@@ -34,6 +34,8 @@ TERMS = 2_048
 LEAST_G2 = 24.0
 NEIGHBOURS = 25
 BLOCK = 64
+#: Blocks looked at in the first step; each later step takes twice as many of those still possible.
+FIRST_BLOCKS = 8
 SHRINK = 2.0
 THRESHOLD = 0.3
 EVIDENCE = 3
@@ -83,28 +85,41 @@ class Index:
         w = (1 + np.log(times)) * self.idf[term]
         return w / np.sqrt((w * w).sum())
 
+    def cosines(self, term: np.ndarray, own: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines with the vectors of these blocks, one block after the other."""
+        cell = term[:, None] * self.blocks + blocks
+        first = self.bounds[cell]
+        length = self.bounds[cell + 1] - first
+        ends = np.cumsum(length.reshape(-1))
+        posting = np.arange(ends[-1]) + np.repeat(first.reshape(-1) - ends + length.reshape(-1), length.reshape(-1))
+        slot = np.repeat(np.tile(np.arange(len(blocks)), len(term)), length.reshape(-1)) * BLOCK + self.vector[posting] % BLOCK
+        return np.bincount(slot, np.repeat(own, length.sum(1)) * self.weight[posting], len(blocks) * BLOCK)
+
     def nearest(self, term: np.ndarray, times: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The vectors of at least k examples with the greatest cosines, ties at the end included, and their cosines."""
         own = self.weights(term, times)
         bound = own @ self.highest[term]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         votes = self.positive + self.negative
         found, cosines, reached = np.zeros(0, np.int64), np.zeros(0), -1.0
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or bound[block] < reached - 1e-12:
+        at, step = 0, FIRST_BLOCKS
+        while at < len(order):
+            live = order[at : at + step]
+            live = live[bound[live] >= reached - 1e-12]
+            if not len(live):  # bounds descend: no later block can hold a nearer example
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(term, own, strict=True):
-                a, b = self.bounds[t * self.blocks + block], self.bounds[t * self.blocks + block + 1]
-                scores[self.vector[a:b] - block * BLOCK] += w * self.weight[a:b]
-            hit = np.flatnonzero(scores > 0)
-            found, cosines = np.concatenate([found, hit + block * BLOCK]), np.concatenate([cosines, scores[hit]])
-            order = np.lexsort((found, -cosines))
-            found, cosines = found[order], cosines[order]
+            scores = self.cosines(term, own, live)
+            hit = np.flatnonzero(scores >= max(reached - 1e-12, np.nextafter(0, 1)))
+            found, cosines = np.concatenate([found, live[hit // BLOCK] * BLOCK + hit % BLOCK]), np.concatenate([cosines, scores[hit]])
+            near = np.lexsort((found, -cosines))
+            found, cosines = found[near], cosines[near]
             enough = int(np.searchsorted(np.cumsum(votes[found]), k))
             if enough < len(found):
                 reached = cosines[enough]
                 keep = cosines >= reached - 1e-12
                 found, cosines = found[keep], cosines[keep]
+            at, step = at + step, 2 * step
         return found, cosines
 
     def score(self, term: np.ndarray, times: np.ndarray) -> tuple[float, list]:
