@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, split_words, texts_of, tune
+from .common import arrow_map, materialise, split_words, texts_of, tune
 from .tokens import WordBpe
 
 KEY = ("source", "lang", "tokenizer")
@@ -135,7 +135,9 @@ class Rollup:
 def without_copies(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with the least doc_id of their text, and the others (exact copies, to be deleted)."""
     # Rows are told apart by their id; the least of each text is found by a sum before the shuffle.
-    least = counts.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-    joined = counts.join(least, ["h1", "h2"])
+    # Only texts found more than once are joined, from a table: no aggregate stands above the
+    # shuffle then, so that Spark can broadcast a small table or split a hot text's rows.
+    groups = counts.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    joined = counts.join(materialise(groups.where("n > 1").drop("n"), "first-ids"), ["h1", "h2"], "left")
     own = F.coalesce(F.col("doc_id") == F.col("first"), F.lit(True))
     return joined.where(own).drop("first"), joined.where(~own).drop("first")
