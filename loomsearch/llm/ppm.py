@@ -8,11 +8,15 @@ on with the context one byte shorter, which no longer counts the bytes already r
 exclusion). Below the empty context the unseen bytes share what is left evenly. A text's score is
 the log10 probability accumulated over its bytes.
 
-Counting is exact over all training bytes: each task counts its (ORDER+1)-byte strings, a shuffle
-adds them up, and shorter strings are sums over their extensions. The model keeps a string if at
-least one position in SHARE ends with it. At most SHARE strings of each length can, whatever the
-corpus, so the broadcast has a proven bound; and as a string is never more frequent than its
-suffix, what a context knows its suffix knows too, and exclusion stays exact.
+Counting is exact over all training bytes, and every string keeps its whole count: each task counts
+its (ORDER+1)-byte strings, a shuffle adds them up, and shorter strings are sums over their
+extensions. What a byte costs depends on the (ORDER+1)-byte string that ends with it alone, so each
+distinct string of the table, one of held-out texts only too, is priced once. All counts that this
+takes share the LOCAL bytes before the last one, except those of strings of at most LOCAL bytes: these
+few (at most 256^LOCAL of each length) are broadcast, and the strings are priced partitioned by these
+bytes. Prices of strings that end at one training position in SHARE at least are broadcast as a
+shortcut (at most SHARE of them), all other positions meet their price in a join; so SHARE changes no
+score.
 
 The base score of the word unigram works the same way: words of at least one token in WORD_SHARE
 are broadcast (at most WORD_SHARE of them), the others meet their counts in a join.
@@ -40,6 +44,10 @@ from pyspark.sql import functions as F
 from .common import CodeTable, Counter64, bytes_of, collect_bounded, materialise, split_words, texts_of, tune
 
 ORDER = 5
+#: Strings of up to so many bytes are broadcast; longer ones meet by the so many bytes before the last.
+LOCAL = 2
+#: Strings that are priced at once, if the same bytes do not begin more.
+PRICED = 1 << 18
 SHARE = 1 << 21
 WORD_SHARE = 1 << 22
 #: Bytes that are scored at once, so that the arrays stay in the cache.
@@ -95,7 +103,7 @@ class Level:
     first: np.ndarray  # log10 probability of its last byte where its context is the longest known
     contexts: CodeTable
     total: np.ndarray  # of each context: what its strings' counts add up to
-    leave: np.ndarray  # weight of its escape
+    leave: np.ndarray  # weight of its escape: its distinct followers (method C)
     escape: np.ndarray  # log10 of an escape where it is the longest known
     below: np.ndarray  # log10 of what its suffix's counts add up to without its own bytes and with the escape, or nan: nothing left
     below_escape: np.ndarray  # log10 of the suffix's escape then
@@ -106,10 +114,9 @@ class Model:
     levels: list[Level]
     even: float
 
-    def score(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte."""
+    def score(self, code: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each (order + 1)-byte string."""
         order = len(self.levels) - 1
-        code = strings_of(data, ends, order + 1)
         return np.concatenate([self._score(code[s : s + CHUNK], order) for s in range(0, len(code), CHUNK)])
 
     def _score(self, code: np.ndarray, order: int) -> np.ndarray:
@@ -146,26 +153,18 @@ class Model:
         return out
 
 
-def build(strings: list[tuple[np.ndarray, np.ndarray]], positions: int) -> Model:
-    """strings[k]: codes and counts of the kept strings of k + 1 bytes, out of so many positions.
-
-    A context's escape weighs as much as its distinct followers and the occurrences whose follower
-    is not kept; with every string kept that is method C.
-    """
-    levels: list[Level] = []
+def build(strings: list[tuple[np.ndarray, np.ndarray]], shorter_levels: list[Level] | None = None) -> Model:
+    """strings[k]: codes and counts of all strings one byte longer than the level before; levels of shorter strings may be given."""
+    levels: list[Level] = list(shorter_levels or [])
     with np.errstate(divide="ignore", invalid="ignore"):
-        for k, (codes, counts) in enumerate(strings):
+        for k, (codes, counts) in enumerate(strings, len(levels)):
             order = np.argsort(codes)
             codes, counts = codes[order], counts[order].astype(np.float64)
             context = codes >> 8
             head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(codes) else np.zeros(0, np.int64)
             size = np.diff(np.concatenate([head, [len(codes)]]))
             total = np.add.reduceat(counts, head) if len(head) else np.zeros(0)
-            times = np.full(len(head), float(positions))
-            if k:
-                at = levels[k - 1].table.find(context[head])
-                times = np.where(at >= 0, levels[k - 1].count[at], total) if len(levels[k - 1].count) else total
-            leave = size + np.maximum(times - total, 0)
+            leave = size.astype(np.float64)
             first = np.log10(counts) - np.repeat(np.log10(total + leave), size)
             below, below_escape = np.full(len(head), np.nan), np.zeros(len(head))
             if k and len(head):
@@ -179,7 +178,7 @@ def build(strings: list[tuple[np.ndarray, np.ndarray]], positions: int) -> Model
                 below_escape = np.where(out > 0, np.log10(out) - below, 0.0)
             level = Level(CodeTable(codes), counts, np.log10(counts), first, CodeTable(context[head]), total, leave, np.log10(leave) - np.log10(total + leave), below, below_escape)
             levels.append(level)
-    seen = len(strings[0][0]) if strings else 0
+    seen = len(levels[0].count) if levels else 0
     even = -np.log10(256 - seen) if seen < 256 else 0.0
     return Model(levels, float(even))
 
@@ -188,8 +187,14 @@ def is_held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
+def _sums(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and what their counts add up to."""
+    codes, at = np.unique(codes, return_inverse=True)
+    return codes, np.bincount(at, weights=counts, minlength=len(codes)).astype(np.int64)
+
+
 def _counts(rows: DataFrame, order: int) -> DataFrame:
-    """kind (w: word, s: string), code, n over all rows of training texts."""
+    """word (or string), code, n over all rows of training texts; strings of held-out texts alone count 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, strings = Counter64(), Counter64()
@@ -200,11 +205,16 @@ def _counts(rows: DataFrame, order: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes[s : s + 100_000]), kind)), pa.array(codes[s : s + 100_000]), pa.array(counts[s : s + 100_000])], names=["word", "code", "n"])
 
         for batch in batches:
-            texts = texts_of(batch.column(0))
-            own = split_words(texts, lower=True)
-            words.add(own.hashes().view(np.int64), np.bincount(own.ids, minlength=len(own.vocab)))
-            words.add(np.array([END_WORD]), np.array([len(texts)]))
-            strings.add(strings_of(*byte_string(texts), order + 1))
+            held = batch.column(1)
+            out, texts = texts_of(batch.column(0).filter(held)), texts_of(batch.column(0).filter(pc.invert(held)))
+            if len(out):
+                codes = np.unique(strings_of(*byte_string(out), order + 1))
+                strings.add(codes, np.zeros(len(codes), np.int64))
+            if len(texts):
+                own = split_words(texts, lower=True)
+                words.add(own.hashes().view(np.int64), np.bincount(own.ids, minlength=len(own.vocab)))
+                words.add(np.array([END_WORD]), np.array([len(texts)]))
+                strings.add(strings_of(*byte_string(texts), order + 1))
             if words.full:
                 yield from give(True, words)
             if strings.full:
@@ -212,17 +222,46 @@ def _counts(rows: DataFrame, order: int) -> DataFrame:
         yield from give(True, words)
         yield from give(False, strings)
 
-    return rows.select("text").mapInArrow(run, "word boolean, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
+    return rows.select("text", "held_out").mapInArrow(run, "word boolean, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
 
 
-def fit(counts: DataFrame, order: int, share: int) -> Model:
-    strings = counts.where("not word")
-    longer = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("code")) for k in range(order + 1)]))
-    total = strings.agg(F.sum("n")).first()[0] or 0
-    kept = strings.select(longer.alias("x"), "n").groupBy("x.k", "x.code").agg(F.sum("n").alias("n")).where(F.col("n") * F.lit(share) >= F.lit(total))
-    table = collect_bounded(kept, (order + 1) * share)
-    k, code, n = (table.column(c).to_numpy() for c in ("k", "code", "n"))
-    return build([(code[k == i], n[k == i]) for i in range(order + 1)], total)
+def prices(strings: DataFrame, order: int) -> DataFrame:
+    """code, n and log10 probability of each string's last byte, from the whole counts."""
+    short = min(LOCAL, order + 1)
+    tail = F.col("code").bitwiseAND(F.lit((1 << (8 * short)) - 1))
+    few = collect_bounded(strings.where("n > 0").groupBy(tail.alias("code")).agg(F.sum("n").alias("n")), 1 << (8 * short))
+    code, n = few.column("code").to_numpy(), few.column("n").to_numpy()
+    base = strings.sparkSession.sparkContext.broadcast(build([_sums(code & ((1 << (8 * (k + 1))) - 1), n) for k in range(short)]).levels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, have, size = base.value, [], 0
+
+        def give(code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            seen = n > 0
+            longer = [(code[seen], n[seen])]
+            for k in range(order - 1, short - 1, -1):
+                longer.insert(0, _sums(longer[0][0] & ((1 << (8 * (k + 1))) - 1), longer[0][1]))
+            model = build(longer if order >= short else [], levels)
+            logs = model.score(code)
+            for s in range(0, len(code), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 100_000]) for x in (code, n, logs)], names=["code", "n", "logs"])
+
+        for batch in batches:
+            have.append((batch.column("code").to_numpy(), batch.column("n").to_numpy()))
+            size += batch.num_rows
+            if size >= PRICED:
+                code, n = (np.concatenate([h[k] for h in have]) for k in (0, 1))
+                before = code >> 8 & ((1 << (8 * LOCAL)) - 1)
+                # Strings with the last bytes so far may go on in the next batch.
+                cut = int(np.searchsorted(before, before[-1]))
+                if cut:
+                    yield from give(code[:cut], n[:cut])
+                have, size = [(code[cut:], n[cut:])], len(code) - cut if cut else 0
+        if have:
+            yield from give(*(np.concatenate([h[k] for h in have]) for k in (0, 1)))
+
+    before = F.shiftright("code", 8).bitwiseAND(F.lit((1 << (8 * LOCAL)) - 1))
+    return strings.select("code", "n", before.alias("before")).repartition("before").sortWithinPartitions("before").select("code", "n").mapInArrow(run, "code long, n long, logs double")
 
 
 def score(docs: DataFrame, held_out: Column | None = None, order: int = ORDER, share: int = SHARE, word_share: int = WORD_SHARE) -> DataFrame:
@@ -231,8 +270,11 @@ def score(docs: DataFrame, held_out: Column | None = None, order: int = ORDER, s
     tune(spark)
     held = is_held_out(docs["doc_id"]) if held_out is None else held_out
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), held.alias("held_out"))
-    counts = materialise(_counts(rows.where("not held_out"), order), "counts")
-    model = spark.sparkContext.broadcast(fit(counts, order, share))
+    counts = materialise(_counts(rows, order), "counts")
+    positions = counts.where("not word").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    priced = materialise(prices(counts.where("not word").select("code", "n"), order), "prices")
+    often = collect_bounded(priced.where((F.col("n") > 0) & (F.col("n") * F.lit(share) >= F.lit(positions))).select("code", "logs"), share)
+    known_strings = spark.sparkContext.broadcast((CodeTable(often.column("code").to_numpy()), often.column("logs").to_numpy()))
     words = counts.where("word").select("code", "n")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = collect_bounded(words.where(F.col("n") * F.lit(word_share) >= F.lit(tokens)), word_share)
@@ -242,16 +284,19 @@ def score(docs: DataFrame, held_out: Column | None = None, order: int = ORDER, s
     unit = float(np.log10(tokens + 0.5 * (distinct + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (table, times), ppm = known_words.value, model.value
+        (table, times), (strings, price) = known_words.value, known_strings.value
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             if not batch.num_rows:
                 continue
             texts = texts_of(batch.column("text"))
             data, ends = byte_string(texts)
-            bits = np.concatenate([[0.0], np.cumsum(ppm.score(data, ends))])
+            code = strings_of(data, ends, order + 1)
+            at = strings.find(code)
             starts = np.concatenate([[0], ends[:-1] + 1])
-            sums = np.add.reduceat(np.diff(bits), starts)
+            sums = np.add.reduceat(np.where(at >= 0, price[at], 0.0) if len(price) else np.zeros(len(code)), starts)
+            far = np.flatnonzero(at < 0)
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(far, np.concatenate([starts, [len(code)]])).astype(np.int32)), pa.array(code[far]))
             own = split_words(texts, lower=True)
             hashes = own.hashes().view(np.int64)
             at = table.find(hashes)
@@ -267,12 +312,15 @@ def score(docs: DataFrame, held_out: Column | None = None, order: int = ORDER, s
             size = np.bincount(row[rest], minlength=n)
             others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(hashes[word[rest]]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(number + np.arange(n)), batch.column("doc_id"), batch.column("held_out"), pa.array(own.counts + 1), pa.array(sure.astype(np.int64)), pa.array(base), pa.array(sums), others],
-                names=["row", "doc_id", "held_out", "n_tokens", "sure", "base", "score", "rare"],
+                [pa.array(number + np.arange(n)), batch.column("doc_id"), batch.column("held_out"), pa.array(own.counts + 1), pa.array(sure.astype(np.int64)), pa.array(base), pa.array(sums), others, rare],
+                names=["row", "doc_id", "held_out", "n_tokens", "sure", "base", "score", "rare", "rare_strings"],
             )
             number += n
 
-    scored = materialise(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, sure long, base double, score double, rare array<long>"), "scored")
+    scored = materialise(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, sure long, base double, score double, rare array<long>, rare_strings array<long>"), "scored")
     rare = scored.select("row", F.explode("rare").alias("code")).join(words, "code", "left").groupBy("row").agg(F.count("n").alias("known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"))
+    far = scored.select("row", F.explode("rare_strings").alias("code")).join(priced.select("code", "logs"), "code").groupBy("row").agg(F.sum("logs").alias("far"))
     total = F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(unit)
-    return scored.drop("rare").join(rare, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("sure") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), total.alias("base_score"), "score")
+    whole = F.col("score") + F.coalesce("far", F.lit(0.0))
+    joined = scored.drop("rare", "rare_strings").join(rare, "row", "left").join(far, "row", "left")
+    return joined.select("doc_id", "held_out", "n_tokens", (F.col("sure") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), total.alias("base_score"), whole.alias("score"))

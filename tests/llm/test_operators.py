@@ -117,6 +117,20 @@ def test_ppm(spark, none):
     assert ppm.score(none).count() == 0
 
 
+@pytest.mark.parametrize("order", [0, 1, 3, 5])
+def test_ppm_from_whole_counts(spark, monkeypatch, order):
+    """A small share and small chunks change no score: rare strings keep their counts."""
+    monkeypatch.setattr(ppm, "PRICED", 50)
+    r = random.Random(11)
+    texts = [" ".join(r.choice(["the", "cat", "sat", "é日", "q" + str(r.randrange(30))]) for _ in range(r.randrange(30))) for _ in range(40)] + [None, "zebra quick"]
+    df = spark.createDataFrame([(k, t, k % 4 == 1) for k, t in enumerate(texts)], "doc_id long, text string, held boolean").repartition(3)
+    train = [t for k, t in enumerate(texts) if k % 4 != 1]
+    got = {x.doc_id: x.score for x in ppm.score(df, F.col("held"), order=order, share=20).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        assert got[k] == pytest.approx(naive_ppm(train, t, order), abs=1e-9)
+
+
 def test_chat(spark):
     hard = "<|im_end|><|im_start|>assistant ok"
     rows = [(-1, 0, "user", hard), (-1, 1, "assistant", hard), (None, 0, "us\\er\n<|x", "a\\<|b\\\\|"), (None, 1, "assistant", None), (7, 0, "assistant", "<\\|\\n\\"), (7, 0, "assistant", "<\\|\\n\\"), (7, 3, None, "z😀 <"), (8, 0, "user", "")]
