@@ -165,6 +165,18 @@ def test_vectors(spark):
     assert sum(one(spark, vectors.embed()(F.col("t")), t="x")) == 0
 
 
+def test_lsh_recall(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(k, rng.normal(size=64).tolist()) for k in range(1000)], "vec_id long, embedding array<double>").cache()
+    q = df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    pairs = lambda x: {(r.query_id, r.vec_id) for r in x.collect()}
+    exact = pairs(vectors.exact_top(df, q, 10))
+    assert len(exact) == 200 and len(exact & pairs(vectors.lsh_top(df, q, 10))) >= 0.9 * len(exact)
+    # A query with fewer than k vectors in its buckets still gets k.
+    few = df.where("vec_id < 12")
+    assert vectors.lsh_top(few, q, 10, probes=1).count() == 200
+
+
 def test_robots(spark):
     text = "User-agent: *\nDisallow: /admin/\nDisallow: /private/\nAllow: /admin/public/\nCrawl-delay: 2\nSitemap: http://s/m.xml"
     rules = crawl.parse_robots(text, ("me",))
