@@ -1,25 +1,25 @@
 """Toxicity by nearest labelled examples.
 
-Labelled texts are vectors of TF-IDF weights over terms that tell the labels apart (the largest
-G2 statistics). Their inverted index is cut into blocks of vectors, and each term keeps its
-greatest weight in each block: a block whose bound lies below the k-th best cosine so far cannot
-hold a nearer example and is skipped, so the nearest examples are exact. Their votes, weighted by
-cosine and shrunk towards the share of toxic examples, give the score; the nearest examples' ids
-are the evidence.
+Labelled texts are vectors of TF-IDF weights over all their terms; terms that tell the labels apart
+weigh more, by their G2 statistic. A text's cosines with all examples come from products of the most
+common terms as a matrix and from the inverted index of all other terms; those near the k-th best
+are computed again in full, so the nearest examples are exact. Their votes, weighted by cosine and
+shrunk towards the share of toxic examples, give the score; the nearest examples' ids are the
+evidence.
 
 The classifier is fitted on at most SAMPLE labelled texts (those with the least hash of their id);
-document frequencies come from all documents. Terms, vectors and index are bounded by SAMPLE and
-TERMS, so they are broadcast.
+document frequencies come from all documents. The vocabulary is all terms of these texts. Terms,
+vectors and index are bounded by the sample, so they are broadcast.
 
-Defined cases: texts without any chosen term (null and empty ones too) get the share of toxic
-examples among the examples without one; repeated rows score alike; examples at equal cosine as
-the k-th all vote; labels of one id that differ, null labels and labels without a document are
-left out; without examples every score is 0; an empty table gives no rows.
+Defined cases: texts without any term of the vocabulary (null and empty ones too) get the share of
+toxic examples among the examples without a term; repeated rows score alike; examples at equal
+cosine as the k-th all vote; labels of one id that differ, null labels and labels without a document
+are left out; without examples every score is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,108 +31,155 @@ from pyspark.sql import types as T
 from .common import arrow_map, collect_bounded, fold_of, materialise, split_words, strip_terms, texts_of, tune, with_row
 
 SAMPLE = 20_000
-TERMS = 2_048
-LEAST_G2 = 24.0
+#: A term's weight grows by its G2 over this.
+G2_UNIT = 24.0
 NEIGHBOURS = 25
-BLOCK = 64
-#: Blocks looked at in the first step; each later step takes twice as many of those still possible.
-FIRST_BLOCKS = 8
+#: The most common terms of the examples, whose weights are multiplied as a matrix.
+COMMON = 512
+#: Texts that are scored at once.
+CHUNK = 64
+#: Cosines of the first look are single precision; what lies so near the k-th best is looked at again.
+SLACK = 1e-5
 SHRINK = 2.0
 THRESHOLD = 0.3
 EVIDENCE = 3
 
 
-def term_ids(texts: pa.Array, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, times) of the chosen terms in each text, by row and term."""
+def term_ids(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, times) of the vocabulary's terms in each text, by row and term."""
     words = split_words(texts)
-    chosen = pc.fill_null(pc.index_in(strip_terms(words.vocab), pa.array(list(terms), words.vocab.type)), -1).to_numpy().astype(np.int64)
-    term = chosen[words.ids]
+    known = pc.fill_null(pc.index_in(strip_terms(words.vocab).cast(terms.type), terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    term = known[words.ids]
     at = np.flatnonzero(term >= 0)
     key = words.row_of[at] * (len(terms) + 1) + term[at]
     key, times = np.unique(key, return_counts=True)
     return key // (len(terms) + 1), key % (len(terms) + 1), times
 
 
+def spans(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... of each span, one span after the other."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + length, length)
+
+
 @dataclass
 class Index:
-    """Block-max inverted index over distinct example vectors."""
+    """Distinct example vectors: terms and times of all, and where each vector begins."""
 
-    terms: dict[str, int]
-    idf: np.ndarray
-    vectors: list[tuple[np.ndarray, np.ndarray]]  # terms, times
+    terms: pa.Array
+    scale: np.ndarray  # of each term: idf and weight by G2
+    offsets: np.ndarray
+    term: np.ndarray
+    times: np.ndarray
     positive: np.ndarray
     negative: np.ndarray
     first_id: np.ndarray
     empty: float
     prior: float
-    seen: dict[bytes, tuple[float, list]] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        n = len(self.vectors)
-        self.blocks = -(-n // BLOCK)
-        at = [self.weights(t, f) for t, f in self.vectors]
-        vector = np.repeat(np.arange(n), [len(t) for t, _ in self.vectors]).astype(np.int64) if n else np.zeros(0, np.int64)
-        term = np.concatenate([t for t, _ in self.vectors]) if n else np.zeros(0, np.int64)
-        weight = np.concatenate(at) if n else np.zeros(0)
-        order = np.lexsort((vector, term))
-        self.vector, term, self.weight = vector[order], term[order], weight[order]
-        key = term * self.blocks + self.vector // BLOCK
-        self.bounds = np.searchsorted(key, np.arange(len(self.terms) * self.blocks + 1)).reshape(-1)
-        self.highest = np.zeros(len(self.terms) * self.blocks)
-        np.maximum.at(self.highest, key, self.weight)
-        self.highest = self.highest.reshape(len(self.terms), self.blocks)
+    ready: bool = False
+
+    @property
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(self.term[a:b].astype(np.int64), self.times[a:b]) for a, b in zip(self.offsets[:-1], self.offsets[1:], strict=True)]
 
     def weights(self, term: np.ndarray, times: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(times)) * self.idf[term]
+        w = (1 + np.log(times)) * self.scale[term]
         return w / np.sqrt((w * w).sum())
 
-    def cosines(self, term: np.ndarray, own: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Cosines with the vectors of these blocks, one block after the other."""
-        cell = term[:, None] * self.blocks + blocks
-        first = self.bounds[cell]
-        length = self.bounds[cell + 1] - first
-        ends = np.cumsum(length.reshape(-1))
-        posting = np.arange(ends[-1]) + np.repeat(first.reshape(-1) - ends + length.reshape(-1), length.reshape(-1))
-        slot = np.repeat(np.tile(np.arange(len(blocks)), len(term)), length.reshape(-1)) * BLOCK + self.vector[posting] % BLOCK
-        return np.bincount(slot, np.repeat(own, length.sum(1)) * self.weight[posting], len(blocks) * BLOCK)
+    def prepare(self) -> None:
+        """Weights, the matrix of common terms and the postings of the others; made where they are used, once."""
+        if self.ready:
+            return
+        n, size = len(self.first_id), np.diff(self.offsets)
+        vector = np.repeat(np.arange(n, dtype=np.int32), size)
+        own = (1 + np.log(self.times)) * self.scale[self.term]
+        self.weight = own / np.sqrt(np.bincount(vector, own * own, minlength=n))[vector]
+        df = np.bincount(self.term, minlength=len(self.scale))
+        common = np.argsort(-df, kind="stable")[:COMMON]
+        self.slot = np.full(len(self.scale), -1, np.int32)
+        self.slot[common] = np.arange(len(common))
+        at = self.slot[self.term]
+        self.matrix = np.zeros((len(common), n), np.float32)
+        self.matrix[at[at >= 0], vector[at >= 0]] = self.weight[at >= 0]
+        rest = np.flatnonzero(at < 0)
+        rest = rest[np.argsort(self.term[rest], kind="stable")]
+        self.posting, self.value = vector[rest], self.weight[rest].astype(np.float32)
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(self.term[rest], minlength=len(self.scale)))])
+        self.query = np.zeros(len(self.scale))
+        self.ready = True
+
+    def rough(self, row: np.ndarray, term: np.ndarray, own: np.ndarray, rows: int) -> np.ndarray:
+        """Cosines of texts (rows) with all examples, in single precision."""
+        n = len(self.first_id)
+        slot = self.slot[term]
+        common = slot >= 0
+        used, column = np.unique(slot[common], return_inverse=True)
+        weights = np.zeros((rows, len(used)), np.float32)
+        weights[row[common], column] = own[common]
+        out = weights @ self.matrix[used]
+        row, term, own = row[~common], term[~common], own[~common]
+        length = self.begin[term + 1] - self.begin[term]
+        at = spans(self.begin[term], length)
+        if len(at):
+            np.add.at(out.reshape(-1), np.repeat(row * n, length) + self.posting[at], np.repeat(own.astype(np.float32), length) * self.value[at])
+        return out
+
+    def chosen(self, rough: np.ndarray, least: float, term: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(rough >= max(least, np.nextafter(np.float32(0), np.float32(1))))
+        self.query[term] = own
+        length = self.offsets[at + 1] - self.offsets[at]
+        posting = spans(self.offsets[at], length)
+        cosine = np.bincount(np.repeat(np.arange(len(at)), length), self.query[self.term[posting]] * self.weight[posting], minlength=len(at))
+        self.query[term] = 0
+        near = np.lexsort((at, -cosine))
+        at, cosine = at[near], cosine[near]
+        enough = int(np.searchsorted(np.cumsum(self.positive[at] + self.negative[at]), k))
+        if enough < len(at):
+            keep = cosine >= cosine[enough] - 1e-12
+            at, cosine = at[keep], cosine[keep]
+        return at, cosine
+
+    def nearest_of(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each text (row: ascending numbers, all of them from 0): the vectors of at least k examples with the greatest cosines, ties at the end included, and their cosines."""
+        self.prepare()
+        own = (1 + np.log(times)) * self.scale[term]
+        rows = int(row[-1]) + 1 if len(row) else 0
+        own = own / np.sqrt(np.bincount(row, own * own, minlength=rows))[row]
+        cuts = np.searchsorted(row, np.arange(rows + 1))
+        n = len(self.first_id)
+        out: list = [None] * rows
+        # Texts of one language stand together: they share most common terms, and only used ones are multiplied.
+        slot = self.slot[term]
+        by_slot = np.lexsort((np.where(slot < 0, COMMON, slot), row))
+        lowest = [slot[by_slot[np.minimum(cuts[:-1] + i, cuts[1:] - 1)]] for i in range(2)]
+        order = np.lexsort(lowest[::-1])
+        for first in range(0, rows, CHUNK):
+            here = order[first : first + CHUNK]
+            size = cuts[here + 1] - cuts[here]
+            at = spans(cuts[here], size)
+            rough = self.rough(np.repeat(np.arange(len(here)), size), term[at], own[at], len(here))
+            # Each vector has a vote, so that the k best vectors have k votes at least.
+            least = np.partition(rough, n - k, axis=1)[:, n - k] - SLACK if n > k else np.full(len(here), -1.0)
+            for j, i in enumerate(here.tolist()):
+                mine = slice(cuts[i], cuts[i + 1])
+                out[i] = self.chosen(rough[j], least[j], term[mine], own[mine], k)
+        return out
 
     def nearest(self, term: np.ndarray, times: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The vectors of at least k examples with the greatest cosines, ties at the end included, and their cosines."""
-        own = self.weights(term, times)
-        bound = own @ self.highest[term]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        votes = self.positive + self.negative
-        found, cosines, reached = np.zeros(0, np.int64), np.zeros(0), -1.0
-        at, step = 0, FIRST_BLOCKS
-        while at < len(order):
-            live = order[at : at + step]
-            live = live[bound[live] >= reached - 1e-12]
-            if not len(live):  # bounds descend: no later block can hold a nearer example
-                break
-            scores = self.cosines(term, own, live)
-            hit = np.flatnonzero(scores >= max(reached - 1e-12, np.nextafter(0, 1)))
-            found, cosines = np.concatenate([found, live[hit // BLOCK] * BLOCK + hit % BLOCK]), np.concatenate([cosines, scores[hit]])
-            near = np.lexsort((found, -cosines))
-            found, cosines = found[near], cosines[near]
-            enough = int(np.searchsorted(np.cumsum(votes[found]), k))
-            if enough < len(found):
-                reached = cosines[enough]
-                keep = cosines >= reached - 1e-12
-                found, cosines = found[keep], cosines[keep]
-            at, step = at + step, 2 * step
-        return found, cosines
-
-    def score(self, term: np.ndarray, times: np.ndarray) -> tuple[float, list]:
-        key = term.tobytes() + times.tobytes()
-        if key not in self.seen:
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            at, cosine = self.nearest(term, times)
+        return self.nearest_of(np.zeros(len(term), np.int64), term, times, k)[0]
+
+    def score(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, rows: int) -> tuple[list[float], list[list]]:
+        """Score and evidence of each of so many texts."""
+        scores: list[float] = [self.empty] * rows
+        evidence: list[list] = [[] for _ in range(rows)]
+        if not len(self.first_id):
+            return scores, evidence
+        present, place = np.unique(row, return_inverse=True)
+        for i, (at, cosine) in zip(present.tolist(), self.nearest_of(place, term, times), strict=True):
             pos, neg = (cosine * self.positive[at]).sum(), (cosine * self.negative[at]).sum()
-            evidence = [{"doc_id": int(self.first_id[i]), "cosine": float(c)} for i, c in zip(at[:EVIDENCE], cosine[:EVIDENCE], strict=True)]
-            self.seen[key] = (float((pos + SHRINK * self.prior) / (pos + neg + SHRINK)), evidence)
-        return self.seen[key]
+            scores[i] = float((pos + SHRINK * self.prior) / (pos + neg + SHRINK))
+            evidence[i] = [{"doc_id": int(self.first_id[j]), "cosine": float(c)} for j, c in zip(at[:EVIDENCE], cosine[:EVIDENCE], strict=True)]
+        return scores, evidence
 
 
 def _examples(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, sample: int) -> DataFrame:
@@ -158,24 +205,26 @@ def _term_rows(examples: DataFrame) -> DataFrame:
     return arrow_map(examples.select("text", F.col("toxic").cast("int").alias("toxic")), make, "term string, toxic int")
 
 
-def _choose(examples: DataFrame, positive: int, negative: int, most: int, least: float) -> list[str]:
-    """Terms by G2 of (term in text) against the label."""
-    table = _term_rows(examples).where("term != ''").groupBy("term").agg(F.sum((F.col("toxic") == 1).cast("long")).alias("a"), F.sum((F.col("toxic") != 1).cast("long")).alias("b"))
-    n = positive + negative
+def _vocabulary(examples: DataFrame, positive: int, negative: int) -> tuple[pa.Array, np.ndarray]:
+    """All terms of the examples, and the G2 of (term in text) against the label of each."""
+    table = _term_rows(examples).where("term != ''").groupBy("term").agg(F.sum((F.col("toxic") == 1).cast("long")).alias("a"), F.sum((F.col("toxic") != 1).cast("long")).alias("b")).orderBy("term").toArrow()
+    a, b = (table.column(c).to_numpy().astype(np.float64) for c in ("a", "b"))
+    n = float(positive + negative)
 
-    def part(seen: Column, row: Column, col: int) -> Column:
-        return F.when(seen > 0, seen * F.log(seen * n / (row * F.lit(float(max(col, 1)))))).otherwise(0.0)
+    def part(seen: np.ndarray, row: np.ndarray, col: int) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) * n / np.maximum(row * max(col, 1), 1)), 0.0)
 
-    a, b = F.col("a"), F.col("b")
     g2 = 2 * (part(a, a + b, positive) + part(b, a + b, negative) + part(positive - a, n - a - b, positive) + part(negative - b, n - a - b, negative))
-    chosen = table.withColumn("g2", g2).where(F.col("g2") >= least).orderBy(F.desc("g2"), "term").limit(most)
-    return sorted(collect_bounded(chosen.select("term"), most).column("term").to_pylist())
+    return table.column("term").combine_chunks().cast(pa.large_string()), np.maximum(g2, 0.0)
 
 
-def _frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
-    """Texts that hold each chosen term, over all documents, and how many texts there are."""
+def _frequencies(docs: DataFrame, terms: pa.Array) -> tuple[np.ndarray, int]:
+    """Texts that hold each term, over all documents, and how many texts there are."""
+
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
+        terms = shared.value
         total = np.zeros(len(terms) + 1, np.int64)
         for batch in batches:
             _, term, _ = term_ids(texts_of(batch.column(0)), terms)
@@ -190,35 +239,39 @@ def _frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, in
     return out[:-1], int(out[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, sample: int = SAMPLE, terms: int = TERMS, least_g2: float = LEAST_G2) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, sample: int = SAMPLE, g2_unit: float = G2_UNIT) -> Index:
     """The index of labelled examples outside the held-out fold."""
     tune(docs.sparkSession)
     examples = materialise(_examples(docs, labels, folds, held_fold, sample), "examples")
     positive, total = examples.agg(F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0)), F.count("*")).first()
-    negative = total - positive
-    chosen = {t: k for k, t in enumerate(_choose(examples, positive, negative, terms, least_g2))} if positive and negative else {}
-    df, n = _frequencies(docs, chosen)
+    terms, g2 = _vocabulary(examples, positive, total - positive)
+    df, n = _frequencies(docs, terms)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def make():
+        terms = shared.value
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            row, term, times = term_ids(texts_of(batch.column("text")), chosen)
+            row, term, times = term_ids(texts_of(batch.column("text")), terms)
             size = np.bincount(row, minlength=batch.num_rows)
             ends = 2 * np.concatenate([[0], np.cumsum(size)])
-            vector = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.stack([term, times], 1).reshape(-1).astype(np.int64)))
+            vector = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.stack([term, times], 1).reshape(-1).astype(np.int32)))
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), vector], names=["doc_id", "toxic", "vector"])
 
         return each
 
-    vectors = arrow_map(examples.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text"), make, "doc_id long, toxic int, vector array<long>")
-    merged = vectors.groupBy("vector").agg(F.sum((F.col("toxic") == 1).cast("long")).alias("pos"), F.sum((F.col("toxic") != 1).cast("long")).alias("neg"), F.min("doc_id").alias("first_id")).orderBy("vector")
-    table = collect_bounded(merged, sample).to_pylist()
+    vectors = arrow_map(examples.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text"), make, "doc_id long, toxic int, vector array<int>")
+    merged = vectors.groupBy("vector").agg(F.sum((F.col("toxic") == 1).cast("long")).alias("pos"), F.sum((F.col("toxic") != 1).cast("long")).alias("neg"), F.min("doc_id").alias("first_id")).orderBy("first_id")
+    table = collect_bounded(merged, sample)
     prior = positive / total if total else 0.0
-    none = [x for x in table if not x["vector"]]
-    some = [x for x in table if x["vector"]]
-    empty = (none[0]["pos"] + SHRINK * prior) / (none[0]["pos"] + none[0]["neg"] + SHRINK) if none else prior
-    pairs = [np.array(x["vector"], np.int64).reshape(-1, 2) for x in some]
-    own = lambda k: np.array([x[k] for x in some], np.int64)
-    return Index(chosen, np.log((1 + n) / (1 + df)) + 1, [(p[:, 0], p[:, 1]) for p in pairs], own("pos"), own("neg"), own("first_id"), float(empty), float(prior))
+    size = pc.list_value_length(table.column("vector")).to_numpy()
+    pos, neg, first_id = (table.column(c).to_numpy() for c in ("pos", "neg", "first_id"))
+    none, some = np.flatnonzero(size == 0), size > 0
+    empty = (pos[none[0]] + SHRINK * prior) / (pos[none[0]] + neg[none[0]] + SHRINK) if len(none) else prior
+    pairs = pc.list_flatten(table.column("vector")).to_numpy().reshape(-1, 2)
+    offsets = np.concatenate([[0], np.cumsum(size[some] // 2)]).astype(np.int64)
+    scale = (np.log((1 + n) / (1 + df)) + 1) * (1 + g2 / g2_unit)
+    return Index(terms, scale, offsets, pairs[:, 0].copy(), pairs[:, 1].copy(), pos[some], neg[some], first_id[some], float(empty), float(prior))
 
 
 def apply(docs: DataFrame, index: Index) -> DataFrame:
@@ -231,12 +284,7 @@ def apply(docs: DataFrame, index: Index) -> DataFrame:
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             row, term, times = term_ids(texts_of(batch.column("text")), own.terms)
-            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            scores, evidence = [], []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                s, e = own.score(term[a:b], times[a:b]) if b > a else (own.empty, [])
-                scores.append(s)
-                evidence.append(e)
+            scores, evidence = own.score(row, term, times, batch.num_rows)
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
             return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["row", "score", "evidence"])
 

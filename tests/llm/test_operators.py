@@ -184,6 +184,21 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(none, labels).count() == 0 and toxicity.score(docs, labels.limit(0)).where("score != 0").count() == 0
 
 
+def test_toxicity_of_rare_terms(spark):
+    """A text finds its neighbour by terms that do not tell the labels apart."""
+    r = random.Random(9)
+    rows = [(k, " ".join(f"w{r.randrange(4000)}" for _ in range(40)), int(k % 7 == 0)) for k in range(200)]
+    learned = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    near = next(x for x in learned if x[2])
+    held = next(k for k in range(1000, 2000) if zlib.crc32(str(k).encode()) % 4 == 2)
+    df = spark.createDataFrame([*rows, (held, near[1] + " unheard", 1)], "doc_id long, text string, toxic int")
+    index = toxicity.fit(df, df.select("doc_id", "toxic"))
+    assert len(index.terms) == len({w for x in learned for w in x[1].split()})
+    got = toxicity.apply(df, index).where(F.col("row.doc_id") == held).first()
+    assert got.evidence[0].doc_id == near[0] and got.evidence[0].cosine == pytest.approx(1)
+    assert got.score > sum(x[2] for x in learned) / len(learned)
+
+
 TOKENIZER = packing.tokenizer_path()
 
 
