@@ -7,6 +7,9 @@ item counts as leaked into a document if at least 0.8 of its windows stand there
 (on neighbouring diagonals, so a few words more or less do no harm) and its slots are consistent:
 each number, unit or name of the item is replaced by one value throughout and different values
 stay different. So re-parameterised questions are caught, and chance meetings of templates are not.
+Every alignment that reaches the share is tested, as a document may hold an item beside its twins.
+A capital at the beginning of a sentence may be a name or not: windows with one stand for both, and
+where item and text differ there it is a slot (but not in items shorter than a window).
 
 The build side is cut into blocks of at most BLOCK_WINDOWS windows. Each is broadcast and every
 document passes it once; nothing is shuffled, and memory is bounded whatever the benchmark's size.
@@ -43,13 +46,15 @@ PLACES = ("<num>", "<unit>", "<name>")
 
 @dataclass
 class Template:
-    """Template words of a batch as hashes, the words themselves, which are slots, and where rows begin."""
+    """Template words of a batch as hashes, the words themselves, which are slots, where rows begin, and what may be a name."""
 
     hashes: np.ndarray
     words: np.ndarray
     slot: np.ndarray
     offsets: np.ndarray
     terms: pa.Array
+    soft: np.ndarray  # capitals at the beginning of a sentence
+    named: np.ndarray  # hashes with these as names
 
 
 def template(texts: pa.Array) -> Template:
@@ -73,11 +78,13 @@ def template(texts: pa.Array) -> Template:
     kind = np.where(number, 0, np.where(unit, 1, -1))[ids]
     kind[name] = 2
     out = np.where(kind >= 0, place[kind], hashes[ids]) if len(ids) else np.zeros(0, np.uint64)
+    soft = capital[ids] & begins & (kind < 0)
+    named = np.where(soft, place[2], out) if len(ids) else out
     empty = own(pc.equal(pc.binary_length(term), 0))[ids]
     # Words of marks only do not count.
     keep = ~empty | (kind >= 0)
     kept = np.concatenate([[0], np.cumsum(keep)])
-    return Template(out[keep], ids[keep], (kind >= 0)[keep], kept[words.offsets], term)
+    return Template(out[keep], ids[keep], (kind >= 0)[keep], kept[words.offsets], term, soft[keep], named[keep])
 
 
 @dataclass
@@ -92,13 +99,16 @@ class Bench:
     windows: np.ndarray  # distinct places of each item
     sizes: list[int]
     slots: list[list[str | None]]
+    soft: list[list[str | None]]  # words that are slots where the text has another one
 
 
 def bench(item_ids: list, texts: list[str]) -> Bench:
     t = template(pa.array(texts, pa.large_string()))
-    roll = Rolling(t.hashes, BASES[0])
+    roll, named = Rolling(t.hashes, BASES[0]), Rolling(t.named, BASES[0])
+    softs = np.concatenate([[0], np.cumsum(t.soft)])
     codes, item, at = [], [], []
     n = np.diff(t.offsets)
+    windows = np.where(n > 0, n - np.minimum(n, WINDOW) + 1, 0)
     for i, (a, b) in enumerate(zip(t.offsets[:-1], t.offsets[1:], strict=True)):
         size = min(WINDOW, b - a)
         if not size:
@@ -107,13 +117,18 @@ def bench(item_ids: list, texts: list[str]) -> Bench:
         codes.append(roll.spans(start, start + size).view(np.int64))
         item.append(np.full(len(start), i))
         at.append(start - a)
+        if size == WINDOW:
+            start = start[softs[start + size] > softs[start]]
+            codes.append(named.spans(start, start + size).view(np.int64))
+            item.append(np.full(len(start), i))
+            at.append(start - a)
     code, item, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (codes, item, at))
     order = np.lexsort((at, item, code))
     code, item, at = code[order], item[order], at[order]
     head = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
     terms = t.terms.to_pylist()
-    slots = [[terms[w] if s else None for w, s in zip(t.words[a:b], t.slot[a:b], strict=True)] for a, b in zip(t.offsets[:-1], t.offsets[1:], strict=True)]
-    return Bench(np.array(item_ids, object), CodeTable(code[head]), np.concatenate([head, [len(code)]]), item, at, np.bincount(item, minlength=len(texts)), sorted({int(min(WINDOW, x)) for x in n if x}), slots)
+    slots, soft = ([[terms[w] if s else None for w, s in zip(t.words[a:b], x[a:b], strict=True)] for a, b in zip(t.offsets[:-1], t.offsets[1:], strict=True)] for x in (t.slot, t.soft))
+    return Bench(np.array(item_ids, object), CodeTable(code[head]), np.concatenate([head, [len(code)]]), item, at, windows, sorted({int(min(WINDOW, x)) for x in n if x}), slots, soft)
 
 
 def leaks(t: Template, own: Bench) -> list[list[dict]]:
@@ -123,7 +138,8 @@ def leaks(t: Template, own: Bench) -> list[list[dict]]:
     n = len(t.hashes)
     if not n or not len(own.item):
         return out
-    roll = Rolling(t.hashes, BASES[0])
+    roll, named = Rolling(t.hashes, BASES[0]), Rolling(t.named, BASES[0])
+    softs = np.concatenate([[0], np.cumsum(t.soft)])
     row_of = np.repeat(np.arange(rows), np.diff(t.offsets))
     found, place = [], []
     for size in own.sizes:
@@ -135,6 +151,12 @@ def leaks(t: Template, own: Bench) -> list[list[dict]]:
         hit = np.flatnonzero(at >= 0)
         found.append(start[hit])
         place.append(at[hit])
+        if size == WINDOW:
+            start = start[softs[start + size] > softs[start]]
+            at = own.table.find(named.spans(start, start + size).view(np.int64))
+            hit = np.flatnonzero(at >= 0)
+            found.append(start[hit])
+            place.append(at[hit])
     if not any(map(len, found)):
         return out
     start, place = np.concatenate(found), np.concatenate(place)
@@ -151,33 +173,44 @@ def leaks(t: Template, own: Bench) -> list[list[dict]]:
         i, total = item[a], own.windows[item[a]]
         if b - a < LEAST * total:
             continue
-        d, p, s = diagonal[a:b], at[a:b], start[a:b]
-        # Best alignment: the diagonal with the most of the item's windows within the slack.
-        low, high = np.searchsorted(d, d - SLACK), np.searchsorted(d, d + SLACK, side="right")
-        best = int(np.argmax(high - low))
-        d, p, s = d[low[best] : high[best]], p[low[best] : high[best]], s[low[best] : high[best]]
-        near = np.lexsort((np.abs(d - diagonal[a + best]), p))
-        first = near[np.concatenate([[True], p[near][1:] != p[near][:-1]])]
-        share = len(first) / total
-        if share < LEAST:
-            continue
-        size = min(WINDOW, len(own.slots[i]))
-        if consistent(own.slots[i], p[first], s[first], size, t):
+        share = alignment(diagonal[a:b], at[a:b], start[a:b], int(total), own.slots[i], own.soft[i], t)
+        if share:
             out[row[a]].append({"item_id": int(own.ids[i]), "containment": float(share)})
     return out
 
 
-def consistent(slots: list, at: np.ndarray, start: np.ndarray, size: int, t: Template) -> bool:
+def alignment(d: np.ndarray, p: np.ndarray, s: np.ndarray, total: int, slots: list, soft: list, t: Template) -> float:
+    """Share of an item's windows (p, by diagonal d and place s in the text) in the best consistent alignment, 0 without one."""
+    size = min(WINDOW, len(slots))
+    centres, exact = np.unique(d, return_counts=True)
+    low, high = np.searchsorted(d, centres - SLACK), np.searchsorted(d, centres + SLACK, side="right")
+    # Diagonals that hold the most windows themselves come first.
+    for c in np.argsort(-exact, kind="stable").tolist():
+        if high[c] - low[c] < LEAST * total:
+            continue
+        here = slice(low[c], high[c])
+        near = np.lexsort((np.abs(d[here] - centres[c]), p[here]))
+        q, place = p[here][near], s[here][near]
+        first = np.concatenate([[True], q[1:] != q[:-1]])
+        share = first.sum() / total
+        if share >= LEAST and consistent(slots, soft, q[first], place[first], size, t):
+            return float(share)
+    return 0.0
+
+
+def consistent(slots: list, soft: list, at: np.ndarray, start: np.ndarray, size: int, t: Template) -> bool:
     """Whether the item's slot values and the text's map one to one over the matched windows."""
-    if not any(x is not None for x in slots):
+    if not any(x is not None for x in slots) and not any(x is not None for x in soft):
         return True
     to, back = {}, {}
     for p, s in zip(at.tolist(), start.tolist(), strict=True):
         for k in range(size):
-            value = slots[p + k]
+            value = slots[p + k] if slots[p + k] is not None else soft[p + k]
             if value is None:
                 continue
             own = t.terms[int(t.words[s + k])].as_py()
+            if slots[p + k] is None and own == value:
+                continue
             if to.setdefault(value, own) != own or back.setdefault(own, value) != value:
                 return False
     return True

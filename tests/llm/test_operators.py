@@ -327,6 +327,21 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.find_leaks(docs, bench.limit(0)).where("size(items) > 0").count() == 0
 
 
+def test_decontamination_of_twins_runs_and_first_words(spark):
+    names = "Paris lies far from old Lyon and the train needs 3 hours for it while no other way is known"
+    run = "press the keys 1 2 3 4 5 6 7 then wait"
+    bench = spark.createDataFrame([(1, ITEM), (2, run), (3, names)], "item_id long, text string")
+    mixed = ITEM.replace("40 km", "95 km").replace(" 7 ", " 3 ")
+    rows = [(1, mixed + " | " + ITEM), (2, ITEM + " | " + mixed), (3, mixed + " | " + mixed), (4, run), (5, "so " + run.replace("3", "8")), (6, run.replace("3", "2"))]
+    rows += [(7, names.replace("Paris", "Metz").replace("Lyon", "Genf")), (8, names.replace("Paris", "Genf").replace("Lyon", "Genf")), (9, "Now he knows it. " + names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [x.item_id for x in r["items"]] for r in decontaminate.find_leaks(df, bench).select("row.doc_id", "items").collect()}
+    assert got == {1: [1], 2: [1], 3: [], 4: [2], 5: [2], 6: [], 7: [3], 8: [], 9: [3]}
+    short = spark.createDataFrame([(1, "Ada knew that Bob likes tea")], "item_id long, text string")
+    text = spark.createDataFrame([(1, "we say: Eve knew that Tom likes tea")], "doc_id long, text string")
+    assert decontaminate.find_leaks(text, short).where("size(items) = 1").count() == 1
+
+
 def test_tables():
     codes = np.unique(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000))
     table = CodeTable(codes)
