@@ -165,6 +165,14 @@ def test_vectors(spark):
     assert sum(one(spark, vectors.embed()(F.col("t")), t="x")) == 0
 
 
+def test_exact_top_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(k, rng.normal(size=8).tolist()) for k in range(120)], "vec_id long, embedding array<double>").cache()
+    q = df.where("vec_id % 4 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    got = lambda **how: {(r.query_id, r.vec_id, r.rank) for r in vectors.exact_top(df, q, 5, **how).collect()}
+    assert got(most_queries=12) == got() and len(got()) == 150
+
+
 def test_lsh_recall(spark):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(k, rng.normal(size=64).tolist()) for k in range(1000)], "vec_id long, embedding array<double>").cache()
