@@ -133,7 +133,7 @@ def model_tokens(spark, sf_dir):
 
 @query()
 def pair_tokens(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", X.pair_tokens()(F.substring("text", 1, 100), "text").alias("x")).select("doc_id", "x.*")
+    return load(spark, sf_dir, "documents").select("doc_id", X.pair_tokens()("text", "text").alias("x")).select("doc_id", "x.*")
 
 
 @query()

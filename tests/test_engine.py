@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomsearch.functions import text as X
 from loomsearch.functions import urls as U
 from loomsearch.operators import crawl, dedup, instant, linkgraph, parse, ranking, retrieval, session, understand, vectors
+from loomsearch.plans import text_queries
 from loomsearch.schema import Settings, SnapshotError
 from loomsearch.sources import crawl_log, tables
 
@@ -165,6 +166,13 @@ def test_vectors(spark):
     assert sum(one(spark, vectors.embed()(F.col("t")), t="x")) == 0
 
 
+def test_pair_tokens_reads_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, " ".join(["internationally"] * 40))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    x = text_queries.pair_tokens(spark, str(tmp_path)).first()
+    # 101, the query side up to its own limit of 32 words, 102.
+    assert x.types.index(1) == 34
+
+
 def test_exact_top_in_blocks(spark):
     rng = np.random.default_rng(6)
     df = spark.createDataFrame([(k, rng.normal(size=8).tolist()) for k in range(120)], "vec_id long, embedding array<double>").cache()
