@@ -138,8 +138,8 @@ def pair_tokens(spark, sf_dir):
 
 @query()
 def linguistic_terms(spark, sf_dir):
-    """Document frequencies of stemmed terms."""
-    own = load(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(F.array_distinct(X.linguistic_tokens("text"))).alias("term"))
+    """Document frequencies of stemmed terms; documents of all languages are stemmed as English."""
+    own = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(X.linguistic_tokens("text"))).alias("term"))
     return own.groupBy("term").agg(F.count("*").alias("df"))
 
 

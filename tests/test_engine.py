@@ -173,6 +173,13 @@ def test_pair_tokens_reads_whole_texts(spark, tmp_path):
     assert x.types.index(1) == 34
 
 
+def test_linguistic_terms_reads_all_languages(spark, tmp_path):
+    rows = [(1, "running dogs", "en"), (2, "läuft schnell", "de"), (3, "running ciudad", "es"), (4, "sans langue", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.term: r.df for r in text_queries.linguistic_terms(spark, str(tmp_path)).collect()}
+    assert got["run"] == 2 and {"dog", "läuft", "ciudad", "san", "langu"} <= set(got)
+
+
 def test_exact_top_in_blocks(spark):
     rng = np.random.default_rng(6)
     df = spark.createDataFrame([(k, rng.normal(size=8).tolist()) for k in range(120)], "vec_id long, embedding array<double>").cache()
