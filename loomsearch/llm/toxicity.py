@@ -1,11 +1,13 @@
 """Toxicity by nearest labelled examples.
 
 Labelled texts are vectors of TF-IDF weights over all their terms; terms that tell the labels apart
-weigh more, by their G2 statistic. A text's cosines with all examples come from products of the most
-common terms as a matrix and from the inverted index of all other terms; those near the k-th best
-are computed again in full, so the nearest examples are exact. Their votes, weighted by cosine and
-shrunk towards the share of toxic examples, give the score; the nearest examples' ids are the
-evidence.
+weigh more, by their G2 statistic. The index is inverted and block-max: examples stand in blocks of
+similar ones, and of each common term every block knows its greatest weight. The lists of all less
+common terms are added up in full; with the greatest weights of the common ones they bound the
+cosines in each block, and only blocks whose bound reaches the k-th best cosine so far are looked
+into. Cosines near the k-th best are computed again in full, so the nearest examples are exact.
+Their votes, weighted by cosine and shrunk towards the share of toxic examples, give the score; the
+nearest examples' ids are the evidence.
 
 The classifier is fitted on at most SAMPLE labelled texts (those with the least hash of their id);
 document frequencies come from all documents. The vocabulary is all terms of these texts. Terms,
@@ -35,7 +37,10 @@ SAMPLE = 20_000
 G2_UNIT = 24.0
 NEIGHBOURS = 25
 #: The most common terms of the examples, whose weights are multiplied as a matrix.
-COMMON = 512
+COMMON = 1024
+#: Examples of one block of the index, and clusters that order the blocks.
+BLOCK = 64
+CLUSTERS = 64
 #: Texts that are scored at once.
 CHUNK = 64
 #: Cosines of the first look are single precision; what lies so near the k-th best is looked at again.
@@ -62,6 +67,29 @@ def spans(first: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + length, length)
 
 
+def clusters_of(matrix: np.ndarray, count: int = CLUSTERS, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """(cluster of each row, unit centres) by spherical k-means; only the order of blocks depends on it."""
+    n = len(matrix)
+    unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1), 1e-9)[:, None]
+    centres = unit[np.linspace(0, n - 1, min(count, n)).astype(np.int64)].copy()
+    for _ in range(rounds):
+        of = (unit @ centres.T).argmax(1)
+        for c in range(len(centres)):
+            own = unit[of == c]
+            if len(own):
+                total = own.sum(0)
+                centres[c] = total / max(float(np.linalg.norm(total)), 1e-9)
+    return of, centres
+
+
+def beside(numbers: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A number (32 bits) and a weight (single precision) in one 64-bit word each."""
+    out = np.empty((len(numbers), 2), np.int32)
+    out[:, 0] = numbers
+    out.view(np.float32)[:, 1] = weights
+    return out.reshape(-1).view(np.int64)
+
+
 @dataclass
 class Index:
     """Distinct example vectors: terms and times of all, and where each vector begins."""
@@ -87,49 +115,97 @@ class Index:
         return w / np.sqrt((w * w).sum())
 
     def prepare(self) -> None:
-        """Weights, the matrix of common terms and the postings of the others; made where they are used, once."""
+        """Blocks, their greatest weights and the postings; made where they are used, once.
+
+        A place is a vector's number in block order: similar vectors stand in one block.
+        """
         if self.ready:
             return
         n, size = len(self.first_id), np.diff(self.offsets)
         vector = np.repeat(np.arange(n, dtype=np.int32), size)
         own = (1 + np.log(self.times)) * self.scale[self.term]
-        self.weight = own / np.sqrt(np.bincount(vector, own * own, minlength=n))[vector]
+        own /= np.sqrt(np.bincount(vector, own * own, minlength=n))[vector]
+        self.weight = own
         df = np.bincount(self.term, minlength=len(self.scale))
         common = np.argsort(-df, kind="stable")[:COMMON]
         self.slot = np.full(len(self.scale), -1, np.int32)
         self.slot[common] = np.arange(len(common))
         at = self.slot[self.term]
-        self.matrix = np.zeros((len(common), n), np.float32)
-        self.matrix[at[at >= 0], vector[at >= 0]] = self.weight[at >= 0]
-        rest = np.flatnonzero(at < 0)
+        matrix = np.zeros((n, len(common)), np.float32)
+        matrix[vector[at >= 0], at[at >= 0]] = own[at >= 0]
+        of, self.centres = clusters_of(matrix)
+        length = np.linalg.norm(matrix, axis=1)
+        self.order = np.lexsort((length, of))
+        self.matrix = matrix[self.order]
+        self.blocks = np.arange(0, n, BLOCK)
+        self.most = np.maximum.reduceat(self.matrix, self.blocks, axis=0)
+        self.longest = np.maximum.reduceat(length[self.order], self.blocks)
+        place = np.empty(n, np.int32)
+        place[self.order] = np.arange(n, dtype=np.int32)
+        rest = np.flatnonzero(at < 0).astype(np.int32)
         rest = rest[np.argsort(self.term[rest], kind="stable")]
-        self.posting, self.value = vector[rest], self.weight[rest].astype(np.float32)
+        self.posting = beside(place[vector[rest]], own[rest])
         self.begin = np.concatenate([[0], np.cumsum(np.bincount(self.term[rest], minlength=len(self.scale)))])
         self.query = np.zeros(len(self.scale))
         self.ready = True
 
-    def rough(self, row: np.ndarray, term: np.ndarray, own: np.ndarray, rows: int) -> np.ndarray:
-        """Cosines of texts (rows) with all examples, in single precision."""
+    def rest(self, row: np.ndarray, term: np.ndarray, own: np.ndarray, rows: int) -> np.ndarray:
+        """What the less common terms add to the cosines of texts (rows) with all examples, in single precision."""
         n = len(self.first_id)
-        slot = self.slot[term]
-        common = slot >= 0
-        used, column = np.unique(slot[common], return_inverse=True)
-        weights = np.zeros((rows, len(used)), np.float32)
-        weights[row[common], column] = own[common]
-        out = weights @ self.matrix[used]
-        row, term, own = row[~common], term[~common], own[~common]
+        out = np.zeros((rows, n), np.float32)
         length = self.begin[term + 1] - self.begin[term]
-        at = spans(self.begin[term], length)
-        if len(at):
-            np.add.at(out.reshape(-1), np.repeat(row * n, length) + self.posting[at], np.repeat(own.astype(np.float32), length) * self.value[at])
+        # A place (or a text's first cell) and a weight stand side by side in eight bytes, so that both are fetched at once.
+        found = self.posting.take(spans(self.begin[term], length)).view(np.int32).reshape(-1, 2)
+        asked = np.repeat(beside(row * n, own), length).view(np.int32).reshape(-1, 2)
+        np.add.at(out.reshape(-1), found[:, 0] + asked[:, 0], found.view(np.float32)[:, 1] * asked.view(np.float32)[:, 1])
         return out
 
-    def chosen(self, rough: np.ndarray, least: float, term: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(rough >= max(least, np.nextafter(np.float32(0), np.float32(1))))
+    def rough(self, row: np.ndarray, term: np.ndarray, own: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts (rows): the places of examples in blocks that can hold a near one, the cosines with them in single precision, and the least that counts.
+
+        A block's bound: what its terms weigh at most. The two best blocks of each text give a first
+        k-th cosine; blocks whose bound stays below it for all texts are never looked at.
+        """
+        n, slot = len(self.first_id), self.slot[term]
+        common = slot >= 0
+        weights = np.zeros((rows, self.matrix.shape[1]), np.float32)
+        weights[row[common], slot[common]] = own[common]
+        rest = self.rest(row[~common], term[~common], own[~common], rows)
+        bound = np.minimum(weights @ self.most.T, np.linalg.norm(weights, axis=1)[:, None] * self.longest)
+        bound += np.maximum.reduceat(rest, self.blocks, axis=1)
+        places = np.zeros(n, bool)
+        done = np.zeros(len(self.blocks), bool)
+
+        def look(wanted: np.ndarray) -> None:
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], wanted, [False]]).astype(np.int8)))
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                run = slice(a * BLOCK, min(b * BLOCK, n))
+                rest[:, run] += weights @ self.matrix[run].T
+                places[run] = True
+            done[wanted] = True
+
+        def least() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            at = np.flatnonzero(places)
+            own = rest[:, at]
+            if len(at) <= k:
+                return at, own, np.full(rows, -1.0, np.float32)
+            return at, own, np.partition(own, len(at) - k, axis=1)[:, len(at) - k] - np.float32(SLACK)
+
+        first = np.zeros(len(self.blocks), bool)
+        first[np.argpartition(bound, -min(2, bound.shape[1]), axis=1)[:, -2:]] = True
+        look(first)
+        wanted = (bound >= least()[2][:, None] - SLACK).any(0) & ~done
+        if wanted.any():
+            look(wanted)
+        return least()
+
+    def chosen(self, places: np.ndarray, rough: np.ndarray, least: float, term: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        at = self.order[places[rough >= max(least, np.nextafter(np.float32(0), np.float32(1)))]]
         self.query[term] = own
         length = self.offsets[at + 1] - self.offsets[at]
         posting = spans(self.offsets[at], length)
-        cosine = np.bincount(np.repeat(np.arange(len(at)), length), self.query[self.term[posting]] * self.weight[posting], minlength=len(at))
+        value = self.query.take(self.term.take(posting)) * self.weight.take(posting)
+        cosine = np.add.reduceat(value, np.cumsum(length) - length) if len(at) else np.zeros(0)
         self.query[term] = 0
         near = np.lexsort((at, -cosine))
         at, cosine = at[near], cosine[near]
@@ -146,25 +222,30 @@ class Index:
         rows = int(row[-1]) + 1 if len(row) else 0
         own = own / np.sqrt(np.bincount(row, own * own, minlength=rows))[row]
         cuts = np.searchsorted(row, np.arange(rows + 1))
-        n = len(self.first_id)
         out: list = [None] * rows
-        # Texts of one language stand together: they share most common terms, and only used ones are multiplied.
-        slot = self.slot[term]
-        by_slot = np.lexsort((np.where(slot < 0, COMMON, slot), row))
-        lowest = [slot[by_slot[np.minimum(cuts[:-1] + i, cuts[1:] - 1)]] for i in range(2)]
-        order = np.lexsort(lowest[::-1])
-        for first in range(0, rows, CHUNK):
-            here = order[first : first + CHUNK]
+        # Texts of one cluster stand together: they look at the same blocks.
+        for here in np.array_split(self._by_cluster(row, term, own, rows), -(-rows // CHUNK)) if rows else []:
             size = cuts[here + 1] - cuts[here]
             at = spans(cuts[here], size)
-            rough = self.rough(np.repeat(np.arange(len(here)), size), term[at], own[at], len(here))
-            # Each vector has a vote, so that the k best vectors have k votes at least.
-            least = np.partition(rough, n - k, axis=1)[:, n - k] - SLACK if n > k else np.full(len(here), -1.0)
+            places, rough, least = self.rough(np.repeat(np.arange(len(here)), size), term[at], own[at], len(here), k)
             for j, i in enumerate(here.tolist()):
                 mine = slice(cuts[i], cuts[i + 1])
-                out[i] = self.chosen(rough[j], least[j], term[mine], own[mine], k)
+                out[i] = self.chosen(places, rough[j], least[j], term[mine], own[mine], k)
         return out
 
+    def _by_cluster(self, row: np.ndarray, term: np.ndarray, own: np.ndarray, rows: int) -> np.ndarray:
+        """Texts in the order of the cluster next to them."""
+        slot = self.slot[term]
+        common = slot >= 0
+        nearest = np.zeros(rows, np.int64)
+        for first in range(0, rows, 1000):
+            last = min(first + 1000, rows)
+            here = common & (row >= first) & (row < last)
+            weights = np.zeros((last - first, self.matrix.shape[1]), np.float32)
+            weights[row[here] - first, slot[here]] = own[here]
+            nearest[first:last] = (weights @ self.centres.T).argmax(1)
+        return np.argsort(nearest, kind="stable")
+
     def nearest(self, term: np.ndarray, times: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         return self.nearest_of(np.zeros(len(term), np.int64), term, times, k)[0]
 
@@ -271,7 +352,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2,
     pairs = pc.list_flatten(table.column("vector")).to_numpy().reshape(-1, 2)
     offsets = np.concatenate([[0], np.cumsum(size[some] // 2)]).astype(np.int64)
     scale = (np.log((1 + n) / (1 + df)) + 1) * (1 + g2 / g2_unit)
-    return Index(terms, scale, offsets, pairs[:, 0].copy(), pairs[:, 1].copy(), pos[some], neg[some], first_id[some], float(empty), float(prior))
+    return Index(terms, scale, offsets, pairs[:, 0].astype(np.int32), pairs[:, 1].astype(np.int32), pos[some], neg[some], first_id[some], float(empty), float(prior))
 
 
 def apply(docs: DataFrame, index: Index) -> DataFrame:

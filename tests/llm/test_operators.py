@@ -184,6 +184,59 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(none, labels).count() == 0 and toxicity.score(docs, labels.limit(0)).where("score != 0").count() == 0
 
 
+def naive_toxicity(texts, examples, k=toxicity.NEIGHBOURS):
+    """Scores of texts by brute force: examples (id, text, toxic) and document frequencies over all texts."""
+    bag = lambda t: Counter(x for x in (re.sub(r"^[^\w]+|[^\w]+$", "", w.lower()) for w in words(t)) if x)
+    n, df = len(texts), Counter(w for t in texts for w in bag(t))
+    pos, neg = ([bag(t) for _, t, y in examples if y == label] for label in (1, 0))
+    total, g2 = len(examples), {}
+    for w in {w for _, t, _ in examples for w in bag(t)}:
+        cells = []
+        for own in (pos, neg):
+            has = sum(w in x for x in own)
+            cells += [(has, len(own), True), (len(own) - has, len(own), False)]
+        share = sum(c for c, _, has in cells if has)
+        g2[w] = 2 * sum(c * math.log(c * total / ((share if has else total - share) * size)) for c, size, has in cells if c)
+
+    def vector(t):
+        own = {w: (1 + math.log(c)) * (math.log((1 + n) / (1 + df[w])) + 1) * (1 + g2[w] / toxicity.G2_UNIT) for w, c in bag(t).items() if w in g2}
+        size = math.sqrt(sum(x * x for x in own.values()))
+        return {w: x / size for w, x in own.items()}
+
+    prior = len(pos) / total
+    known = [(vector(t), y) for _, t, y in examples]
+    out = []
+    for t in texts:
+        own = vector(t)
+        if not own:
+            none = [y for v, y in known if not v]
+            out.append((sum(none) + toxicity.SHRINK * prior) / (len(none) + toxicity.SHRINK) if none else prior)
+            continue
+        near = sorted(((sum(x * v.get(w, 0.0) for w, x in own.items()), y) for v, y in known), reverse=True)
+        near = [x for x in near if x[0] > 0 and x[0] >= near[min(k, len(near)) - 1][0] - 1e-9]
+        yes, no = (sum(c for c, y in near if y == label) for label in (1, 0))
+        out.append((yes + toxicity.SHRINK * prior) / (yes + no + toxicity.SHRINK))
+    return out
+
+
+@pytest.mark.parametrize("sizes", [(8, 5, 20, 7), (64, 64, 1024, 64)])
+def test_toxicity_votes(spark, monkeypatch, sizes):
+    """Scores equal brute force, whatever the blocks: texts of two vocabularies, copies, empty and long ones."""
+    for name, value in zip(("BLOCK", "CLUSTERS", "COMMON", "CHUNK"), sizes, strict=True):
+        monkeypatch.setattr(toxicity, name, value)
+    r = random.Random(21)
+    texts = [" ".join(f"{'ab'[k % 2]}{int(r.paretovariate(0.7))}" for _ in range(r.randrange(1, 60))) for k in range(300)]
+    texts += [texts[5], texts[5], None, "", "?!", "Unheard of", texts[6].upper() + ", and " + texts[7], "a1 " * 20000]
+    rows = [(k, t, int("3" in (t or "")[:6])) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    index = toxicity.fit(df, df.select("doc_id", "toxic"))
+    want = naive_toxicity(texts, [(k, t, y) for k, t, y in rows if zlib.crc32(str(k).encode()) % 4 != 2])
+    row, term, times = toxicity.term_ids(pa.array([t or "" for t in texts], pa.large_string()), index.terms)
+    assert index.score(row, term, times, len(texts))[0] == pytest.approx(want, abs=1e-9)
+    got = {x.doc_id: x.score for x in toxicity.apply(df, index).select("row.doc_id", "score").collect()}
+    assert [got[k] for k in range(len(texts))] == pytest.approx(want, abs=1e-9)
+
+
 def test_toxicity_of_rare_terms(spark):
     """A text finds its neighbour by terms that do not tell the labels apart."""
     r = random.Random(9)
