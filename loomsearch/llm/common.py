@@ -240,9 +240,9 @@ class Counter64:
         return out
 
 
-def with_row(docs: DataFrame) -> DataFrame:
-    """row: the document as it came, beside its text; so no column's name can clash with an operator's."""
-    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
+def with_row(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """row: the document as it came (or its columns in keep), beside its text; so no column's name can clash with an operator's."""
+    return docs.select(F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
 
 
 def strip_terms(vocab: pa.Array) -> pa.Array:

@@ -47,7 +47,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = toxicity.score(docs, read(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, read(spark, sf_dir, "labels"), keep=["doc_id"])
     held = fold_of(F.col("row.doc_id"), 4) == 2
     return out.select("row.doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.col("evidence.doc_id").alias("evidence"))
 

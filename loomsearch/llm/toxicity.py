@@ -2,9 +2,9 @@
 
 Labelled texts are vectors of TF-IDF weights over all their terms; terms that tell the labels apart
 weigh more, by their G2 statistic. The index is inverted and block-max: examples stand in blocks of
-similar ones, and of each common term every block knows its greatest weight. The lists of all less
-common terms are added up in full; with the greatest weights of the common ones they bound the
-cosines in each block, and only blocks whose bound reaches the k-th best cosine so far are looked
+similar ones, and of each term that is common in its group a block knows the greatest weight. The
+lists of all less common terms are added up in full; with the greatest weights of the common ones
+they bound the cosines in each block, and only blocks whose bound reaches the k-th best cosine so far are looked
 into. Cosines near the k-th best are computed again in full, so the nearest examples are exact.
 Their votes, weighted by cosine and shrunk towards the share of toxic examples, give the score; the
 nearest examples' ids are the evidence.
@@ -21,7 +21,7 @@ are left out; without examples every score is 0; an empty table gives no rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +36,9 @@ SAMPLE = 20_000
 #: A term's weight grows by its G2 over this.
 G2_UNIT = 24.0
 NEIGHBOURS = 25
-#: The most common terms of the examples, whose weights are multiplied as a matrix.
-COMMON = 1024
-#: Examples of one block of the index, and clusters that order the blocks.
+#: The most common terms of a group, whose weights are multiplied as a matrix.
+COMMON = 512
+#: Examples of one block of the index, and groups of similar examples.
 BLOCK = 64
 CLUSTERS = 64
 #: Texts that are scored at once.
@@ -106,6 +106,10 @@ class Index:
     prior: float
     ready: bool = False
 
+    def __getstate__(self) -> dict:
+        """What `prepare` makes is left out: it is made again where it is used."""
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "ready"} | {"ready": False}
+
     @property
     def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
         return [(self.term[a:b].astype(np.int64), self.times[a:b]) for a, b in zip(self.offsets[:-1], self.offsets[1:], strict=True)]
@@ -115,9 +119,10 @@ class Index:
         return w / np.sqrt((w * w).sum())
 
     def prepare(self) -> None:
-        """Blocks, their greatest weights and the postings; made where they are used, once.
+        """Groups of similar vectors, their blocks and the postings; made where they are used, once.
 
-        A place is a vector's number in block order: similar vectors stand in one block.
+        A place is a vector's number in block order. Each group has its own common terms: of these its
+        vectors stand as rows of a matrix, and postings hold all other terms.
         """
         if self.ready:
             return
@@ -126,31 +131,52 @@ class Index:
         own = (1 + np.log(self.times)) * self.scale[self.term]
         own /= np.sqrt(np.bincount(vector, own * own, minlength=n))[vector]
         self.weight = own
-        df = np.bincount(self.term, minlength=len(self.scale))
-        common = np.argsort(-df, kind="stable")[:COMMON]
-        self.slot = np.full(len(self.scale), -1, np.int32)
-        self.slot[common] = np.arange(len(common))
-        at = self.slot[self.term]
-        matrix = np.zeros((n, len(common)), np.float32)
+        self.sorter = self._common(np.arange(len(self.term)))
+        at = self.sorter[self.term]
+        matrix = np.zeros((n, COMMON), np.float32)
         matrix[vector[at >= 0], at[at >= 0]] = own[at >= 0]
         of, self.centres = clusters_of(matrix)
+        self.slot = np.full((len(self.centres), len(self.scale)), -1, np.int16)
+        matrix[:] = 0
+        group = of[vector].astype(np.int16)
+        rest = np.ones(len(self.term), bool)
+        for g in range(len(self.centres)):
+            here = np.flatnonzero(group == g)
+            self.slot[g] = self._common(here)
+            at = self.slot[g][self.term[here]]
+            rest[here[at >= 0]] = False
+            matrix[vector[here[at >= 0]], at[at >= 0]] = own[here[at >= 0]]
         length = np.linalg.norm(matrix, axis=1)
         self.order = np.lexsort((length, of))
         self.matrix = matrix[self.order]
-        self.blocks = np.arange(0, n, BLOCK)
+        # Blocks end with their group.
+        starts = np.searchsorted(of[self.order], np.arange(len(self.centres) + 1))
+        cuts = [np.arange(a, b, BLOCK) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        self.blocks = np.concatenate(cuts)
+        self.ends = np.append(self.blocks[1:], n)
+        self.first_block = np.concatenate([[0], np.cumsum([len(c) for c in cuts])])
         self.most = np.maximum.reduceat(self.matrix, self.blocks, axis=0)
         self.longest = np.maximum.reduceat(length[self.order], self.blocks)
         place = np.empty(n, np.int32)
         place[self.order] = np.arange(n, dtype=np.int32)
-        rest = np.flatnonzero(at < 0).astype(np.int32)
+        rest = np.flatnonzero(rest).astype(np.int32)
         rest = rest[np.argsort(self.term[rest], kind="stable")]
         self.posting = beside(place[vector[rest]], own[rest])
         self.begin = np.concatenate([[0], np.cumsum(np.bincount(self.term[rest], minlength=len(self.scale)))])
         self.query = np.zeros(len(self.scale))
         self.ready = True
 
+    def _common(self, here: np.ndarray) -> np.ndarray:
+        """For each term its number among the COMMON terms that most vectors of these entries have, or -1."""
+        df = np.bincount(self.term[here], minlength=len(self.scale))
+        out = np.full(len(df), -1, np.int16)
+        common = np.argsort(-df, kind="stable")[:COMMON]
+        common = common[df[common] > 0]
+        out[common] = np.arange(len(common))
+        return out
+
     def rest(self, row: np.ndarray, term: np.ndarray, own: np.ndarray, rows: int) -> np.ndarray:
-        """What the less common terms add to the cosines of texts (rows) with all examples, in single precision."""
+        """What terms that are not common in an example's group add to the cosines of texts (rows) with it, in single precision."""
         n = len(self.first_id)
         out = np.zeros((rows, n), np.float32)
         length = self.begin[term + 1] - self.begin[term]
@@ -166,45 +192,51 @@ class Index:
         A block's bound: what its terms weigh at most. The two best blocks of each text give a first
         k-th cosine; blocks whose bound stays below it for all texts are never looked at.
         """
-        n, slot = len(self.first_id), self.slot[term]
-        common = slot >= 0
-        weights = np.zeros((rows, self.matrix.shape[1]), np.float32)
-        weights[row[common], slot[common]] = own[common]
-        rest = self.rest(row[~common], term[~common], own[~common], rows)
-        bound = np.minimum(weights @ self.most.T, np.linalg.norm(weights, axis=1)[:, None] * self.longest)
-        bound += np.maximum.reduceat(rest, self.blocks, axis=1)
+        n = len(self.first_id)
+        rest = self.rest(row, term, own, rows)
+        bound = np.maximum.reduceat(rest, self.blocks, axis=1)
+        asked = np.zeros((len(self.centres), rows, COMMON), np.float32)
+        for g, weights in enumerate(asked):
+            slot = self.slot[g].take(term)
+            common = np.flatnonzero(slot >= 0)
+            weights[row.take(common), slot.take(common)] = own.take(common)
+            own_blocks = slice(self.first_block[g], self.first_block[g + 1])
+            bound[:, own_blocks] += np.minimum(weights @ self.most[own_blocks].T, np.linalg.norm(weights, axis=1)[:, None] * self.longest[own_blocks])
         places = np.zeros(n, bool)
         done = np.zeros(len(self.blocks), bool)
 
         def look(wanted: np.ndarray) -> None:
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], wanted, [False]]).astype(np.int8)))
-            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                run = slice(a * BLOCK, min(b * BLOCK, n))
-                rest[:, run] += weights @ self.matrix[run].T
-                places[run] = True
+            for g, weights in enumerate(asked):
+                first, last = self.first_block[g : g + 2]
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], wanted[first:last], [False]]).astype(np.int8))) + first
+                for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                    run = slice(self.blocks[a], self.ends[b - 1])
+                    rest[:, run] += weights @ self.matrix[run].T
+                    places[run] = True
             done[wanted] = True
 
-        def least() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            at = np.flatnonzero(places)
-            own = rest[:, at]
-            if len(at) <= k:
-                return at, own, np.full(rows, -1.0, np.float32)
-            return at, own, np.partition(own, len(at) - k, axis=1)[:, len(at) - k] - np.float32(SLACK)
-
         first = np.zeros(len(self.blocks), bool)
         first[np.argpartition(bound, -min(2, bound.shape[1]), axis=1)[:, -2:]] = True
         look(first)
-        wanted = (bound >= least()[2][:, None] - SLACK).any(0) & ~done
-        if wanted.any():
-            look(wanted)
-        return least()
+        at = np.flatnonzero(places)
+        least = np.partition(rest[:, at], len(at) - k, axis=1)[:, len(at) - k] - np.float32(SLACK) if len(at) > k else np.full(rows, -1.0, np.float32)
+        look((bound >= least[:, None] - SLACK).any(0) & ~done)
+        at = np.flatnonzero(places)
+        return at, rest[:, at], least
 
     def chosen(self, places: np.ndarray, rough: np.ndarray, least: float, term: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        at = self.order[places[rough >= max(least, np.nextafter(np.float32(0), np.float32(1)))]]
+        at = np.flatnonzero(rough >= max(least, np.nextafter(np.float32(0), np.float32(1))))
+        near = rough.take(at)
+        if len(at) > k:
+            # Each vector has a vote, so that the k best vectors have k votes at least.
+            at = at[near >= np.partition(near, len(at) - k)[len(at) - k] - np.float32(SLACK)]
+        at = self.order.take(places.take(at))
         self.query[term] = own
-        length = self.offsets[at + 1] - self.offsets[at]
-        posting = spans(self.offsets[at], length)
-        value = self.query.take(self.term.take(posting)) * self.weight.take(posting)
+        begin = self.offsets.take(at)
+        length = self.offsets.take(at + 1) - begin
+        posting = spans(begin, length)
+        value = self.query.take(self.term.take(posting))
+        value *= self.weight.take(posting)
         cosine = np.add.reduceat(value, np.cumsum(length) - length) if len(at) else np.zeros(0)
         self.query[term] = 0
         near = np.lexsort((at, -cosine))
@@ -234,14 +266,13 @@ class Index:
         return out
 
     def _by_cluster(self, row: np.ndarray, term: np.ndarray, own: np.ndarray, rows: int) -> np.ndarray:
-        """Texts in the order of the cluster next to them."""
-        slot = self.slot[term]
-        common = slot >= 0
+        """Texts in the order of the group next to them."""
+        slot = self.sorter.take(term)
         nearest = np.zeros(rows, np.int64)
-        for first in range(0, rows, 1000):
-            last = min(first + 1000, rows)
-            here = common & (row >= first) & (row < last)
-            weights = np.zeros((last - first, self.matrix.shape[1]), np.float32)
+        for first in range(0, rows, 500):
+            last = min(first + 500, rows)
+            here = np.flatnonzero((slot >= 0) & (row >= first) & (row < last))
+            weights = np.zeros((last - first, COMMON), np.float32)
             weights[row[here] - first, slot[here]] = own[here]
             nearest[first:last] = (weights @ self.centres.T).argmax(1)
         return np.argsort(nearest, kind="stable")
@@ -249,18 +280,20 @@ class Index:
     def nearest(self, term: np.ndarray, times: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         return self.nearest_of(np.zeros(len(term), np.int64), term, times, k)[0]
 
-    def score(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, rows: int) -> tuple[list[float], list[list]]:
+    def score(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, rows: int) -> tuple[np.ndarray, pa.Array]:
         """Score and evidence of each of so many texts."""
-        scores: list[float] = [self.empty] * rows
-        evidence: list[list] = [[] for _ in range(rows)]
-        if not len(self.first_id):
-            return scores, evidence
-        present, place = np.unique(row, return_inverse=True)
-        for i, (at, cosine) in zip(present.tolist(), self.nearest_of(place, term, times), strict=True):
-            pos, neg = (cosine * self.positive[at]).sum(), (cosine * self.negative[at]).sum()
-            scores[i] = float((pos + SHRINK * self.prior) / (pos + neg + SHRINK))
-            evidence[i] = [{"doc_id": int(self.first_id[j]), "cosine": float(c)} for j, c in zip(at[:EVIDENCE], cosine[:EVIDENCE], strict=True)]
-        return scores, evidence
+        scores = np.full(rows, self.empty)
+        size, ids, cosines = np.zeros(rows, np.int32), [], []
+        if len(self.first_id):
+            present, place = np.unique(row, return_inverse=True)
+            for i, (at, cosine) in zip(present.tolist(), self.nearest_of(place, term, times), strict=True):
+                pos, neg = (cosine * self.positive[at]).sum(), (cosine * self.negative[at]).sum()
+                scores[i] = (pos + SHRINK * self.prior) / (pos + neg + SHRINK)
+                size[i] = min(len(at), EVIDENCE)
+                ids.append(self.first_id[at[:EVIDENCE]])
+                cosines.append(cosine[:EVIDENCE])
+        near = pa.StructArray.from_arrays([pa.array(np.concatenate([*ids, np.zeros(0, np.int64)])), pa.array(np.concatenate([*cosines, np.zeros(0)]))], names=["doc_id", "cosine"])
+        return scores, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), near)
 
 
 def _examples(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, sample: int) -> DataFrame:
@@ -355,10 +388,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2,
     return Index(terms, scale, offsets, pairs[:, 0].astype(np.int32), pairs[:, 1].astype(np.int32), pos[some], neg[some], first_id[some], float(empty), float(prior))
 
 
-def apply(docs: DataFrame, index: Index) -> DataFrame:
-    """row (the document as it came), score, and evidence: the nearest examples and their cosines."""
+def apply(docs: DataFrame, index: Index, keep: list[str] | None = None) -> DataFrame:
+    """row (the document as it came, or its columns in keep), score, and evidence: the nearest examples and their cosines."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    rows = with_row(docs)
+    rows = with_row(docs, keep)
 
     def make():
         own = shared.value
@@ -366,8 +399,7 @@ def apply(docs: DataFrame, index: Index) -> DataFrame:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             row, term, times = term_ids(texts_of(batch.column("text")), own.terms)
             scores, evidence = own.score(row, term, times, batch.num_rows)
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
-            return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["row", "score", "evidence"])
+            return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores), evidence], names=["row", "score", "evidence"])
 
         return each
 
@@ -376,5 +408,5 @@ def apply(docs: DataFrame, index: Index) -> DataFrame:
     return arrow_map(rows, make, schema)
 
 
-def score(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    return apply(docs, fit(docs, labels, **how))
+def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, **how) -> DataFrame:
+    return apply(docs, fit(docs, labels, **how), keep)
