@@ -67,18 +67,19 @@ def spans(first: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + length, length)
 
 
-def clusters_of(matrix: np.ndarray, count: int = CLUSTERS, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """(cluster of each row, unit centres) by spherical k-means; only the order of blocks depends on it."""
-    n = len(matrix)
-    unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1), 1e-9)[:, None]
-    centres = unit[np.linspace(0, n - 1, min(count, n)).astype(np.int64)].copy()
-    for _ in range(rounds):
-        of = (unit @ centres.T).argmax(1)
-        for c in range(len(centres)):
-            own = unit[of == c]
-            if len(own):
-                total = own.sum(0)
-                centres[c] = total / max(float(np.linalg.norm(total)), 1e-9)
+def clusters_of(rows: np.ndarray, count: int = CLUSTERS, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """(cluster of each row, unit centres) by spherical k-means; rows become unit vectors. Only which blocks are looked at depends on it."""
+    n = len(rows)
+    rows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)[:, None]
+    centres = rows[np.linspace(0, n - 1, min(count, n)).astype(np.int64)].copy()
+    for step in range(rounds + 1):
+        of = (rows @ centres.T).argmax(1)
+        if step < rounds:
+            for c in range(len(centres)):
+                own = rows[of == c]
+                if len(own):
+                    total = own.sum(0)
+                    centres[c] = total / max(float(np.linalg.norm(total)), 1e-9)
     return of, centres
 
 
@@ -115,7 +116,7 @@ class Index:
         return [(self.term[a:b].astype(np.int64), self.times[a:b]) for a, b in zip(self.offsets[:-1], self.offsets[1:], strict=True)]
 
     def weights(self, term: np.ndarray, times: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(times)) * self.scale[term]
+        w = (1 + np.log(times.astype(np.float64))) * self.scale[term]
         return w / np.sqrt((w * w).sum())
 
     def prepare(self) -> None:
@@ -128,37 +129,45 @@ class Index:
             return
         n, size = len(self.first_id), np.diff(self.offsets)
         vector = np.repeat(np.arange(n, dtype=np.int32), size)
-        own = (1 + np.log(self.times)) * self.scale[self.term]
+        own = (1 + np.log(self.times.astype(np.float64))) * self.scale[self.term]
         own /= np.sqrt(np.bincount(vector, own * own, minlength=n))[vector]
         self.weight = own
-        self.sorter = self._common(np.arange(len(self.term)))
-        at = self.sorter[self.term]
+        self.sorter = np.full(len(self.scale), -1, np.int16)
+        common = self._common(self.term)
+        self.sorter[common] = np.arange(len(common))
+        at = np.flatnonzero(self.sorter[self.term] >= 0)
         matrix = np.zeros((n, COMMON), np.float32)
-        matrix[vector[at >= 0], at[at >= 0]] = own[at >= 0]
+        matrix[vector[at], self.sorter[self.term[at]]] = own[at]
         of, self.centres = clusters_of(matrix)
-        self.slot = np.full((len(self.centres), len(self.scale)), -1, np.int16)
+        groups = len(self.centres)
+        self.order = np.argsort(of, kind="stable")
+        starts = np.searchsorted(of[self.order], np.arange(groups + 1))
+        place = np.empty(n, np.int32)
+        place[self.order] = np.arange(n, dtype=np.int32)
+        # Of terms that are common in some group: a number, and their columns in each group.
+        entries = [spans(self.offsets[v], size[v]) for v in (self.order[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True))]
+        commons = [self._common(self.term[here]) for here in entries]
+        some = np.unique(np.concatenate(commons))
+        self.number = np.full(len(self.scale), -1, np.int32)
+        self.number[some] = np.arange(len(some))
+        self.slot = np.full((groups, len(some) + 1), -1, np.int16)  # the last for all other terms
         matrix[:] = 0
-        group = of[vector].astype(np.int16)
         rest = np.ones(len(self.term), bool)
-        for g in range(len(self.centres)):
-            here = np.flatnonzero(group == g)
-            self.slot[g] = self._common(here)
-            at = self.slot[g][self.term[here]]
-            rest[here[at >= 0]] = False
-            matrix[vector[here[at >= 0]], at[at >= 0]] = own[here[at >= 0]]
-        length = np.linalg.norm(matrix, axis=1)
-        self.order = np.lexsort((length, of))
-        self.matrix = matrix[self.order]
+        for g, (here, common) in enumerate(zip(entries, commons, strict=True)):
+            self.slot[g, self.number[common]] = np.arange(len(common))
+            at = self.slot[g].take(self.number[self.term[here]], mode="wrap")
+            here = here[at >= 0]
+            rest[here] = False
+            matrix[place[vector[here]], at[at >= 0]] = own[here]
+        del entries
+        self.matrix = matrix
         # Blocks end with their group.
-        starts = np.searchsorted(of[self.order], np.arange(len(self.centres) + 1))
         cuts = [np.arange(a, b, BLOCK) for a, b in zip(starts[:-1], starts[1:], strict=True)]
         self.blocks = np.concatenate(cuts)
         self.ends = np.append(self.blocks[1:], n)
         self.first_block = np.concatenate([[0], np.cumsum([len(c) for c in cuts])])
-        self.most = np.maximum.reduceat(self.matrix, self.blocks, axis=0)
-        self.longest = np.maximum.reduceat(length[self.order], self.blocks)
-        place = np.empty(n, np.int32)
-        place[self.order] = np.arange(n, dtype=np.int32)
+        self.most = np.maximum.reduceat(matrix, self.blocks, axis=0)
+        self.longest = np.maximum.reduceat(np.sqrt(np.einsum("ij,ij->i", matrix, matrix)), self.blocks)
         rest = np.flatnonzero(rest).astype(np.int32)
         rest = rest[np.argsort(self.term[rest], kind="stable")]
         self.posting = beside(place[vector[rest]], own[rest])
@@ -166,14 +175,11 @@ class Index:
         self.query = np.zeros(len(self.scale))
         self.ready = True
 
-    def _common(self, here: np.ndarray) -> np.ndarray:
-        """For each term its number among the COMMON terms that most vectors of these entries have, or -1."""
-        df = np.bincount(self.term[here], minlength=len(self.scale))
-        out = np.full(len(df), -1, np.int16)
+    def _common(self, terms: np.ndarray) -> np.ndarray:
+        """The COMMON terms that occur most often."""
+        df = np.bincount(terms, minlength=len(self.scale))
         common = np.argsort(-df, kind="stable")[:COMMON]
-        common = common[df[common] > 0]
-        out[common] = np.arange(len(common))
-        return out
+        return common[df[common] > 0]
 
     def rest(self, row: np.ndarray, term: np.ndarray, own: np.ndarray, rows: int) -> np.ndarray:
         """What terms that are not common in an example's group add to the cosines of texts (rows) with it, in single precision."""
@@ -195,9 +201,10 @@ class Index:
         n = len(self.first_id)
         rest = self.rest(row, term, own, rows)
         bound = np.maximum.reduceat(rest, self.blocks, axis=1)
-        asked = np.zeros((len(self.centres), rows, COMMON), np.float32)
+        asked = np.zeros((len(self.centres), rows, self.matrix.shape[1]), np.float32)
+        number = self.number.take(term)
         for g, weights in enumerate(asked):
-            slot = self.slot[g].take(term)
+            slot = self.slot[g].take(number, mode="wrap")
             common = np.flatnonzero(slot >= 0)
             weights[row.take(common), slot.take(common)] = own.take(common)
             own_blocks = slice(self.first_block[g], self.first_block[g + 1])
@@ -272,7 +279,7 @@ class Index:
         for first in range(0, rows, 500):
             last = min(first + 500, rows)
             here = np.flatnonzero((slot >= 0) & (row >= first) & (row < last))
-            weights = np.zeros((last - first, COMMON), np.float32)
+            weights = np.zeros((last - first, self.matrix.shape[1]), np.float32)
             weights[row[here] - first, slot[here]] = own[here]
             nearest[first:last] = (weights @ self.centres.T).argmax(1)
         return np.argsort(nearest, kind="stable")
@@ -385,7 +392,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2,
     pairs = pc.list_flatten(table.column("vector")).to_numpy().reshape(-1, 2)
     offsets = np.concatenate([[0], np.cumsum(size[some] // 2)]).astype(np.int64)
     scale = (np.log((1 + n) / (1 + df)) + 1) * (1 + g2 / g2_unit)
-    return Index(terms, scale, offsets, pairs[:, 0].astype(np.int32), pairs[:, 1].astype(np.int32), pos[some], neg[some], first_id[some], float(empty), float(prior))
+    times = pairs[:, 1].astype(np.min_scalar_type(int(pairs[:, 1].max(initial=1))))
+    return Index(terms, scale, offsets, pairs[:, 0].astype(np.int32), times, pos[some], neg[some], first_id[some], float(empty), float(prior))
 
 
 def apply(docs: DataFrame, index: Index, keep: list[str] | None = None) -> DataFrame:
