@@ -21,6 +21,7 @@ are left out; without examples every score is 0; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
@@ -83,6 +84,12 @@ def clusters_of(rows: np.ndarray, count: int = CLUSTERS, rounds: int = 6) -> tup
     return of, centres
 
 
+def most_common(df: np.ndarray) -> np.ndarray:
+    """The COMMON numbers of the highest counts, without those of none."""
+    common = np.argsort(-df, kind="stable")[:COMMON]
+    return common[df[common] > 0]
+
+
 def beside(numbers: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """A number (32 bits) and a weight (single precision) in one 64-bit word each."""
     out = np.empty((len(numbers), 2), np.int32)
@@ -116,7 +123,7 @@ class Index:
         return [(self.term[a:b].astype(np.int64), self.times[a:b]) for a, b in zip(self.offsets[:-1], self.offsets[1:], strict=True)]
 
     def weights(self, term: np.ndarray, times: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(times.astype(np.float64))) * self.scale[term]
+        w = (1 + np.log(np.asarray(times, np.float64))) * self.scale[term]
         return w / np.sqrt((w * w).sum())
 
     def prepare(self) -> None:
@@ -128,38 +135,42 @@ class Index:
         if self.ready:
             return
         n, size = len(self.first_id), np.diff(self.offsets)
-        vector = np.repeat(np.arange(n, dtype=np.int32), size)
-        own = (1 + np.log(self.times.astype(np.float64))) * self.scale[self.term]
-        own /= np.sqrt(np.bincount(vector, own * own, minlength=n))[vector]
-        self.weight = own
+        self.tf = 1 + np.log(np.arange(1, int(self.times.max(initial=1)) + 1))
+        self.norm, squares, df = np.ones(n), np.zeros(n), np.zeros(len(self.scale), np.int64)
+        for of, term, own in self._entries([np.arange(a, min(a + 512, n)) for a in range(0, n, 512)]):
+            squares += np.bincount(of, own * own, minlength=n)
+            df += np.bincount(term, minlength=len(df))
+        self.norm = np.sqrt(squares)
         self.sorter = np.full(len(self.scale), -1, np.int16)
-        common = self._common(self.term)
+        common = most_common(df)
         self.sorter[common] = np.arange(len(common))
-        at = np.flatnonzero(self.sorter[self.term] >= 0)
         matrix = np.zeros((n, COMMON), np.float32)
-        matrix[vector[at], self.sorter[self.term[at]]] = own[at]
-        of, self.centres = clusters_of(matrix)
-        groups = len(self.centres)
-        self.order = np.argsort(of, kind="stable")
-        starts = np.searchsorted(of[self.order], np.arange(groups + 1))
+        for of, term, own in self._entries([np.arange(a, min(a + 512, n)) for a in range(0, n, 512)]):
+            column = self.sorter.take(term)
+            matrix[of[column >= 0], column[column >= 0]] = own[column >= 0]
+        cluster, self.centres = clusters_of(matrix)
+        self.order = np.argsort(cluster, kind="stable")
+        starts = np.searchsorted(cluster[self.order], np.arange(len(self.centres) + 1))
         place = np.empty(n, np.int32)
         place[self.order] = np.arange(n, dtype=np.int32)
+        matrix[:] = 0
+        commons, rest_terms, rest = [], [], []
+        column = np.full(len(self.scale), -1, np.int16)
+        for of, term, own in self._entries([self.order[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]):
+            commons.append(most_common(np.bincount(term, minlength=len(df))))
+            column[commons[-1]] = np.arange(len(commons[-1]))
+            at = column.take(term)
+            matrix[place[of[at >= 0]], at[at >= 0]] = own[at >= 0]
+            rest_terms.append(term[at < 0])
+            rest.append(beside(place[of[at < 0]], own[at < 0]))
+            column[commons[-1]] = -1
         # Of terms that are common in some group: a number, and their columns in each group.
-        entries = [spans(self.offsets[v], size[v]) for v in (self.order[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True))]
-        commons = [self._common(self.term[here]) for here in entries]
         some = np.unique(np.concatenate(commons))
         self.number = np.full(len(self.scale), -1, np.int32)
         self.number[some] = np.arange(len(some))
-        self.slot = np.full((groups, len(some) + 1), -1, np.int16)  # the last for all other terms
-        matrix[:] = 0
-        rest = np.ones(len(self.term), bool)
-        for g, (here, common) in enumerate(zip(entries, commons, strict=True)):
+        self.slot = np.full((len(self.centres), len(some) + 1), -1, np.int16)  # the last for all other terms
+        for g, common in enumerate(commons):
             self.slot[g, self.number[common]] = np.arange(len(common))
-            at = self.slot[g].take(self.number[self.term[here]], mode="wrap")
-            here = here[at >= 0]
-            rest[here] = False
-            matrix[place[vector[here]], at[at >= 0]] = own[here]
-        del entries
         self.matrix = matrix
         # Blocks end with their group.
         cuts = [np.arange(a, b, BLOCK) for a, b in zip(starts[:-1], starts[1:], strict=True)]
@@ -168,18 +179,22 @@ class Index:
         self.first_block = np.concatenate([[0], np.cumsum([len(c) for c in cuts])])
         self.most = np.maximum.reduceat(matrix, self.blocks, axis=0)
         self.longest = np.maximum.reduceat(np.sqrt(np.einsum("ij,ij->i", matrix, matrix)), self.blocks)
-        rest = np.flatnonzero(rest).astype(np.int32)
-        rest = rest[np.argsort(self.term[rest], kind="stable")]
-        self.posting = beside(place[vector[rest]], own[rest])
-        self.begin = np.concatenate([[0], np.cumsum(np.bincount(self.term[rest], minlength=len(self.scale)))])
+        term, rest = np.concatenate(rest_terms), np.concatenate(rest)
+        self.posting = rest[np.argsort(term, kind="stable")]
+        df[:] = 0
+        for a in range(0, len(term), 1 << 20):
+            df += np.bincount(term[a : a + (1 << 20)], minlength=len(df))
+        self.begin = np.concatenate([[0], np.cumsum(df)])
         self.query = np.zeros(len(self.scale))
         self.ready = True
 
-    def _common(self, terms: np.ndarray) -> np.ndarray:
-        """The COMMON terms that occur most often."""
-        df = np.bincount(terms, minlength=len(self.scale))
-        common = np.argsort(-df, kind="stable")[:COMMON]
-        return common[df[common] > 0]
+    def _entries(self, parts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        """Of each part (numbers of vectors): all its entries' vector, term and weight."""
+        for part in parts:
+            size = self.offsets[part + 1] - self.offsets[part]
+            here = spans(self.offsets[part], size)
+            of, term = np.repeat(part, size), self.term.take(here)
+            yield of, term, self.tf.take(self.times.take(here) - 1) * self.scale.take(term) / self.norm.take(of)
 
     def rest(self, row: np.ndarray, term: np.ndarray, own: np.ndarray, rows: int) -> np.ndarray:
         """What terms that are not common in an example's group add to the cosines of texts (rows) with it, in single precision."""
@@ -238,13 +253,13 @@ class Index:
             # Each vector has a vote, so that the k best vectors have k votes at least.
             at = at[near >= np.partition(near, len(at) - k)[len(at) - k] - np.float32(SLACK)]
         at = self.order.take(places.take(at))
-        self.query[term] = own
+        self.query[term] = own * self.scale.take(term)
         begin = self.offsets.take(at)
         length = self.offsets.take(at + 1) - begin
         posting = spans(begin, length)
         value = self.query.take(self.term.take(posting))
-        value *= self.weight.take(posting)
-        cosine = np.add.reduceat(value, np.cumsum(length) - length) if len(at) else np.zeros(0)
+        value *= self.tf.take(self.times.take(posting) - 1)
+        cosine = np.add.reduceat(value, np.cumsum(length) - length) / self.norm.take(at) if len(at) else np.zeros(0)
         self.query[term] = 0
         near = np.lexsort((at, -cosine))
         at, cosine = at[near], cosine[near]
@@ -257,7 +272,7 @@ class Index:
     def nearest_of(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each text (row: ascending numbers, all of them from 0): the vectors of at least k examples with the greatest cosines, ties at the end included, and their cosines."""
         self.prepare()
-        own = (1 + np.log(times)) * self.scale[term]
+        own = (1 + np.log(np.asarray(times, np.float64))) * self.scale[term]
         rows = int(row[-1]) + 1 if len(row) else 0
         own = own / np.sqrt(np.bincount(row, own * own, minlength=rows))[row]
         cuts = np.searchsorted(row, np.arange(rows + 1))
