@@ -40,10 +40,12 @@ NEIGHBOURS = 25
 #: The most common terms of a group, whose weights are multiplied as a matrix.
 COMMON = 512
 #: Examples of one block of the index, and groups of similar examples.
-BLOCK = 64
-CLUSTERS = 64
+BLOCK = 128
+CLUSTERS = 32
 #: Texts that are scored at once.
-CHUNK = 64
+CHUNK = 256
+#: Texts whose postings are added up at once.
+ADDED = 32
 #: Cosines of the first look are single precision; what lies so near the k-th best is looked at again.
 SLACK = 1e-5
 SHRINK = 2.0
@@ -84,6 +86,15 @@ def clusters_of(rows: np.ndarray, count: int = CLUSTERS, rounds: int = 6) -> tup
     return of, centres
 
 
+def nearest_places(cosines: np.ndarray, least: np.float32, k: int) -> np.ndarray:
+    """Where the k greatest cosines of at least so much stand, and those within SLACK of the last of them."""
+    at = np.flatnonzero(cosines >= least)
+    if len(at) > k:
+        own = cosines.take(at)
+        at = at[own >= np.partition(own, len(at) - k)[len(at) - k] - np.float32(SLACK)]
+    return at
+
+
 def most_common(df: np.ndarray) -> np.ndarray:
     """The COMMON numbers of the highest counts, without those of none."""
     common = np.argsort(-df, kind="stable")[:COMMON]
@@ -180,11 +191,12 @@ class Index:
         self.most = np.maximum.reduceat(matrix, self.blocks, axis=0)
         self.longest = np.maximum.reduceat(np.sqrt(np.einsum("ij,ij->i", matrix, matrix)), self.blocks)
         term, rest = np.concatenate(rest_terms), np.concatenate(rest)
-        self.posting = rest[np.argsort(term, kind="stable")]
+        rest = rest[np.argsort(term, kind="stable")]
         df[:] = 0
         for a in range(0, len(term), 1 << 20):
             df += np.bincount(term[a : a + (1 << 20)], minlength=len(df))
-        self.begin = np.concatenate([[0], np.cumsum(df)])
+        self.postings = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(df)]).astype(np.int32)), pa.array(rest))
+        self.length = df
         self.query = np.zeros(len(self.scale))
         self.ready = True
 
@@ -200,92 +212,109 @@ class Index:
         """What terms that are not common in an example's group add to the cosines of texts (rows) with it, in single precision."""
         n = len(self.first_id)
         out = np.zeros((rows, n), np.float32)
-        length = self.begin[term + 1] - self.begin[term]
-        # A place (or a text's first cell) and a weight stand side by side in eight bytes, so that both are fetched at once.
-        found = self.posting.take(spans(self.begin[term], length)).view(np.int32).reshape(-1, 2)
-        asked = np.repeat(beside(row * n, own), length).view(np.int32).reshape(-1, 2)
-        np.add.at(out.reshape(-1), found[:, 0] + asked[:, 0], found.view(np.float32)[:, 1] * asked.view(np.float32)[:, 1])
+        cuts = np.searchsorted(row, np.arange(0, rows + ADDED, ADDED))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            # A place (or a text's first cell) and a weight stand side by side in eight bytes, so that both are fetched at once.
+            found = self.postings.take(pa.array(term[a:b])).flatten().to_numpy().view(np.int32).reshape(-1, 2)
+            asked = np.repeat(beside(row[a:b] * n, own[a:b]), self.length.take(term[a:b])).view(np.int32).reshape(-1, 2)
+            np.add.at(out.reshape(-1), found[:, 0] + asked[:, 0], found.view(np.float32)[:, 1] * asked.view(np.float32)[:, 1])
         return out
 
-    def rough(self, row: np.ndarray, term: np.ndarray, own: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of texts (rows): the places of examples in blocks that can hold a near one, the cosines with them in single precision, and the least that counts.
+    def rough(self, row: np.ndarray, term: np.ndarray, own: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts (rows): cosines with the examples by place, in single precision, and the least that counts. What cannot reach it may be too low.
 
         A block's bound: what its terms weigh at most. The two best blocks of each text give a first
-        k-th cosine; blocks whose bound stays below it for all texts are never looked at.
+        k-th cosine; blocks whose bound stays below it are never looked at.
         """
-        n = len(self.first_id)
-        rest = self.rest(row, term, own, rows)
-        bound = np.maximum.reduceat(rest, self.blocks, axis=1)
+        out = self.rest(row, term, own, rows)
+        bound = np.maximum.reduceat(out, self.blocks, axis=1)
         asked = np.zeros((len(self.centres), rows, self.matrix.shape[1]), np.float32)
         number = self.number.take(term)
+        some = np.flatnonzero(number >= 0)
+        row, number, own = row.take(some), number.take(some), own.take(some).astype(np.float32)
+        group = np.repeat(np.arange(len(self.centres)), np.diff(self.first_block))
         for g, weights in enumerate(asked):
-            slot = self.slot[g].take(number, mode="wrap")
+            slot = self.slot[g].take(number)
             common = np.flatnonzero(slot >= 0)
             weights[row.take(common), slot.take(common)] = own.take(common)
             own_blocks = slice(self.first_block[g], self.first_block[g + 1])
-            bound[:, own_blocks] += np.minimum(weights @ self.most[own_blocks].T, np.linalg.norm(weights, axis=1)[:, None] * self.longest[own_blocks])
-        places = np.zeros(n, bool)
-        done = np.zeros(len(self.blocks), bool)
+            bound[:, own_blocks] += np.minimum(weights @ self.most[own_blocks].T, np.sqrt(np.einsum("ij,ij->i", weights, weights))[:, None] * self.longest[own_blocks])
 
         def look(wanted: np.ndarray) -> None:
-            for g, weights in enumerate(asked):
-                first, last = self.first_block[g : g + 2]
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], wanted[first:last], [False]]).astype(np.int8))) + first
-                for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                    run = slice(self.blocks[a], self.ends[b - 1])
-                    rest[:, run] += weights @ self.matrix[run].T
-                    places[run] = True
-            done[wanted] = True
-
-        first = np.zeros(len(self.blocks), bool)
-        first[np.argpartition(bound, -min(2, bound.shape[1]), axis=1)[:, -2:]] = True
+            for b in np.flatnonzero(wanted.any(0)).tolist():
+                texts = np.flatnonzero(wanted[:, b])
+                run = slice(self.blocks[b], self.ends[b])
+                out[texts, run] += asked[group[b]].take(texts, axis=0) @ self.matrix[run].T
+
+        first = np.zeros(bound.shape, bool)
+        best = np.argpartition(bound, -min(2, bound.shape[1]), axis=1)[:, -2:]
+        first[np.arange(rows)[:, None], best] = True
         look(first)
-        at = np.flatnonzero(places)
-        least = np.partition(rest[:, at], len(at) - k, axis=1)[:, len(at) - k] - np.float32(SLACK) if len(at) > k else np.full(rows, -1.0, np.float32)
-        look((bound >= least[:, None] - SLACK).any(0) & ~done)
-        at = np.flatnonzero(places)
-        return at, rest[:, at], least
-
-    def chosen(self, places: np.ndarray, rough: np.ndarray, least: float, term: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(rough >= max(least, np.nextafter(np.float32(0), np.float32(1))))
-        near = rough.take(at)
-        if len(at) > k:
-            # Each vector has a vote, so that the k best vectors have k votes at least.
-            at = at[near >= np.partition(near, len(at) - k)[len(at) - k] - np.float32(SLACK)]
-        at = self.order.take(places.take(at))
+        place = self.blocks[best][:, :, None] + np.arange(BLOCK)
+        seen = np.where(place < self.ends[best][:, :, None], out[np.arange(rows)[:, None, None], np.minimum(place, out.shape[1] - 1)], np.float32(-1)).reshape(rows, -1)
+        least = np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k] - np.float32(SLACK) if seen.shape[1] >= k else np.full(rows, -1.0, np.float32)
+        look((bound >= least[:, None] - SLACK) & ~first)
+        return out, least
+
+    def exact(self, at: np.ndarray, term: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Cosines of a text with some vectors in double precision."""
         self.query[term] = own * self.scale.take(term)
         begin = self.offsets.take(at)
         length = self.offsets.take(at + 1) - begin
         posting = spans(begin, length)
-        value = self.query.take(self.term.take(posting))
-        value *= self.tf.take(self.times.take(posting) - 1)
-        cosine = np.add.reduceat(value, np.cumsum(length) - length) / self.norm.take(at) if len(at) else np.zeros(0)
+        value = self.query.take(self.term.take(posting)) * self.tf.take(self.times.take(posting) - 1)
         self.query[term] = 0
-        near = np.lexsort((at, -cosine))
-        at, cosine = at[near], cosine[near]
-        enough = int(np.searchsorted(np.cumsum(self.positive[at] + self.negative[at]), k))
-        if enough < len(at):
-            keep = cosine >= cosine[enough] - 1e-12
-            at, cosine = at[keep], cosine[keep]
-        return at, cosine
-
-    def nearest_of(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each text (row: ascending numbers, all of them from 0): the vectors of at least k examples with the greatest cosines, ties at the end included, and their cosines."""
+        return np.bincount(np.repeat(np.arange(len(at)), length), value, minlength=len(at)) / self.norm.take(at)
+
+    def nearest_of(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, vector, cosine) by text and falling cosine: of each text (row: ascending numbers, all of them from 0) the vectors of at least k examples with the greatest cosines, ties at the end included.
+
+        Cosines are single precision; where the last vector lies within SLACK of the next one, all near it are taken in double precision.
+        """
         self.prepare()
         own = (1 + np.log(np.asarray(times, np.float64))) * self.scale[term]
         rows = int(row[-1]) + 1 if len(row) else 0
         own = own / np.sqrt(np.bincount(row, own * own, minlength=rows))[row]
         cuts = np.searchsorted(row, np.arange(rows + 1))
-        out: list = [None] * rows
+        votes = self.positive + self.negative
+        found = []
         # Texts of one cluster stand together: they look at the same blocks.
         for here in np.array_split(self._by_cluster(row, term, own, rows), -(-rows // CHUNK)) if rows else []:
             size = cuts[here + 1] - cuts[here]
             at = spans(cuts[here], size)
-            places, rough, least = self.rough(np.repeat(np.arange(len(here)), size), term[at], own[at], len(here), k)
-            for j, i in enumerate(here.tolist()):
-                mine = slice(cuts[i], cuts[i + 1])
-                out[i] = self.chosen(places, rough[j], least[j], term[mine], own[mine], k)
-        return out
+            rough, least = self.rough(np.repeat(np.arange(len(here)), size), term[at], own[at], len(here), k)
+            best = [nearest_places(x, y, k) for x, y in zip(rough, np.maximum(least, np.nextafter(np.float32(0), np.float32(1))), strict=True)]
+            text, place = np.repeat(np.arange(len(here)), [len(x) for x in best]), np.concatenate(best)
+            cosine = rough[text, place].astype(np.float64)
+            vector = self.order.take(place)
+            near = np.lexsort((vector, -cosine, text))
+            text, cosine, vector = text[near], cosine[near], vector[near]
+            first = np.searchsorted(text, np.arange(len(here) + 1))
+            # Vectors before which there are less than k votes stay, and what ties with the last of them.
+            before = np.cumsum(votes[vector]) - votes[vector]
+            keep = before - before[np.minimum(first[:-1], len(text) - 1)][text] < k
+            last = np.bincount(text[keep], minlength=len(here)) + first[:-1] - 1
+            edge = np.flatnonzero((last >= first[:-1]) & (last + 1 < first[1:]))
+            close = edge[cosine[last[edge]] - cosine[last[edge] + 1] < SLACK]
+            for j in close.tolist():
+                mine = np.arange(first[j], first[j + 1])
+                mine = mine[cosine[mine] >= cosine[last[j]] - SLACK]
+                entries = slice(cuts[here[j]], cuts[here[j] + 1])
+                value = self.exact(vector[mine], term[entries], own[entries])
+                again = np.lexsort((vector[mine], -value))
+                vector[mine], cosine[mine] = vector[mine][again], value[again]
+                enough = int(np.searchsorted(np.cumsum(votes[vector[mine]]), k))
+                keep[mine] = value[again] >= value[again][min(enough, len(mine) - 1)] - 1e-12
+            found.append((here[text[keep]], vector[keep], cosine[keep]))
+        if not found:
+            return self._nothing()
+        text, vector, cosine = (np.concatenate([f[i] for f in found]) for i in range(3))
+        near = np.argsort(text, kind="stable")
+        return text[near], vector[near], cosine[near]
+
+    @staticmethod
+    def _nothing() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
     def _by_cluster(self, row: np.ndarray, term: np.ndarray, own: np.ndarray, rows: int) -> np.ndarray:
         """Texts in the order of the group next to them."""
@@ -300,21 +329,21 @@ class Index:
         return np.argsort(nearest, kind="stable")
 
     def nearest(self, term: np.ndarray, times: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        return self.nearest_of(np.zeros(len(term), np.int64), term, times, k)[0]
+        return self.nearest_of(np.zeros(len(term), np.int64), term, times, k)[1:]
 
     def score(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, rows: int) -> tuple[np.ndarray, pa.Array]:
         """Score and evidence of each of so many texts."""
-        scores = np.full(rows, self.empty)
-        size, ids, cosines = np.zeros(rows, np.int32), [], []
-        if len(self.first_id):
-            present, place = np.unique(row, return_inverse=True)
-            for i, (at, cosine) in zip(present.tolist(), self.nearest_of(place, term, times), strict=True):
-                pos, neg = (cosine * self.positive[at]).sum(), (cosine * self.negative[at]).sum()
-                scores[i] = (pos + SHRINK * self.prior) / (pos + neg + SHRINK)
-                size[i] = min(len(at), EVIDENCE)
-                ids.append(self.first_id[at[:EVIDENCE]])
-                cosines.append(cosine[:EVIDENCE])
-        near = pa.StructArray.from_arrays([pa.array(np.concatenate([*ids, np.zeros(0, np.int64)])), pa.array(np.concatenate([*cosines, np.zeros(0)]))], names=["doc_id", "cosine"])
+        present, place = np.unique(row, return_inverse=True)
+        text, vector, cosine = self.nearest_of(place, term, times) if len(self.first_id) else self._nothing()
+        text = present[text]
+        pos, neg = (np.bincount(text, cosine * share[vector], minlength=rows) for share in (self.positive, self.negative))
+        scores = np.where(np.bincount(row, minlength=rows) > 0, (pos + SHRINK * self.prior) / (pos + neg + SHRINK), self.empty)
+        if not len(self.first_id):
+            scores[:] = self.empty
+        nth = np.arange(len(text)) - np.searchsorted(text, text)
+        shown = nth < EVIDENCE
+        near = pa.StructArray.from_arrays([pa.array(self.first_id[vector[shown]]), pa.array(cosine[shown])], names=["doc_id", "cosine"])
+        size = np.bincount(text[shown], minlength=rows)
         return scores, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), near)
 
 
