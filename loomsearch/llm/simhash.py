@@ -1,12 +1,15 @@
 """SimHash near-duplicates by segment popcounts.
 
-A fingerprint is mapped to the popcounts of its 2-bit segments. The Manhattan distance of two
-such vectors never exceeds the Hamming distance, so links can be sought on a grid of popcounts.
-The 32 counts are split in two halves: within distance 3, one half differs by at most 1. Each
-distinct fingerprint is stored in the cell of either half's counts and looks in that cell and in
-the cells one step away along one segment. The full Manhattan distance then discards candidates,
-and popcount(xor) decides. Exact copies meet as one fingerprint first, so a group of copies costs
-one row; linked fingerprints become components by alternating large-star and small-star rounds.
+A fingerprint is mapped to the popcounts of its 2-bit segments. The Manhattan distance of two such
+vectors never exceeds the Hamming distance, so links can be sought on a grid of popcounts. The 32
+counts are split in groups; a distance of 3 touches at most 3 of them, so of 7 groups 4 have equal
+counts at least. Each distinct fingerprint stands in one cell for each choice of 4 groups, and
+fingerprints of one cell are compared: the Manhattan distance of all counts discards candidates, and
+popcount(xor) decides. Of all cells that two fingerprints share, only the first choice counts, so each
+link is found once. A cell's key holds 25.9 bits (collision entropy of random counts) with 7 groups
+and 30.2 with 9, which are used for many fingerprints; the links are the same. Exact copies meet as
+one fingerprint first, so a group of copies costs one row; linked fingerprints become components by
+alternating large-star and small-star rounds.
 
 Defined cases: texts without words (null, empty) have fingerprint zero and link like any other;
 fewer words than a shingle form one shingle; repeated rows and null doc_ids stay as they are (a
@@ -16,6 +19,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,6 +33,8 @@ SHINGLE = 3
 SEED = 42
 DISTANCE = 3
 SEGMENT_BITS = 2
+#: Groups of segments, and from how many distinct fingerprints on there are more of them.
+GROUPS, MORE_GROUPS, MANY = 7, 9, 1 << 26
 #: Even bits of a word: sums of neighbouring bits stand in fields of two.
 EVEN = 0x5555555555555555
 
@@ -79,31 +86,47 @@ def segment_counts(fp: Column) -> Column:
     return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
-def count_distance(a: str, b: str) -> Column:
+def count_distance(x: Column, y: Column) -> Column:
     """Manhattan distance of two words of 2-bit counts in 0..2: |x - y| is 2 where the high or the zero states oppose, else the xor of the low bits."""
-    x, y, even = F.col(a), F.col(b), F.lit(EVEN)
+    even = F.lit(EVEN)
     low = x.bitwiseXOR(y).bitwiseAND(even)  # one of them is 1, the other 0 or 2
     high = F.shiftrightunsigned(x.bitwiseXOR(y), 1).bitwiseAND(even)
     far = high.bitwiseAND(low.bitwiseXOR(even))  # 0 against 2
     return F.bit_count(low) + 2 * F.bit_count(far)
 
 
-def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Pairs a < b of distinct fingerprints (column fp) that differ in at most `distance` bits, which must be 3 or less."""
-    if distance > 3:
-        raise ValueError("one half within one step holds for distances up to 3")
-    half = F.explode(F.array(*[F.struct(F.lit(h).alias("half"), (F.shiftrightunsigned("counts", 32 * h).bitwiseAND(F.lit(0xFFFFFFFF))).alias("cell")) for h in (0, 1)]))
-    placed = fps.select("fp", segment_counts(F.col("fp")).alias("counts")).select("fp", "counts", half.alias("x")).select("fp", "counts", "x.half", "x.cell")
-    steps = []
-    for s in range(16):
-        unit = 1 << (SEGMENT_BITS * s)
-        count = F.shiftrightunsigned("cell", SEGMENT_BITS * s).bitwiseAND(F.lit(3))
-        steps += [F.when(count < 2, F.col("cell") + F.lit(unit)), F.when(count > 0, F.col("cell") - F.lit(unit))]
-    near = F.explode(F.filter(F.array(F.col("cell"), *steps), lambda c: c.isNotNull()))
-    seek = placed.select(F.col("fp").alias("b"), F.col("counts").alias("b_counts"), "half", near.alias("cell"))
-    kept = placed.select(F.col("fp").alias("a"), F.col("counts").alias("a_counts"), "half", "cell")
-    within = (F.col("a") < F.col("b")) & (count_distance("a_counts", "b_counts") <= distance) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return kept.join(seek.withColumnRenamed("half", "half2").withColumnRenamed("cell", "cell2"), (F.col("half") == F.col("half2")) & (F.col("cell") == F.col("cell2")) & within).select("a", "b").distinct()
+def signed(word: int) -> int:
+    """The long with the same 64 bits."""
+    return word - (1 << 64) if word >> 63 else word
+
+
+def group_masks(groups: int) -> list[int]:
+    """Bits of the counts of each group of segments; sizes differ by one at most."""
+    edges = [64 // SEGMENT_BITS * g // groups * SEGMENT_BITS for g in range(groups + 1)]
+    return [(1 << b) - (1 << a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def links(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) -> DataFrame:
+    """Pairs a < b of distinct fingerprints (column fp) that differ in at most `distance` bits, fewer than there are groups."""
+    if not 0 <= distance < groups <= 32:
+        raise ValueError(f"distance {distance} needs more than so many groups, 32 at most: {groups}")
+    masks = group_masks(groups)
+    choices = [c for c in itertools.combinations(range(groups), groups - distance)]
+    cells = []
+    for chosen in choices:
+        # Groups before the last chosen one that are not chosen: where they agree too, an earlier choice has the pair.
+        skipped = sum(1 << g for g in range(chosen[-1]) if g not in chosen)
+        mask = signed(sum(masks[g] for g in chosen))
+        cells.append(F.struct(F.lit(sum(1 << g for g in chosen)).alias("choice"), F.lit(skipped).alias("skipped"), F.col("counts").bitwiseAND(F.lit(mask)).alias("cell")))
+    placed = fps.select("fp", segment_counts(F.col("fp")).alias("counts")).select("fp", F.explode(F.array(*cells)).alias("x")).select("fp", "x.choice", "x.skipped", "x.cell")
+    left = placed.select(F.col("fp").alias("a"), "choice", "skipped", "cell")
+    right = placed.select(F.col("fp").alias("b"), F.col("choice").alias("choice_b"), F.col("cell").alias("cell_b"))
+    x, y = segment_counts(F.col("a")), segment_counts(F.col("b"))
+    agree = F.lit(0)
+    for g, mask in enumerate(masks):
+        agree = agree.bitwiseOR(F.when(x.bitwiseXOR(y).bitwiseAND(F.lit(signed(mask))) == 0, 1 << g).otherwise(0))
+    within = (F.col("a") < F.col("b")) & (count_distance(x, y) <= distance) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance) & (agree.bitwiseAND(F.col("skipped")) == 0)
+    return left.join(right, (F.col("choice") == F.col("choice_b")) & (F.col("cell") == F.col("cell_b")) & within).select("a", "b")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -133,7 +156,9 @@ def grouped(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, s
     """doc_id, k1, k2, fp, root (the least fingerprint of its component) and component_id of every document."""
     own = materialise(fingerprints(docs, shingle, seed), "fingerprints")
     groups = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(groups.select("fp"), distance))
+    # Dealt anew, as few bytes become many rows: the explode should not run in a few merged partitions.
+    groups = materialise(groups.repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"), "groups")
+    roots = components(links(groups.select("fp"), distance, MORE_GROUPS if groups.count() >= MANY else GROUPS))
     of = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return own.join(of.join(least, "root").select("fp", "root", "component_id"), "fp")

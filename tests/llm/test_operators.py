@@ -323,6 +323,30 @@ def test_simhash(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() == simhash.near_duplicates(docs).select("component_id").distinct().count()
 
 
+def test_simhash_components(spark):
+    """Classes of the whole operator against brute force: chains of edited texts, copies, empty texts, clashing columns."""
+    r = random.Random(12)
+    texts = [None, "", "one", "One", "!"]
+    for _ in range(12):
+        w = [f"w{r.randrange(300)}" for _ in range(r.choice([4, 60, 500, 1500]))]
+        for _ in range(6):
+            texts.append(" ".join(w))
+            w = list(w)
+            w[r.randrange(len(w))] = f"n{r.randrange(300)}"
+    texts += texts[::9]
+    ids = list(range(len(texts)))
+    r.shuffle(ids)
+    rows = list(zip(ids, texts, ids, strict=True))
+    fp = {i: int(slow_fingerprint(t)) for i, t, _ in rows}
+    root = {i: i for i in ids}
+    for _ in ids:
+        for i in ids:
+            root[i] = min(root[j] for j in ids if bin(fp[i] ^ fp[j]).count("1") <= 3)
+    got = {x.doc_id: (x.fingerprint, x.component_id) for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp long").repartition(3)).collect()}
+    assert got == {i: (f"{fp[i]:016x}", root[i]) for i in ids}
+    assert len(set(root.values())) < len({*fp.values()})
+
+
 def test_links(spark):
     r = random.Random(8)
     fps = {0, (1 << 64) - 1, 0x5555555555555555, 0xAAAAAAAAAAAAAAAA}
@@ -335,9 +359,15 @@ def test_links(spark):
                 x ^= 1 << b
             fps.add(x)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    edges = {(e.a, e.b) for e in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
     want = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 3}
-    assert edges == want and len(want) > 50
+    for groups in (simhash.GROUPS, simhash.MORE_GROUPS, 4):
+        edges = [(e.a, e.b) for e in simhash.links(df, groups=groups).collect()]
+        assert sorted(edges) == sorted(want) and len(want) > 50  # each link once
+    near = {(a, b) for a, b in want if bin((a ^ b) & (1 << 64) - 1).count("1") <= 1}
+    assert {(e.a, e.b) for e in simhash.links(df, 1).collect()} == near
+    with pytest.raises(ValueError):
+        simhash.links(df, 7)
     chain = spark.createDataFrame([(k, k + 1) for k in range(1, 30)] + [(100, 101), (101, 102)], "a long, b long")
     assert {(x.node, x.root) for x in simhash.components(chain).collect()} == {(k, 1) for k in range(1, 31)} | {(k, 100) for k in (100, 101, 102)}
 
