@@ -4,18 +4,25 @@ Every window of `window` words is an edge of the De Bruijn graph over word seque
 are the window without its last and without its first word. Edges never leave their document one
 by one. Each is assigned to its anchor, the least-hashed seed of `seed` words inside it, and the
 consecutive edges of one anchor are compacted into one path, as its words leave no branch between
-them. Only paths are shuffled: about one row in twelve words.
-
-1. Paths meet on their anchor. A path whose whole content stands elsewhere too is a repeated
-   nonbranching path: all its edges repeat, and its source coordinates become spans.
-2. Where an anchor has several contents, the graph branches inside the path. One path of each
-   content is looked up in its source by its coordinates and taken apart into edges, which meet
-   on (anchor, edge); edges found more than once make the other spans.
-3. Spans join their documents and the covered words go.
+them: about one row in twelve words, of at most window - seed + 1 edges.
+
+1. Anchors are counted, with the least and greatest content of their paths: partial sums before the
+   shuffle, so a passage of very many documents is a few rows. An anchor met once is done with. One
+   with a single content is a nonbranching path that repeats as a whole; where contents differ, the
+   graph branches inside the path.
+2. The texts are read again and give the paths of repeated anchors, those of branching ones with
+   their edges. A bit set of fixed size keeps most other paths out of the shuffle; the join on the
+   anchor decides.
+3. Of branching paths one of each content is taken apart into edges; edges found more than once are
+   hits of their content. Contents join their paths, and coordinates become spans.
+4. Spans join their documents, which are shuffled once, and the covered words go.
+
+Hot anchors, contents and edges are only ever summed or looked up in a table with one row a key, so
+Spark splits the skewed side of such joins; no group is gathered in one task.
 
 Contents and edges are compared by 128 bits: 64 of the anchor and 64 of an independent hash of
 all words. Repeats inside one document are merged before the shuffle, so a text of one repeated
-word costs one row, and anchors of a passage that many documents share are a few rows of each.
+word costs one row.
 
 Defined cases: null and empty texts have no words; repeated rows are repeats of each other, so
 all their windows go; null doc_ids stay null; an empty table gives no rows; texts shorter than a
@@ -24,17 +31,20 @@ window stay whole; other columns pass through unchanged, whatever their names.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import BASES, Rolling, arrow_map, materialise, row_keys, split_words, texts_of, tune
+from .common import BASES, U64, Rolling, arrow_map, collect_bounded, materialise, row_keys, split_words, texts_of, tune
 
 WINDOW = 35
 SEED_WORDS = 12
+#: Logarithm of the bits that tell paths of anchors met once; a fuller set only lets more of them through.
+SET_BITS = 27
 
 
 def anchors(seeds: np.ndarray, width: int) -> np.ndarray:
@@ -52,12 +62,33 @@ def anchors(seeds: np.ndarray, width: int) -> np.ndarray:
     return step(at, width - done) if done < width else at
 
 
-def paths_of(texts: pa.Array, window: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Row, anchor, content, first window (within its row) and number of windows of each compacted path."""
+@dataclass
+class Paths:
+    """Compacted paths of a batch: row, anchor, content, first window (within its row) and number of windows, by row."""
+
+    row: np.ndarray
+    anchor: np.ndarray
+    content: np.ndarray
+    begin: np.ndarray
+    windows: np.ndarray
+    start: np.ndarray  # of the first window, within the batch
+    rolling: Rolling | None
+
+    def take(self, at: np.ndarray) -> Paths:
+        return Paths(*(x[at] for x in (self.row, self.anchor, self.content, self.begin, self.windows, self.start)), self.rolling)
+
+    def edges(self, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """All paths' edges one after the other, and where each path's begin."""
+        at = np.concatenate([[0], np.cumsum(self.windows)])
+        start = np.repeat(self.start - at[:-1], self.windows) + np.arange(at[-1])
+        return self.rolling.spans(start, start + window).view(np.int64) if self.rolling else np.zeros(0, np.int64), at
+
+
+def paths_of(texts: pa.Array, window: int, seed: int) -> Paths:
     words = split_words(texts)
     n = len(words)
     if n < window:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return Paths(*(np.zeros(0, np.int64) for _ in range(6)), None)
     hashes = words.hashes()[words.ids]
     row = words.row_of
     first = np.arange(n - seed + 1)
@@ -70,66 +101,88 @@ def paths_of(texts: pa.Array, window: int, seed: int) -> tuple[np.ndarray, ...]:
     head = np.flatnonzero(head)
     count = np.diff(np.concatenate([head, [len(start)]]))
     begin = start[head]
-    content = Rolling(hashes, BASES[1]).spans(begin, begin + count + window - 1)
+    rolling = Rolling(hashes, BASES[1])
+    content = rolling.spans(begin, begin + count + window - 1)
     of = row[begin]
-    return of, seeds[anchor[head]].view(np.int64), content.view(np.int64), begin - words.offsets[of], count
+    return Paths(of, seeds[anchor[head]].view(np.int64), content.view(np.int64), begin - words.offsets[of], count, begin, rolling)
+
 
+def _anchors(texts: DataFrame, window: int, seed: int) -> DataFrame:
+    """(anchor, branches) of all anchors that several paths have."""
 
-def _paths(keyed: DataFrame, window: int, seed: int) -> DataFrame:
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            row, anchor, content, begin, count = paths_of(texts_of(batch.column("text")), window, seed)
-            if not len(row):
+            paths = paths_of(texts_of(batch.column("text")), window, seed)
+            if not len(paths.row):
                 return None
-            order = np.lexsort((begin, content, anchor, row))
-            row, anchor, content, begin, count = (x[order] for x in (row, anchor, content, begin, count))
-            head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]))
-            n = np.diff(np.concatenate([head, [len(row)]]))
-            more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n - 1)]).astype(np.int32)), pa.array(np.delete(begin, head).astype(np.int32)))
-            of = pa.array(row[head])
-            return pa.RecordBatch.from_arrays([batch.column("k1").take(of), batch.column("k2").take(of), pa.array(anchor[head]), pa.array(content[head]), pa.array(begin[head].astype(np.int32)), pa.array(count[head].astype(np.int32)), pa.array(n.astype(np.int32)), more], names=["k1", "k2", "anchor", "content", "begin", "windows", "n", "more"])
+            order = np.argsort(paths.anchor, kind="stable")
+            anchor, content = paths.anchor[order], paths.content[order]
+            head = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            n = np.diff(np.concatenate([head, [len(anchor)]]))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[head], n, np.minimum.reduceat(content, head), np.maximum.reduceat(content, head))], names=["anchor", "n", "low", "high"])
 
         return each
 
-    return arrow_map(keyed.select("k1", "k2", "text"), make, "k1 long, k2 long, anchor long, content long, begin int, windows int, n int, more array<int>")
+    parts = arrow_map(texts, make, "anchor long, n long, low long, high long")
+    return parts.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("branches"))
+
+
+def _bit_set(anchors_: DataFrame) -> np.ndarray:
+    """2^SET_BITS bits, of which each anchor sets two in one word: at most 2^(SET_BITS - 6) words come to the driver."""
+    word = F.shiftrightunsigned("anchor", 70 - SET_BITS)
+    bits = F.expr("shiftleft(1L, int(anchor & 63)) | shiftleft(1L, int(shiftright(anchor, 6) & 63))")
+    table = collect_bounded(anchors_.select(word.alias("word"), bits.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")), 1 << (SET_BITS - 6))
+    out = np.zeros(1 << (SET_BITS - 6), U64)
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(U64)
+    return out
+
 
+def _in_set(bits: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """False: surely not in the set."""
+    own = anchor.view(U64)
+    asked = U64(1) << (own & U64(63)) | U64(1) << (own >> U64(6) & U64(63))
+    return bits[(own >> U64(65 - len(bits).bit_length())).astype(np.int64)] & asked == asked
 
-def _edges(asked: DataFrame, window: int) -> DataFrame:
-    """The single windows of paths that are looked up in their source: asked has k1, k2, text and asks."""
+
+def _repeated_paths(keyed: DataFrame, repeated: DataFrame, window: int, seed: int) -> DataFrame:
+    """k1, k2, anchor, content, begins, windows, branches and edges (of branching anchors, else null) of all paths with a repeated anchor."""
+    context = keyed.sparkSession.sparkContext
+    some, branching = (context.broadcast(_bit_set(repeated.where(test))) for test in ("true", "branches"))
 
     def make():
+        kept, split = some.value, branching.value
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            has = batch.column("asks").is_valid()
-            part = batch.filter(has)
-            if not part.num_rows:
+            paths = paths_of(texts_of(batch.column("text")), window, seed)
+            paths = paths.take(np.flatnonzero(_in_set(kept, paths.anchor)))
+            if not len(paths.row):
                 return None
-            words = split_words(texts_of(part.column("text")))
-            roll = Rolling(words.hashes()[words.ids], BASES[1])
-            asks = part.column("asks")
-            size = np.diff(asks.offsets.to_numpy())
-            flat = asks.flatten()
-            row = np.repeat(np.arange(part.num_rows), size)
-            begin, windows = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("begin", "windows"))
-            total = int(windows.sum())
-            own = np.repeat(np.arange(len(windows)), windows)
-            at = begin[own] + np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows)
-            start = at + words.offsets[row[own]]
-            edge = roll.spans(start, start + window).view(np.int64)
-            of = pa.array(row[own])
-            own = pa.array(own)
-            return pa.RecordBatch.from_arrays([part.column("k1").take(of), part.column("k2").take(of), flat.field("anchor").take(own), pa.array(edge), pa.array(at.astype(np.int32)), flat.field("n").take(own)], names=["k1", "k2", "anchor", "edge", "begin", "n"])
+            order = np.lexsort((paths.begin, paths.content, paths.anchor, paths.row))
+            paths = paths.take(order)
+            row, anchor, content = paths.row, paths.anchor, paths.content
+            head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]))
+            begins = pa.ListArray.from_arrays(pa.array(np.append(head, len(row)).astype(np.int32)), pa.array(paths.begin.astype(np.int32)))
+            paths = paths.take(head)
+            branches = _in_set(split, paths.anchor)
+            edges, at = paths.take(np.flatnonzero(branches)).edges(window)
+            place = np.zeros(len(head) + 1, np.int64)
+            place[1:] = np.cumsum(branches)
+            lists = pa.ListArray.from_arrays(pa.array(at[place].astype(np.int32)), pa.array(edges), mask=pa.array(~branches))
+            of = pa.array(paths.row)
+            return pa.RecordBatch.from_arrays([batch.column("k1").take(of), batch.column("k2").take(of), pa.array(paths.anchor), pa.array(paths.content), begins, pa.array(paths.windows.astype(np.int32)), lists], names=["k1", "k2", "anchor", "content", "begins", "windows", "edges"])
 
         return each
 
-    return arrow_map(asked, make, "k1 long, k2 long, anchor long, edge long, begin int, n long")
+    return arrow_map(keyed.select("k1", "k2", "text"), make, "k1 long, k2 long, anchor long, content long, begins array<int>, windows int, edges array<long>").join(repeated, "anchor")
 
 
 def _cut(spanned: DataFrame, window: int, row_type: T.StructType) -> DataFrame:
-    """Removes covered words. spanned has row, text and spans (begin, windows)."""
+    """Removes covered words. spanned has row, spans (begin, windows) and, where the row's own is no string, text."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = texts_of(batch.column("text")).to_pylist()
+            own_text = batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
+            texts = texts_of(own_text).to_pylist()
             spans = batch.column("spans").to_pylist()
             n_words, n_removed, kept, cuts = [], [], [], []
             for text, own in zip(texts, spans, strict=True):
@@ -146,7 +199,7 @@ def _cut(spanned: DataFrame, window: int, row_type: T.StructType) -> DataFrame:
                 if n_removed[-1]:
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 kept.append(b" ".join(words).decode())
-            arrays = [batch.column("row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(cuts, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))]
+            arrays = [batch.column("row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.large_string()).cast(pa.string()), pa.array(cuts, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))]
             return pa.RecordBatch.from_arrays(arrays, names=["row", "n_words", "n_removed", "kept_text", "removed_spans"])
 
         return each
@@ -160,28 +213,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS
     if not 0 < seed < window:
         raise ValueError("a seed must be shorter than a window")
     tune(docs.sparkSession)
-    row = F.struct(*[docs[c] for c in docs.columns])
-    keyed = docs.select(*row_keys(docs), docs["text"].cast("string").alias("text"), row.alias("row"))
-
-    by_anchor, by_content = Window.partitionBy("anchor"), Window.partitionBy("anchor", "content")
-    met = (
-        _paths(keyed, window, seed)
-        .withColumn("copies", F.sum("n").over(by_content))
-        .withColumn("nth", F.row_number().over(by_content.orderBy("k1", "k2", "begin")))
-        .withColumn("all", F.sum("n").over(by_anchor))
-        .withColumn("mixed", F.min("content").over(by_anchor) != F.max("content").over(by_anchor))
-        .withColumn("fewest", F.min("copies").over(by_anchor))
-        .where(F.col("all") > 1)
-        .select("k1", "k2", "anchor", "begin", "windows", "more", "copies", ((F.col("nth") == 1) & F.col("mixed") & (F.col("fewest") == 1)).alias("ask"))
-        .where("ask or copies > 1")
-    )
-    met = materialise(met, "paths")
-
-    whole = met.where("copies > 1").select("k1", "k2", F.explode(F.concat(F.array("begin"), "more")).alias("begin"), "windows")
-    asks = met.where("ask").groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "windows", "anchor", F.col("copies").alias("n"))).alias("asks"))
-    source = keyed.select("k1", "k2", "text", "row")
-    edges = _edges(source.join(asks, ["k1", "k2"], "left").select("k1", "k2", "text", "asks"), window)
-    single = edges.withColumn("all", F.sum("n").over(Window.partitionBy("anchor", "edge"))).where("n = 1 and all > 1").select("k1", "k2", "begin", F.lit(1).alias("windows"))
+    text = docs["text"].cast("string").alias("text")
+    keyed = docs.select(*row_keys(docs), text)
+    repeated = materialise(_anchors(docs.select(text), window, seed), "anchors")
+    paths = materialise(_repeated_paths(keyed, repeated, window, seed), "paths")
+
+    whole = paths.where("not branches").select("k1", "k2", F.explode("begins").alias("begin"), "windows")
+    branching = paths.where("branches")
+    contents = branching.groupBy("anchor", "content").agg(F.sum(F.size("begins")).alias("n"), F.first("edges").alias("edges"))
+    contents = materialise(contents, "contents")
+    edges = contents.select("anchor", "content", "n", F.posexplode("edges").alias("place", "edge"))
+    often = edges.groupBy("anchor", "edge").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "edge")
+    # At most window - seed + 1 places of a content.
+    hits = edges.join(often, ["anchor", "edge"]).groupBy("anchor", "content").agg(F.collect_list("place").alias("places"))
+    single = branching.join(hits, ["anchor", "content"]).select("k1", "k2", "places", F.explode("begins").alias("begin"))
+    single = single.select("k1", "k2", F.explode(F.transform("places", lambda p: F.col("begin") + p)).alias("begin"), F.lit(1).alias("windows"))
     spans = whole.unionByName(single).groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "windows")).alias("spans"))
-    spanned = source.join(spans, ["k1", "k2"], "left").select("row", "text", "spans")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    other = [] if docs.schema["text"].dataType == T.StringType() else [text]
+    spanned = docs.select(*row_keys(docs), row, *other).join(spans, ["k1", "k2"], "left").select("row", "spans", *(["text"] if other else []))
     return _cut(spanned, window, spanned.schema["row"].dataType)

@@ -38,7 +38,10 @@ def words(text):
     return WORD.findall(text or "")
 
 
-def test_substring(docs, none):
+@pytest.mark.parametrize("bits", [27, 7])
+def test_substring(docs, none, monkeypatch, bits):
+    """Against brute force, with a bit set that lets few paths through and one that lets most of them."""
+    monkeypatch.setattr(substring, "SET_BITS", bits)
     for window, seed in ((5, 2), (9, 4), (35, 12)):
         own = [words(r[1]) for r in ROWS]
         seen = Counter(tuple(w[i : i + window]) for w in own for i in range(len(w) - window + 1))
