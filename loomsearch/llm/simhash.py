@@ -111,21 +111,18 @@ def links(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) -> Dat
     if not 0 <= distance < groups <= 32:
         raise ValueError(f"distance {distance} needs more than so many groups, 32 at most: {groups}")
     masks = group_masks(groups)
-    choices = [c for c in itertools.combinations(range(groups), groups - distance)]
-    cells = []
-    for chosen in choices:
-        # Groups before the last chosen one that are not chosen: where they agree too, an earlier choice has the pair.
-        skipped = sum(1 << g for g in range(chosen[-1]) if g not in chosen)
-        mask = signed(sum(masks[g] for g in chosen))
-        cells.append(F.struct(F.lit(sum(1 << g for g in chosen)).alias("choice"), F.lit(skipped).alias("skipped"), F.col("counts").bitwiseAND(F.lit(mask)).alias("cell")))
-    placed = fps.select("fp", segment_counts(F.col("fp")).alias("counts")).select("fp", F.explode(F.array(*cells)).alias("x")).select("fp", "x.choice", "x.skipped", "x.cell")
-    left = placed.select(F.col("fp").alias("a"), "choice", "skipped", "cell")
-    right = placed.select(F.col("fp").alias("b"), F.col("choice").alias("choice_b"), F.col("cell").alias("cell_b"))
+    choices = list(itertools.combinations(range(groups), groups - distance))
+    # Groups before the last chosen one that are not chosen: where they agree too, an earlier choice has the pair.
+    skipped = F.array(*[F.lit(sum(1 << g for g in range(chosen[-1]) if g not in chosen)) for chosen in choices])
+    cells = [F.struct(F.lit(k).alias("choice"), F.col("counts").bitwiseAND(F.lit(signed(sum(masks[g] for g in chosen)))).alias("cell")) for k, chosen in enumerate(choices)]
+    placed = fps.select("fp", segment_counts(F.col("fp")).alias("counts")).select("fp", F.explode(F.array(*cells)).alias("x")).select("fp", "x.choice", "x.cell")
+    # Both sides are the same rows, so they are shuffled once.
+    left, right = placed.toDF("a", "choice", "cell"), placed.toDF("b", "choice_b", "cell_b")
     x, y = segment_counts(F.col("a")), segment_counts(F.col("b"))
     agree = F.lit(0)
     for g, mask in enumerate(masks):
         agree = agree.bitwiseOR(F.when(x.bitwiseXOR(y).bitwiseAND(F.lit(signed(mask))) == 0, 1 << g).otherwise(0))
-    within = (F.col("a") < F.col("b")) & (count_distance(x, y) <= distance) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance) & (agree.bitwiseAND(F.col("skipped")) == 0)
+    within = (F.col("a") < F.col("b")) & (count_distance(x, y) <= distance) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance) & (agree.bitwiseAND(F.get(skipped, F.col("choice"))) == 0)
     return left.join(right, (F.col("choice") == F.col("choice_b")) & (F.col("cell") == F.col("cell_b")) & within).select("a", "b")
 
 
