@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 
 def vectorised(returns: str) -> Callable[[Callable], Callable[..., Column]]:
@@ -20,3 +23,26 @@ def vectorised(returns: str) -> Callable[[Callable], Callable[..., Column]]:
         return call
 
     return wrap
+
+
+def arrow_vectorised(returns: str) -> Callable[[Callable], Callable[..., Column]]:
+    """A function of Arrow arrays as a function of columns."""
+
+    def wrap(f: Callable) -> Callable[..., Column]:
+        @wraps(f)
+        def call(*columns: Column | str) -> Column:
+            return arrow_udf(f, returns)(*columns)
+
+        return call
+
+    return wrap
+
+
+def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """White-space words of a batch: each word's row, its place in the vocabulary, and the vocabulary. A null text has none."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    flat = lists.flatten()
+    row = pc.list_parent_indices(lists).to_numpy()
+    full = pc.greater(pc.binary_length(flat), 0)
+    coded = flat.filter(full).dictionary_encode()
+    return row[full.to_numpy(zero_copy_only=False)].astype(np.int64), coded.indices.to_numpy().astype(np.int64), coded.dictionary

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -10,9 +13,10 @@ from pyspark.sql.window import Window
 
 from loomsearch.functions.text import words
 from loomsearch.functions.urls import host, normalise_url, top_level
+from loomsearch.functions.vectorised import arrow_vectorised, batch_words
 
 LINK_PRIORITY = 0.85
-# Suspicious top-level domains, advertising terms, stop words, blacklist seeds.
+# Suspicious top-level domains, advertising terms of one word (longer ones equal no word), stop words, blacklist seeds.
 BAD_TLDS = "xyz top club work click gdn loan bid stream racing win download review accountant science faith cricket party date".split()
 AD_TERMS = "advertisement sponsored subscribe discount coupon promo".split()
 STOPWORDS = "the a an is are was were be been being have has had do does did will would could should may might shall can to of in for on with at by from as into through during before after and but or nor not so yet both this that these those it its".split()
@@ -135,12 +139,20 @@ def change_probability(elapsed: Column, mean: Column) -> Column:
     return F.when(mean <= 0, 1.0).otherwise(1 - F.exp(-elapsed / mean))
 
 
-def stuffing(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, stuffing): share of the most frequent content word; words are counted per document first."""
-    tokens = docs.select(key, F.size(words(F.col(text))).alias("n"), F.explode(words(F.col(text))).alias("w")).where((F.col("n") >= 20) & ~F.lower("w").isin(STOPWORDS))
-    ratio = tokens.groupBy(key, "w").agg(F.count("*").alias("c")).groupBy(key).agg((F.max("c") / F.sum("c")).alias("ratio"))
-    score = F.when(F.col("ratio") > 0.25, 0.8).when(F.col("ratio") > 0.15, 0.4).otherwise(0.0)
-    return docs.select(key).join(ratio.select(key, score.alias("stuffing")), key, "left").select(key, F.coalesce("stuffing", F.lit(0.0)).alias("stuffing"))
+@arrow_vectorised("double")
+def stuffing(text: pa.Array) -> pa.Array:
+    """By the share of the most frequent content word, from 20 words on."""
+    row, word, vocab = batch_words(text)
+    stops = pc.is_in(pc.utf8_lower(vocab), pa.array(STOPWORDS, vocab.type)).to_numpy(zero_copy_only=False)
+    long_ = np.bincount(row, minlength=len(text)) >= 20
+    kept = long_[row] & ~stops[word] if len(row) else np.zeros(0, bool)
+    pair, times = np.unique(row[kept] * max(len(vocab), 1) + word[kept], return_counts=True)
+    of = pair // max(len(vocab), 1)
+    total = np.bincount(of, times, minlength=len(text))
+    most = np.zeros(len(text))
+    np.maximum.at(most, of, times)
+    ratio = most / np.maximum(total, 1)
+    return pa.array(np.where(ratio > 0.25, 0.8, np.where(ratio > 0.15, 0.4, 0.0)))
 
 
 def link_spam(links: Column, words_: Column) -> Column:
@@ -172,3 +184,30 @@ def blacklisted(docs: DataFrame, domains: DataFrame, by: Column, keep: bool = Fa
 
 def live(docs: DataFrame, tombstones: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(tombstones.select(key).distinct(), key, "left_anti")
+
+
+def tombstone(tombstones: DataFrame | None, docs: DataFrame, reason: str, now: Column) -> DataFrame:
+    """Tombstones with these documents (doc_id, url) added; a document has one, its first."""
+    new = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "url", now.cast("timestamp").alias("deleted_at"), F.lit(reason).alias("reason"), F.lit(None).cast("string").alias("canonical_url"))
+    return new if tombstones is None else tombstones.unionByName(new.join(tombstones, "doc_id", "left_anti"))
+
+
+def cleared(tombstones: DataFrame) -> DataFrame:
+    """An empty list of tombstones."""
+    return tombstones.limit(0)
+
+
+def seeds(urls: DataFrame) -> DataFrame:
+    """(url, domain, priority) of a curated list of URLs (column url), of the highest priority."""
+    own = urls.select(normalise_url("url").alias("url")).where("url is not null").distinct()
+    return own.select("url", F.coalesce(host(F.col("url")), F.lit("unknown")).alias("domain"), F.lit(1.0).alias("priority"))
+
+
+def frontier_size(frontier: DataFrame) -> DataFrame:
+    return frontier.agg(F.count("*").alias("urls"))
+
+
+def fresh_robots(cache: DataFrame, now: Column, ttl_h: int = 24) -> DataFrame:
+    """Cached robots rules (domain, fetched_at, rules) that are not older than ttl_h hours; the latest of each domain."""
+    own = cache.where(F.unix_seconds("fetched_at") > F.unix_seconds(now) - ttl_h * 3600)
+    return own.withColumn("_n", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("fetched_at")))).where("_n = 1").drop("_n")

@@ -1,45 +1,77 @@
-"""Deduplication of documents: SimHash by expressions, banded near-duplicates, exact and latest-wins."""
+"""Deduplication of documents: SimHash a batch at a time, near-duplicates by blocks, exact and latest-wins."""
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomsearch.functions.text import words
+from loomsearch.functions.vectorised import arrow_vectorised, batch_words
 
 #: Bits of a fingerprint made by portable hashes.
 BITS = 60
 
 
-def portable_hash(token: Column) -> Column:
-    """The first 60 bits of the token's MD5, which any SQL engine can compute."""
-    return F.conv(F.substring(F.md5(token.cast("binary")), 1, 15), 16, 10).cast("long")
+def portable_hash(word: bytes) -> int:
+    """The first 60 bits of the word's MD5, which any SQL engine can compute."""
+    return int(hashlib.md5(word, usedforsecurity=False).hexdigest()[:15], 16)
 
 
-def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text", hasher=portable_hash, bits: int = BITS) -> DataFrame:
-    """(key, simhash) by votes of all words, with multiplicity. Words are counted per document before they vote."""
-    tokens = docs.select(F.col(key), F.explode(words(F.col(text))).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n")).withColumn("h", hasher(F.col("w")))
-    votes = [F.sum(F.when(F.shiftright("h", b).bitwiseAND(F.lit(1)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"v{b}") for b in range(bits)]
-    own = tokens.groupBy(key).agg(*votes)
-    out = F.lit(0).cast("long")
+def fingerprints_of(texts: pa.Array, hasher: Callable[[bytes], int] = portable_hash, bits: int = BITS) -> np.ndarray:
+    """Votes of all words of each text, with multiplicity; each distinct word of the batch is hashed once."""
+    row, word, vocab = batch_words(texts)
+    codes = np.fromiter((hasher(w.encode()) for w in vocab.to_pylist()), np.uint64, len(vocab))
+    pair, times = np.unique(row * max(len(vocab), 1) + word, return_counts=True)
+    row, code = pair // max(len(vocab), 1), codes[pair % max(len(vocab), 1)]
+    total = np.bincount(row, times, minlength=len(texts))
+    out = np.zeros(len(texts), np.int64)
     for b in range(bits):
-        out = out.bitwiseOR(F.when(F.col(f"v{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0).cast("long")))
-    return docs.select(key).distinct().join(own.select(key, out.alias("simhash")), key, "left").select(key, F.coalesce("simhash", F.lit(0).cast("long")).alias("simhash"))
+        ayes = np.bincount(row, times * (code >> np.uint64(b) & np.uint64(1)), minlength=len(texts))
+        out |= (2 * ayes > total).astype(np.int64) << b
+    return out
+
+
+@arrow_vectorised("long")
+def fingerprint(text: pa.Array) -> pa.Array:
+    return pa.array(fingerprints_of(text))
+
+
+def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, simhash) of every row, by votes of all words; 0 without words. Nothing is shuffled."""
+    return docs.select(key, fingerprint(F.col(text).cast("string")).alias("simhash"))
 
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def near_pairs(hashes: DataFrame, distance: int = 3, bits: int = BITS) -> DataFrame:
-    """Pairs a < b of distinct fingerprints within the distance: two that differ in `distance` bits agree in one of distance + 1 bands."""
-    width = -(-bits // (distance + 1))
-    bands = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.shiftright("simhash", k * width).bitwiseAND(F.lit((1 << width) - 1)).alias("part")) for k in range(distance + 1)]))
-    own = hashes.select("simhash").distinct().select("simhash", bands.alias("x")).select("simhash", "x.band", "x.part")
-    left, right = own.withColumnRenamed("simhash", "a"), own.withColumnRenamed("simhash", "b")
-    pairs = left.join(right, ["band", "part"]).where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= distance))
-    return pairs.select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance")).distinct()
+def near_pairs(hashes: DataFrame, distance: int = 3, bits: int = BITS, blocks: int = 7) -> DataFrame:
+    """Pairs a < b of distinct fingerprints within the distance.
+
+    Two that differ in `distance` bits agree in all but so many of the blocks: they meet on each choice
+    of the others, and only the first choice that they share counts, so each pair is found once.
+    """
+    if not 0 <= distance < blocks:
+        raise ValueError(f"a distance of {distance} needs more than so many blocks: {blocks}")
+    edges = [bits * k // blocks for k in range(blocks + 1)]
+    masks = [(1 << b) - (1 << a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    choices = list(itertools.combinations(range(blocks), blocks - distance))
+    skipped = F.array(*[F.lit(sum(1 << k for k in range(c[-1]) if k not in c)) for c in choices])
+    keys = F.explode(F.array(*[F.struct(F.lit(n).alias("choice"), F.col("simhash").bitwiseAND(F.lit(sum(masks[k] for k in c))).alias("part")) for n, c in enumerate(choices)]))
+    own = hashes.select("simhash").distinct().select("simhash", keys.alias("x")).select("simhash", "x.choice", "x.part")
+    left, right = own.toDF("a", "choice", "part"), own.toDF("b", "choice_b", "part_b")
+    agree = F.lit(0)
+    for k, mask in enumerate(masks):
+        agree = agree.bitwiseOR(F.when(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.lit(mask)) == 0, 1 << k).otherwise(0))
+    first = agree.bitwiseAND(F.get(skipped, F.col("choice"))) == 0
+    within = (F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= distance) & first
+    return left.join(right, (F.col("choice") == F.col("choice_b")) & (F.col("part") == F.col("part_b")) & within).select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
 
 
 def first_of_each(docs: DataFrame, by: str, order: list) -> DataFrame:

@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomsearch.functions.urls import TOPICS, topic
 from loomsearch.schema import Settings
-
-
-def _saved(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage through a table in the folder that executors share."""
-    spark = df.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from loomsearch.sources.tables import discard, saved
 
 
 def edges(docs: DataFrame, url: str = "url", links: str = "outgoing_links") -> DataFrame:
@@ -36,40 +27,40 @@ def degrees(edges_: DataFrame) -> DataFrame:
     return ins.join(outs, "id", "full").select("id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
 
 
-def pagerank(edges_: DataFrame, teleport: dict[str, Column] | None = None, settings: Settings = Settings(), iterations: int | None = None, save_every: int = 5) -> DataFrame:
+def pagerank(edges_: DataFrame, teleport: dict[str, Column] | None = None, settings: Settings = Settings(), iterations: int | None = None) -> DataFrame:
     """(id, one rank column for each entry of teleport); by default one column, pagerank, with even teleport.
 
     teleport: for each column, a boolean over id that marks its seeds (even where there is none).
     Dangling mass goes where teleport goes. All columns share one loop. Without a fixed number of
-    iterations the loop ends when no column moves more than the tolerance in sum.
+    iterations the loop ends when no column moves more than the tolerance in sum. Each round is saved
+    once, and one pass over what was saved gives the dangling mass and the movement; the round before
+    is then deleted.
     """
     d = settings.damping
     names = list(teleport or {"pagerank": None})
-    edges_ = _saved(edges_.select("src", "dst"), "edges")
+    edges_ = saved(edges_.select("src", "dst"), "edges")
     out = edges_.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out"))
     base = nodes(edges_).join(out, "id", "left")
     seeds = {n: (teleport or {}).get(n) for n in names}
-    base = base.select("id", "out", *[(F.lit(1.0) if c is None else F.when(c, 1.0).otherwise(0.0)).alias(f"t_{n}") for n, c in seeds.items()])
-    base = _saved(base, "nodes")
+    base = saved(base.select("id", "out", *[(F.lit(1.0) if c is None else F.when(c, 1.0).otherwise(0.0)).alias(f"t_{n}") for n, c in seeds.items()]), "nodes")
     total = base.agg(F.count("*").alias("n"), *[F.sum(f"t_{n}").alias(f"t_{n}") for n in names]).first()
     if not total["n"]:
         return base.select("id", *[F.lit(0.0).alias(n) for n in names])
     share = {n: (F.col(f"t_{n}") / total[f"t_{n}"] if total[f"t_{n}"] else F.lit(1.0 / total["n"])) for n in names}
-    base = base.select("id", "out", *[share[n].alias(f"t_{n}") for n in names])
-    ranks = base.select("*", *[F.lit(1.0 / total["n"]).alias(n) for n in names])
-    for step in range(iterations or settings.iterations):
-        dangling = ranks.where("out is null").agg(*[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names]).first()
+    ranks = saved(base.select("id", "out", *[share[n].alias(f"t_{n}") for n in names], *[F.lit(1.0 / total["n"]).alias(n) for n in names], *[F.lit(0.0).alias(f"d_{n}") for n in names]), "ranks")
+    discard(base)
+    measures = [F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col(n))), F.lit(0.0)).alias(n) for n in names] + [F.sum(f"d_{n}").alias(f"d_{n}") for n in names]
+    for _ in range(iterations or settings.iterations):
+        seen = ranks.agg(*measures).first()
+        if iterations is None and _ and all(seen[f"d_{n}"] < settings.tolerance for n in names):
+            break
         given = edges_.join(ranks.where("out is not null").select(F.col("id").alias("src"), *[(F.col(n) / F.col("out")).alias(f"g_{n}") for n in names]), "src").groupBy(F.col("dst").alias("id")).agg(*[F.sum(f"g_{n}").alias(f"g_{n}") for n in names])
-        new = [((1 - d + d * dangling[n]) * F.col(f"t_{n}") + d * F.coalesce(F.col(f"g_{n}"), F.lit(0.0))).alias(f"n_{n}") for n in names]
+        new = [((1 - d + d * seen[n]) * F.col(f"t_{n}") + d * F.coalesce(F.col(f"g_{n}"), F.lit(0.0))).alias(f"n_{n}") for n in names]
         moved = ranks.join(given, "id", "left").select("id", "out", *[f"t_{n}" for n in names], *names, *new)
-        moved = _saved(moved, "ranks") if iterations is None or step % save_every == save_every - 1 else moved
-        done = False
-        if iterations is None:
-            delta = moved.agg(*[F.sum(F.abs(F.col(f"n_{n}") - F.col(n))).alias(n) for n in names]).first()
-            done = all(delta[n] < settings.tolerance for n in names)
-        ranks = moved.select("id", "out", *[f"t_{n}" for n in names], *[F.col(f"n_{n}").alias(n) for n in names])
-        if done:
-            break
+        moved = moved.select("id", "out", *[f"t_{n}" for n in names], *[F.col(f"n_{n}").alias(n) for n in names], *[F.abs(F.col(f"n_{n}") - F.col(n)).alias(f"d_{n}") for n in names])
+        before, ranks = ranks, saved(moved, "ranks")
+        discard(before)
+    discard(edges_)
     return ranks.select("id", *names)
 
 
@@ -87,7 +78,21 @@ def anchors(docs: DataFrame, most: int = 100) -> DataFrame:
     """(url, anchors): up to `most` distinct anchor texts of links to each URL, the most frequent first."""
     links = docs.select(F.explode("outgoing_links").alias("l")).select(F.col("l.url").alias("url"), F.col("l.anchor_text").alias("anchor")).where("anchor != ''")
     counted = links.groupBy("url", "anchor").agg(F.count("*").alias("n"))
-    from pyspark.sql.window import Window
-
     best = counted.withColumn("k", F.row_number().over(Window.partitionBy("url").orderBy(F.desc("n"), "anchor"))).where(F.col("k") <= most)
     return best.groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "anchor"))), lambda x: x["anchor"]).alias("anchors"))
+
+
+def save(path: str, edges_: DataFrame, ranks: DataFrame) -> None:
+    """Writes the graph as tables under path: edges, and ranks with all their columns."""
+    edges_.select("src", "dst").write.mode("overwrite").parquet(f"{path}/edges")
+    ranks.write.mode("overwrite").parquet(f"{path}/ranks")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, ranks) as they were saved."""
+    return spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/ranks")
+
+
+def ranks_of(ranks: DataFrame, urls: DataFrame, rank: str = "pagerank") -> DataFrame:
+    """urls (column url) with their rank; 0 for unknown ones."""
+    return urls.join(ranks.select(F.col("id").alias("url"), rank), "url", "left").withColumn(rank, F.coalesce(rank, F.lit(0.0)))

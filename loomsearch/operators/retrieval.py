@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomsearch.functions.text import index_tokens
+from loomsearch.functions.text import LONGEST_TOKEN, index_tokens
 from loomsearch.schema import Settings
+from loomsearch.sources.tables import saved
 
 #: Boost of each searched field.
 BOOSTS = {"title": 5.0, "body": 1.0, "headings": 2.5, "meta_description": 1.5, "url_tokens": 2.0}
@@ -51,21 +54,40 @@ def bm25(tf: Column, df: Column, n: Column, length: Column, average: Column, k1:
     return idf * (k1 + 1) * tf / (tf + k1 * (1 - b + b * length / average))
 
 
-def search(tokens: DataFrame, queries: DataFrame, boosts: Mapping[str, float] | None = None, settings: Settings = Settings()) -> DataFrame:
-    """(query_id, doc_id, score) of every document that holds a term of a query (query_id, terms); the sum over fields of boosted BM25.
+#: Distinct query terms that become one set inside the scan; more of them are joined.
+SET_TERMS = 1000
+
+
+def matches(tokens: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, field, len, term, tf) of the terms of all queries (query_id, terms), and the fields' statistics.
 
-    The few query terms are distributed to the tokens, so only matching postings are ever shuffled.
+    Texts are split once: what is saved of each is its length and its words that some query asks for.
     """
+    wanted = queries.select(F.explode("terms").alias("term")).distinct()
+    few = [r.term for r in wanted.limit(SET_TERMS + 1).collect()]
+    if len(few) > SET_TERMS:
+        found = tokens.select("field", "doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+        return found.groupBy("doc_id", "field", "len", "term").agg(F.count("*").alias("tf")), field_stats(tokens)
+    asked = F.filter("tokens", lambda t: t.isin(few)) if few else F.array().cast("array<string>")
+    own = saved(tokens.select("doc_id", "field", F.size("tokens").alias("len"), asked.alias("hits")), "matches")
+    stats = own.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    return own.select("doc_id", "field", "len", F.explode("hits").alias("term")).groupBy("doc_id", "field", "len", "term").agg(F.count("*").alias("tf")), stats
+
+
+def score(found: DataFrame, stats: DataFrame, queries: DataFrame, boosts: Mapping[str, float] | None = None, settings: Settings = Settings()) -> DataFrame:
+    """(query_id, doc_id, score, len) of found matches; the sum over fields of boosted BM25."""
     boosts = boosts or {"text": 1.0}
     terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    wanted = terms.select("term").distinct()
-    found = tokens.select("field", "doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    own = found.groupBy("field", "term", "doc_id", "len").agg(F.count("*").alias("tf"))
-    df = own.groupBy("field", "term").agg(F.count("*").alias("df"))
+    df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
     boost = F.create_map(*[x for f, v in boosts.items() for x in (F.lit(f), F.lit(float(v)))])[F.col("field")]
-    score = F.coalesce(boost, F.lit(0.0)) * bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("len"), F.col("avg_len"), settings.bm25_k1, settings.bm25_b)
-    scored = own.join(df, ["field", "term"]).join(field_stats(tokens), "field").select("term", "doc_id", score.alias("part"))
-    return scored.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    part = F.coalesce(boost, F.lit(0.0)) * bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("len"), F.col("avg_len"), settings.bm25_k1, settings.bm25_b)
+    scored = found.join(df, ["field", "term"]).join(stats, "field").select("term", "doc_id", "len", part.alias("part"))
+    return scored.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.max("len").alias("len"))
+
+
+def search(tokens: DataFrame, queries: DataFrame, boosts: Mapping[str, float] | None = None, settings: Settings = Settings()) -> DataFrame:
+    """(query_id, doc_id, score) of every document that holds a term of a query (query_id, terms)."""
+    return score(*matches(tokens, queries), queries, boosts, settings).drop("len")
 
 
 def top(scored: DataFrame, limit: int, offset: int = 0, score: str = "score", key: str = "doc_id", query: str = "query_id") -> DataFrame:
@@ -87,94 +109,189 @@ def phrase(tokens: DataFrame, terms: list[str], fields: list[str]) -> DataFrame:
     return tokens.where(F.col("field").isin(fields)).where(text.contains(f" {' '.join(terms)} ")).select("doc_id").distinct()
 
 
-SYNTAX = re.compile(r'\s*(?:(AND|OR|NOT)\b|([()])|([+-])?(?:(\w+):)?(?:"([^"]*)"|([^\s()"^]+))(?:\^([\d.]+))?)')
+SYNTAX = re.compile(r'\s*(?:(AND|OR|NOT)\b|([()])|([+-])?(?:(\w+):)?(?:"([^"]*)"|\[(\S+) TO (\S+)\]|([^\s()"^]+))(?:\^([\d.]+))?|([+-])(?=\())')
+MUST, SHOULD, NEVER = "must", "should", "never"
+
+
+@dataclass(frozen=True)
+class Leaf:
+    """Words one after the other, or terms within a range, in one field or in all searched ones."""
+
+    words: tuple[str, ...]
+    field: str | None = None
+    boost: float = 1.0
+    low: str | None = None
+    high: str | None = None
+
+
+@dataclass(frozen=True)
+class Group:
+    """Parts with their occurrence. All that must and none that never; one that should where nothing must."""
 
+    parts: tuple[tuple[str, Leaf | Group], ...]
 
-def parse(text: str) -> list:
-    """Tokens of the query language: AND OR NOT, ( ), + - marks, field:term, "phrases", ^boosts. ValueError where it makes none."""
-    out, at = [], 0
-    text = text.strip()
+
+def split_terms(text: str) -> tuple[str, ...]:
+    """Terms as the index has them."""
+    return tuple(w for w in re.split(r"[\W_]+", text.lower()) if w and len(w.encode()) < LONGEST_TOKEN)
+
+
+def parse(text: str) -> Group:
+    """A query: words (one of them is enough), AND OR NOT, + and -, brackets, field:word, "phrases", field:[a TO b], ^boosts. ValueError where it is none."""
+    items: list[tuple] = []
+    at, text = 0, text.strip()
     while at < len(text):
         m = SYNTAX.match(text, at)
         if not m or m.end() == at:
             raise ValueError(f"unexpected {text[at:]!r}")
-        word, bracket, mark, field, quoted, term, boost = m.groups()
-        out.append((word or bracket, None) if word or bracket else ("term", {"mark": mark, "field": field, "text": quoted if quoted is not None else term, "phrase": quoted is not None, "boost": float(boost) if boost else 1.0}))
+        word, bracket, mark, field, quoted, low, high, term, boost, alone = m.groups()
+        if word or bracket or alone:
+            items.append((word or bracket or alone, None))
+        else:
+            if mark:
+                items.append((mark, None))
+            words = split_terms(quoted if quoted is not None else term or "")
+            items.append(("leaf", Leaf(words, field, float(boost or 1), low and low.lower(), high and high.lower())))
         at = m.end()
-    return out
-
-
-def boolean(tokens: DataFrame, text: str, fields: list[str]) -> DataFrame:
-    """doc_ids that match a query of the language; the default operator is OR.
-
-    Every term becomes one flag per document in a single pass; the tree of operators is one expression over the flags.
-    """
-    flags: list[Column] = []
-
-    def leaf(x: dict) -> str:
-        words = [w for w in re.split(r"[\W_]+", x["text"].lower()) if w]
-        own = [x["field"]] if x["field"] else fields
-        hit = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")).contains(f" {' '.join(words)} ") if words else F.lit(False)
-        flags.append(F.max(F.col("field").isin(own) & hit))
-        return f"f{len(flags) - 1}"
-
-    stream = parse(text)
-    place = 0
-
-    def either() -> str:
-        nonlocal place
-        must, should, never = [], [both()], []
-        marks = [marked.pop() if marked else None]
-        parts = [should.pop()]
-        while place < len(stream) and stream[place][0] != ")":
-            if stream[place][0] == "OR":
-                place += 1
-            parts.append(both())
-            marks.append(marked.pop() if marked else None)
-        for p, m in zip(parts, marks, strict=True):
-            (must if m == "+" else never if m == "-" else should).append(p)
-        tests = must or ([f"({' or '.join(should)})"] if should else ["false"])
-        return f"({' and '.join([*tests, *[f'not {n}' for n in never]])})"
-
-    marked: list[str | None] = []
-
-    def both() -> str:
-        nonlocal place
-        left = unit()
-        while place < len(stream) and stream[place][0] == "AND":
-            place += 1
-            mark = marked.pop() if marked else None
-            left = f"({left} and {unit()})"
-            if marked:
-                marked.pop()
-            marked.append(mark)
-        return left
-
-    def unit() -> str:
-        nonlocal place
-        if place >= len(stream):
+    items.reverse()
+
+    def group(closed: bool) -> Group:
+        parts: list[tuple[str, Leaf | Group]] = []
+        while items and items[-1][0] != ")":
+            if items[-1][0] == "OR" and parts:
+                items.pop()
+            parts.append(together())
+        if closed != bool(items):
+            raise ValueError("brackets do not pair")
+        if not parts:
+            raise ValueError("nothing is asked")
+        return Group(tuple(parts))
+
+    def together() -> tuple[str, Leaf | Group]:
+        parts = [single()]
+        while items and items[-1][0] == "AND":
+            items.pop()
+            parts.append(single())
+        if len(parts) == 1:
+            return parts[0]
+        return SHOULD, Group(tuple((NEVER if occur == NEVER else MUST, part) for occur, part in parts))
+
+    def single() -> tuple[str, Leaf | Group]:
+        if not items:
             raise ValueError("the query ends too early")
-        kind, x = stream[place]
-        place += 1
-        if kind == "NOT":
-            inner = unit()
-            if marked:
-                marked.pop()
-            marked.append(None)
-            return f"(not {inner})"
+        kind, leaf = items.pop()
+        if kind in ("NOT", "-", "+"):
+            return MUST if kind == "+" else NEVER, single()[1]
         if kind == "(":
-            inner = either()
-            if place >= len(stream) or stream[place][0] != ")":
-                raise ValueError("a bracket is not closed")
-            place += 1
-            marked.append(None)
-            return inner
-        if kind != "term":
+            inner = group(True)
+            items.pop()
+            return SHOULD, inner
+        if leaf is None:
             raise ValueError(f"unexpected {kind}")
-        marked.append(x["mark"])
-        return leaf(x)
+        return SHOULD, leaf
+
+    return group(False)
+
+
+def leaves(node: Leaf | Group) -> list[Leaf]:
+    return [node] if isinstance(node, Leaf) else [x for _, part in node.parts for x in leaves(part)]
+
+
+def judge(node: Leaf | Group, hits: Mapping[int, float], numbers: Mapping[Leaf, int]) -> float | None:
+    """The score of a document by the scores of the leaves it matches; None where it does not match."""
+    if isinstance(node, Leaf):
+        own = hits.get(numbers[node])
+        return None if own is None else own * node.boost
+    total, must, should = 0.0, False, False
+    for occur, part in node.parts:
+        own = judge(part, hits, numbers)
+        if occur == NEVER:
+            if own is not None:
+                return None
+        elif occur == MUST and own is None:
+            return None
+        elif own is not None:
+            total += own
+            should = True
+        must |= occur == MUST
+    return total if must or should else None
+
+
+def ranked(postings_: DataFrame, stats: DataFrame, queries: Mapping[int, str], boosts: Mapping[str, float], settings: Settings = Settings()) -> DataFrame:
+    """(query_id, doc_id, score) of the documents that match queries of the language.
+
+    postings_: term, field, doc_id, tf, len, pos; queries are a batch that fits the driver. A leaf's score is
+    the sum over its fields of boosted BM25; a phrase counts where its words follow each other and weighs
+    as much as their inverse frequencies together; a range gives 1. Leaves meet per document, where the
+    query's tree is applied.
+    """
+    spark = postings_.sparkSession
+    trees = {q: parse(t) for q, t in queries.items()}
+    numbers = {q: {leaf: k for k, leaf in enumerate(dict.fromkeys(leaves(tree)))} for q, tree in trees.items()}
+    asked, ranges = [], []
+    for q, own in numbers.items():
+        for leaf, k in own.items():
+            fields = [leaf.field] if leaf.field else list(boosts)
+            if leaf.low is not None:
+                ranges += [(q, k, f, leaf.low, leaf.high) for f in fields]
+            else:
+                asked += [(q, k, f, w, n, len(leaf.words), float(boosts.get(f, 1.0))) for f in fields for n, w in enumerate(leaf.words)]
+    terms = sorted({x[3] for x in asked})
+    wanted = spark.createDataFrame(asked, "query_id long, leaf int, field string, term string, nth int, words int, boost double")
+    found = postings_.where(F.col("term").isin(terms)) if len(terms) <= SET_TERMS else postings_
+    df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    parts = found.join(F.broadcast(wanted), ["field", "term"]).join(df, ["field", "term"]).join(stats, "field")
+    parts = parts.select("query_id", "leaf", "field", "doc_id", "words", "boost", "len", "avg_len", idf.alias("idf"), F.transform("pos", lambda p: p - F.col("nth")).alias("starts"))
+    met = parts.groupBy("query_id", "leaf", "field", "doc_id").agg(
+        F.first("words").alias("words"), F.first("boost").alias("boost"), F.first("len").alias("len"), F.first("avg_len").alias("avg_len"), F.sum("idf").alias("idf"), F.collect_list("starts").alias("starts")
+    ).where(F.size("starts") == F.col("words"))
+    tf = F.size(F.aggregate("starts", F.col("starts")[0], lambda a, x: F.array_intersect(a, x)))
+    k1, b = settings.bm25_k1, settings.bm25_b
+    weight = F.col("boost") * F.col("idf") * (k1 + 1) * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    scored = met.withColumn("tf", tf).where("tf > 0").select("query_id", "leaf", "doc_id", weight.alias("part"))
+    if ranges:
+        own = spark.createDataFrame(ranges, "query_id long, leaf int, field string, low string, high string")
+        within = postings_.join(F.broadcast(own), "field").where((F.col("term") >= F.col("low")) & (F.col("term") <= F.col("high")))
+        scored = scored.unionByName(within.select("query_id", "leaf", "doc_id", F.lit(1.0).alias("part")).distinct())
+    hits = scored.groupBy("query_id", "doc_id", "leaf").agg(F.sum("part").alias("part")).groupBy("query_id", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("leaf", "part"))).alias("hits"))
+
+    def apply(query: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([judge(trees[q], dict(h), numbers[q]) for q, h in zip(query, own, strict=True)], dtype="float64")
+
+    judged = hits.select("query_id", "doc_id", F.pandas_udf(apply, "double")("query_id", "hits").alias("score"))
+    return judged.where(F.col("score").isNotNull() & ~F.isnan("score"))
+
+
+def positional(tokens: DataFrame) -> DataFrame:
+    """(term, field, doc_id, tf, len, pos): postings with positions."""
+    own = tokens.select("field", "doc_id", F.size("tokens").alias("len"), F.posexplode("tokens").alias("p", "term"))
+    return own.groupBy("term", "field", "doc_id", "len").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("p")).alias("pos")).select("term", "field", "doc_id", "tf", "len", "pos")
+
+
+def _between(low: str, high: str, term: Column) -> Column:
+    return (term >= low) & (term <= high)
 
-    test = either()
-    if place < len(stream):
-        raise ValueError("a bracket is not opened")
-    return tokens.groupBy("doc_id").agg(*[f.alias(f"f{k}") for k, f in enumerate(flags)]).where(F.expr(test)).select("doc_id")
+
+def boolean(tokens: DataFrame, text: str, fields: list[str]) -> DataFrame:
+    """doc_ids that match a query of the language, unranked; the default operator is OR."""
+    tree = parse(text)
+    numbers = {leaf: k for k, leaf in enumerate(dict.fromkeys(leaves(tree)))}
+    line = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
+    flags = []
+    for leaf, k in numbers.items():
+        if leaf.low is not None:
+            hit = F.exists("tokens", lambda t: _between(leaf.low, leaf.high, t))
+        else:
+            hit = line.contains(f" {' '.join(leaf.words)} ") if leaf.words else F.lit(False)
+        flags.append(F.max(F.col("field").isin([leaf.field] if leaf.field else fields) & hit).alias(f"f{k}"))
+
+    def test(node: Leaf | Group) -> Column:
+        if isinstance(node, Leaf):
+            return F.col(f"f{numbers[node]}")
+        parts = {occur: [test(p) for o, p in node.parts if o == occur] for occur in (MUST, SHOULD, NEVER)}
+        any_of = reduce(Column.__or__, parts[SHOULD]) if parts[SHOULD] else F.lit(False)
+        own = reduce(Column.__and__, parts[MUST]) if parts[MUST] else any_of
+        return reduce(Column.__and__, [~x for x in parts[NEVER]], own)
+
+    return tokens.groupBy("doc_id").agg(*flags).where(test(tree)).select("doc_id")

@@ -12,7 +12,7 @@ from loomsearch.functions import text as X
 from loomsearch.operators import crawl, instant, session, understand
 from loomsearch.plans.text_queries import WORDS
 from loomsearch.sources import crawl_log
-from loomsearch.sources.tables import histogram, load
+from loomsearch.sources.tables import histogram, load, shared_dir
 from loomsearch.streaming import streams
 
 #: Queries that reach every branch of query understanding.
@@ -73,9 +73,9 @@ def special_tokens(spark, sf_dir):
 STOPS = ", ".join(f"'{w}'" for w in understand.REFORMULATION_STOPS)
 
 
-@query(rf"SELECT query_id, array_to_string(list_filter(regexp_split_to_array(lower(trim(text)), '\s+'), lambda w: w NOT IN ({STOPS})), ' ') AS reworded FROM {LITERAL_SQL}")
+@query(rf"SELECT query_id, array_to_string(list_filter(regexp_split_to_array(lower(trim(text)), '\s+'), lambda w: w NOT IN ({STOPS})), ' ') AS reworded FROM {USERS_SQL}")
 def reformulate(spark, sf_dir):
-    return asked(spark, sf_dir).where("query_id < 1000").select("query_id", understand.reformulate(F.col("text")).alias("reworded"))
+    return asked(spark, sf_dir).select("query_id", understand.reformulate(F.col("text")).alias("reworded"))
 
 
 @query()
@@ -118,7 +118,7 @@ STUFFING_SQL = f"""f AS (SELECT doc_id, max(c) / sum(c) AS ratio FROM (SELECT do
 
 @query(f"WITH {STUFFING_SQL} SELECT doc_id, stuffing FROM k")
 def stuffing(spark, sf_dir):
-    return crawl.stuffing(load(spark, sf_dir, "documents"))
+    return load(spark, sf_dir, "documents").select("doc_id", crawl.stuffing(F.col("text")).alias("stuffing"))
 
 
 AD_SQL = ", ".join(f"'{w}'" for w in crawl.AD_TERMS)
@@ -143,8 +143,7 @@ def spam_score(spark, sf_dir):
     url = F.when(F.col("doc_id") % 3 == 0, "http://a.xyz/").otherwise("http://a.com/")
     title = F.when(F.col("doc_id") % 5 == 0, " ").otherwise("t")
     n = X.word_count(F.col("text"))
-    joined = own.join(crawl.stuffing(own), "doc_id")
-    return joined.select("doc_id", F.round(crawl.spam_score(F.col("stuffing"), crawl.link_spam(bars, n), crawl.thin(n), crawl.ad_density(F.col("text")), url, title), 6).alias("spam"))
+    return own.select("doc_id", F.round(crawl.spam_score(crawl.stuffing(F.col("text")), crawl.link_spam(bars, n), crawl.thin(n), crawl.ad_density(F.col("text")), url, title), 6).alias("spam"))
 
 
 @query("""SELECT event_id, user_id, value FROM (SELECT * FROM events WHERE event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 2) ORDER BY value DESC, event_id LIMIT 50""")
@@ -262,8 +261,7 @@ def instant_entity(spark, sf_dir):
 @query("SELECT doc_id, md5(text) AS text_md5, lang, source FROM documents")
 def log_roundtrip(spark, sf_dir):
     """Documents written as a crawl log and read again."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    path = f"{base}/crawl-log-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/crawl-log-{uuid.uuid4().hex}"
     crawl_log.write(load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), path, rotate_bytes=1 << 20)
     own = crawl_log.read(spark, path, "doc_id long, text string, lang string, source string")
     return own.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "source")

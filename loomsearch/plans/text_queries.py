@@ -113,10 +113,10 @@ def snippets(spark, sf_dir):
     return best.join(load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")), "doc_id").select("query_id", "doc_id", "rank", X.snippet("body", "text").alias("snippet"))
 
 
-@query(r"""SELECT doc_id, replace(replace(replace(replace(substr(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped,
-    replace(replace(replace(substr(text, 1, 200), ' ', '+'), '&', '%26'), '#', '%23') AS url_escaped, upper(substr(text, 1, 1)) || substr(text, 2, 199) AS capital FROM documents""")
+@query(r"""SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped,
+    replace(replace(replace(text, ' ', '+'), '&', '%26'), '#', '%23') AS url_escaped, upper(substr(text, 1, 1)) || substr(text, 2) AS capital FROM documents""")
 def escapes(spark, sf_dir):
-    own = F.substring("text", 1, 200)
+    own = F.col("text")
     return load(spark, sf_dir, "documents").select("doc_id", X.html_escape(own).alias("escaped"), X.url_escape(own).alias("url_escaped"), X.capitalise(own).alias("capital"))
 
 

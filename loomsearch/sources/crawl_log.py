@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomsearch.sources.tables import saved
+
 ROTATE_BYTES = 256 << 20
 
 
@@ -51,8 +56,23 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return raw.select("file", "pos", F.from_json("record", schema).alias("r")).select("file", "pos", "r.*")
 
 
+def _open(uri: str):
+    """A file to write on an executor: shared folders by their path, other file systems through Arrow."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == uri or scheme == "file":
+        return open("/" + rest.lstrip("/") if scheme == "file" else uri, "xb")
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    return system.open_output_stream(path)
+
+
 def write(df: DataFrame, path: str, rotate_bytes: int = ROTATE_BYTES) -> None:
-    """Appends records as files crawl-<number>.log of about rotate_bytes, numbered on from the highest there; through the Hadoop file system."""
+    """Appends records as files crawl-<number>.log of about rotate_bytes, numbered on from the highest there.
+
+    Each task writes its own files into a folder beside the log; then the driver only renames them, so
+    a failed task leaves nothing in the log.
+    """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
@@ -60,32 +80,45 @@ def write(df: DataFrame, path: str, rotate_bytes: int = ROTATE_BYTES) -> None:
     fs.mkdirs(place)
     taken = [int(n[6:14]) for n in (s.getPath().getName() for s in fs.listStatus(place)) if n.startswith("crawl-") and n.endswith(".log")]
     number = max(taken, default=-1) + 1
-    part: list[str] = []
-    size = 0
-
-    def flush() -> None:
-        nonlocal number, size
-        if part:
-            out = fs.create(jvm.org.apache.hadoop.fs.Path(place, f"crawl-{number:08d}.log"), False)
-            out.write(bytearray(frame(iter(part))))
+    new = jvm.org.apache.hadoop.fs.Path(place, f"_new-{uuid.uuid4().hex}")
+    fs.mkdirs(new)
+    folder = new.toString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        names, out, size = [], None, 0
+        for batch in batches:
+            for record in batch.column(0).to_pylist():
+                if out is None:
+                    names.append(f"{task.partitionId():08d}-{len(names):06d}-{task.taskAttemptId()}")
+                    out, size = _open(f"{folder}/{names[-1]}"), 0
+                out.write(data := frame(iter((record,))))
+                size += len(data)
+                if size >= rotate_bytes:
+                    out.close()
+                    out = None
+        if out is not None:
             out.close()
-            number, size = number + 1, 0
-            part.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
 
-    # The log is the crawler's own append file; a crawl's batch streams through one writer.
-    for row in df.select(F.to_json(F.struct("*")).alias("r")).toLocalIterator():
-        part.append(row[0])
-        size += len(row[0]) + 4
-        if size >= rotate_bytes:
-            flush()
-    flush()
+    records = df.select(F.to_json(F.struct("*")).alias("r"))
+    names = sorted(r.name for r in records.mapInArrow(run, "name string").collect())  # one a file
+    for k, name in enumerate(names):
+        fs.rename(jvm.org.apache.hadoop.fs.Path(new, name), jvm.org.apache.hadoop.fs.Path(place, f"crawl-{number + k:08d}.log"))
+    fs.delete(new, True)
 
 
 def with_ids(df: DataFrame, start: int = 0, order: str = "url") -> DataFrame:
-    """Dense ids from start on, in this order: counts per partition first, so no task sees all rows."""
+    """Dense ids from start on, in this order.
+
+    Rows are dealt by range and numbered within their partition, and written once: the counts of the
+    partitions come from the same rows that get the ids.
+    """
     spark = df.sparkSession
-    parts = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).withColumn("_p", F.spark_partition_id()).sortWithinPartitions(order)
-    own = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    sizes = own.groupBy("_p").agg(F.count("*").alias("_n"))
+    parts = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order)
+    own = saved(parts.withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    part, nth = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    # One row a partition.
+    sizes = own.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return own.join(F.broadcast(before), "_p").withColumn("doc_id", F.col("_before") + F.col("_k") - 1 + start).drop("_p", "_k", "_before")
+    return own.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn("doc_id", F.col("_before") + nth + start).drop("_p", "_m", "_before")

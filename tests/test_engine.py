@@ -98,7 +98,7 @@ def test_search(spark):
     assert sorted(map(tuple, got)) == [(1, 1, 1), (2, 1, 1), (2, 2, 2)]
 
 
-@pytest.mark.parametrize(("text", "want"), [("rust OR python", {1, 2}), ("language AND rust", {1}), ("+language -rust", {2}), ('"dynamic language"', {2}), ("title:rust^2", {1}), ("language NOT python", {1, 2, 3}), ("(rust OR python) AND NOT dynamic", {1})])
+@pytest.mark.parametrize(("text", "want"), [("rust OR python", {1, 2}), ("language AND rust", {1}), ("+language -rust", {2}), ('"dynamic language"', {2}), ("title:rust^2", {1}), ("language NOT python", {1}), ("-rust", set()), ("+language +(rust python)", {1, 2}), ("title:[p TO q]", {2}), ("(rust OR python) AND NOT dynamic", {1})])
 def test_boolean(spark, text, want):
     assert {r.doc_id for r in retrieval.boolean(tokens(spark), text, ["title", "body"]).collect()} == want
 
@@ -271,3 +271,45 @@ def test_settings(monkeypatch):
     monkeypatch.setenv("LOOMSEARCH_ENABLE_INSTANT_ANSWERS", "false")
     s = Settings.load()
     assert (s.rrf_k, s.enable_instant_answers, s.bm25_k1) == (10, False, 1.2)
+
+
+LANGUAGE = [("rust", {1}), ("language -rust", {2}), ('"dynamic language"', {2}), ('"language dynamic"', set()), ("title:rust^2 python", {1, 2}), ("language NOT python", {1}), ("-rust", set()), ("(rust OR python) AND NOT dynamic", {1}), ("+language +(rust python)", {1, 2}), ("title:[p TO q]", {2}), ("is AND (nothing OR systems)", {1})]
+
+
+def test_index(spark, tmp_path):
+    """Ranked queries of the language over a stored index equal the unranked ones; replaced and deleted documents go."""
+    from loomsearch.operators.index import Index
+
+    docs = spark.createDataFrame([("u1", "Rust", "rust is a systems language"), ("u2", "Python", "python is a dynamic language"), ("u3", "Other", "nothing")], "url string, title string, body string")
+    index = Index(spark, f"file://{tmp_path}/index", {"title": 5.0, "body": 1.0})
+    assert index.commit(docs, "a") and not index.commit(docs, "a")
+    got = index.ask(dict(enumerate(t for t, _ in LANGUAGE))).join(index.documents().select("doc_id", "url"), "doc_id").collect()
+    for k, (_, want) in enumerate(LANGUAGE):
+        assert {int(r.url[1:]) for r in got if r.query_id == k} == want
+    score = {(r.query_id, r.url): r.score for r in got}
+    assert score[(4, "u1")] == pytest.approx(2 * score[(4, "u2")] / 6 * 5, rel=0.5) and score[(4, "u1")] > score[(4, "u2")]
+    q = spark.createDataFrame([(0, ["rust", "language"])], "query_id long, terms array<string>")
+    plain = {r.doc_id: r.score for r in index.search(q).collect()}
+    from_texts = retrieval.search(retrieval.field_tokens(index.documents(), ["title", "body"]), q, index.fields)
+    assert plain == pytest.approx({r.doc_id: r.score for r in from_texts.collect()})
+    asked = {r.doc_id: r.score for r in index.ask({0: "rust language"}).collect()}
+    assert asked == pytest.approx(plain)
+    index.commit(spark.createDataFrame([("u2", "Snake", "a snake"), ("u4", "New", "more rust")], docs.schema), "b")
+    assert index.count().first().documents == 4 and {r.url for r in index.documents().collect()} == {"u1", "u2", "u3", "u4"}
+    assert index.ask({0: "python"}).count() == 0 and index.ask({0: "snake"}).count() == 1
+    ids = {r.url: r.doc_id for r in index.documents().collect()}
+    assert len(set(ids.values())) == 4 and index.urls(spark.createDataFrame([(ids["u4"],), (99,)], "doc_id long")).first().url == "u4"
+    index.delete(spark.createDataFrame([(ids["u1"],)], "doc_id long"))
+    assert index.ask({0: "rust"}).count() == 1 and index.stats().where("field = 'body'").first().n_docs == 3
+    assert {r.word: r.freq for r in index.dictionary().collect()}["rust"] == 1
+
+
+def test_dense_ids(spark, tmp_path):
+    """Many rows over many partitions get each id once, in order."""
+    df = spark.range(3_000_000).selectExpr("xxhash64(id) % 1000000 as url", "id as nth").repartition(7)
+    ids = crawl_log.with_ids(df, start=5)
+    ids.write.parquet(f"{tmp_path}/ids")
+    got = spark.read.parquet(f"{tmp_path}/ids").agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
+    assert (got.n, got.a, got.b) == (3_000_000, 5, 3_000_004)
+    bounds = spark.read.parquet(f"{tmp_path}/ids").groupBy((F.col("doc_id") - 5 >= 1_500_000).alias("half")).agg(F.min("url").alias("a"), F.max("url").alias("b")).orderBy("half").collect()
+    assert bounds[0].b <= bounds[1].a
