@@ -7,7 +7,6 @@ word and everything per occurrence is a numpy operation.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,35 +17,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomsearch.sources.tables import saved as materialise  # noqa: F401  the operators take it from here
+from loomsearch.sources.tables import shared_dir  # noqa: F401
+
 U64 = np.uint64
-#: Rows that one Arrow batch holds at most; whole texts can be long.
+#: Rows and bytes that one Arrow batch holds at most; a longer text is a batch of its own.
 BATCH_ROWS = 2000
+BATCH_BYTES = 16 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch, so that a batch of long texts fits a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bounds the rows and bytes of an Arrow batch, so that a batch of long texts fits a Python worker. Holds for the session."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        own = int(spark.conf.get(f"spark.sql.execution.arrow.{name}"))
+        if own > most or own <= 0:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or the warehouse where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return base.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_keys(docs: DataFrame) -> tuple[Column, Column]:
     """k1, k2: 128 bits of a row's id and text; stable under recomputation, equal for repeated rows only, never null."""
     doc_id, text = docs["doc_id"], docs["text"].cast("string")
