@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from loomsearch.catalog import query
 from loomsearch.functions import text as X
 from loomsearch.operators import crawl, instant, session, understand
+from loomsearch.operators.index import Index
 from loomsearch.plans.text_queries import WORDS
 from loomsearch.sources import crawl_log
-from loomsearch.sources.tables import histogram, load, shared_dir
+from loomsearch.sources.tables import histogram, load, metrics, shared_dir
 from loomsearch.streaming import streams
 
 #: Queries that reach every branch of query understanding.
@@ -207,55 +208,57 @@ def session_last5(spark, sf_dir):
     return session.recent(own, "user_id", "at", "event_type").select("event_id", F.array_join("recent", ",").alias("recent"))
 
 
-SUMS = (("2 + 3 * 4", "2 + 3 * 4 = 14"), ("what is 7 / 2", "7 / 2 = 3"), ("7.0 / 2", "7.0 / 2 = 3.5"), ("calculate 2 ^ 10", "2 ^ 10 = 1024"), ("(1 + 2) * -3 =", "(1 + 2) * -3 = -9"), ("10 % 4", "10 % 4 = 2"), ("1 / 0", None), ("hello", None))
-UNITS = (("100 km in miles", "100 km = 62.1373 miles"), ("5 feet to cm", "5 feet = 152.4000 cm"), ("5 in to cm", None), ("3 mi to km", "3 mi = 4.8280 km"))
-MONTHS = (("days in february 2024", 29), ("how many days in sept 2023", 30), ("days in 12", 31), ("days in smarch", None))
-DEFINED = (("define algorithm", True), ("what does latency mean", True), ("meaning of nothing much", False))
-NAMED = (("what is linux", "Linux"), ("who is nobody", None), ("tell me about python", "Python"))
-
-
-def _values(rows, kind: str) -> str:
-    show = lambda v: "NULL" if v is None else repr(v) if isinstance(v, str) else str(v)
-    return f"SELECT i::BIGINT AS query_id, x::{kind} AS answer FROM (VALUES {', '.join(f'({k}, {show(v)})' for k, (_, v) in enumerate(rows))}) t(i, x)"
-
-
-def _rows(spark, rows) -> DataFrame:
-    return spark.createDataFrame([(k, q) for k, (q, _) in enumerate(rows)], "query_id long, text string")
-
-
-@query(_values(SUMS, "VARCHAR"))
+@query("SELECT p_partkey AS query_id, p_size || ' * (' || p_partkey || ' + 3) - ' || p_size || ' / 2 = ' || (p_size * (p_partkey + 3) - p_size // 2) AS answer FROM part")
 def instant_calculator(spark, sf_dir):
-    return _rows(spark, SUMS).select("query_id", instant.calculation(F.col("text"))["answer"].alias("answer"))
+    """A sum for each part; whole numbers divide without remainder."""
+    text = F.format_string("what is %d * (%d + 3) - %d / 2", "p_size", "p_partkey", "p_size")
+    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), instant.calculation(text)["answer"].alias("answer"))
 
 
-@query(_values(UNITS, "VARCHAR"))
+@query("SELECT p_partkey AS query_id, p_size || ' km = ' || printf('%.4f', p_size * 1000 / 1609.34) || ' miles' AS answer FROM part UNION ALL SELECT -1 - p_partkey, NULL FROM part")
 def instant_units(spark, sf_dir):
-    return _rows(spark, UNITS).select("query_id", instant.units(F.col("text"))["answer"].alias("answer"))
+    """A length for each part, and a question whose first `in` comes too early."""
+    own = load(spark, sf_dir, "part")
+    asked_ = own.select(F.col("p_partkey").alias("query_id"), F.format_string("%d km in miles", "p_size").alias("text")).unionByName(own.select((-1 - F.col("p_partkey")).alias("query_id"), F.format_string("%d in to cm", "p_size").alias("text")))
+    return asked_.select("query_id", instant.units(F.col("text"))["answer"].alias("answer"))
 
 
-@query(_values(MONTHS, "INT"))
+@query("SELECT o_orderkey AS query_id, day(last_day(o_orderdate))::INT AS answer FROM orders")
 def instant_days_in_month(spark, sf_dir):
-    return _rows(spark, MONTHS).select("query_id", instant.days_in_month(F.col("text"), F.make_date(F.lit(2023), F.lit(6), F.lit(1))).alias("answer"))
+    """The month of each order, by name and year."""
+    text = F.concat(F.lit("how many days in "), F.lower(F.date_format("o_orderdate", "MMMM yyyy")))
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), instant.days_in_month(text, F.make_date(F.lit(2023), F.lit(6), F.lit(1))).alias("answer"))
 
 
-UNTIL = (("days until christmas", "18 days from now (December 25, 2023)"), ("days until 2023-12-07", "That's today! (December  7, 2023)"), ("days until 11/27/2023", "10 days ago (November 27, 2023)"), ("days until new year", "25 days from now (January  1, 2024)"), ("what time is it", "12:30 PM, Thursday December  7, 2023"), ("today", "Thursday, December  7, 2023"), ("epoch time", "Current Unix timestamp: 1701952200"))
+LONG_SQL = "strftime({0}, '%B ') || lpad(day({0})::VARCHAR, 2, ' ') || strftime({0}, ', %Y')"
 
 
-@query(_values([(q, a.replace("'", "''")) for q, a in UNTIL], "VARCHAR").replace('"That\'\'s today! (December  7, 2023)"', "'That''s today! (December  7, 2023)'"))
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d, date_diff('day', DATE '1995-06-17', o_orderdate::DATE) AS n FROM orders)
+    SELECT o_orderkey AS query_id, CASE WHEN n > 0 THEN n || ' days from now (' || {LONG_SQL.format('d')} || ')' WHEN n = 0 THEN 'That''s today! (' || {LONG_SQL.format('d')} || ')' ELSE -n || ' days ago (' || {LONG_SQL.format('d')} || ')' END AS answer FROM o""")
 def instant_dates(spark, sf_dir):
-    return _rows(spark, UNTIL).select("query_id", instant.dates(F.col("text"), F.timestamp_seconds(F.lit(1701952200)))["answer"].alias("answer"))
+    """Days until the date of each order, asked in June 1995."""
+    text = F.concat(F.lit("days until "), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    now = F.to_timestamp(F.lit("1995-06-17 12:30:00"))
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), instant.dates(text, now)["answer"].alias("answer"))
 
 
-@query(_values(DEFINED, "BOOLEAN"))
+@query("SELECT s_suppkey AS query_id, '(noun) supplies nation ' || s_nationkey AS answer, 0.88::DOUBLE AS confidence FROM supplier")
 def instant_define(spark, sf_dir):
-    rows = _rows(spark, DEFINED)
-    return rows.join(instant.define(rows), "query_id", "left").select("query_id", F.col("a").isNotNull().alias("answer"))
+    """Suppliers' names as words of the dictionary table."""
+    own = load(spark, sf_dir, "supplier")
+    table = own.select(F.col("s_name").alias("word"), F.lit("noun").alias("part_of_speech"), F.format_string("supplies nation %d", "s_nationkey").alias("definition"))
+    found = instant.define(own.select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("what does "), "s_name", F.lit(" mean")).alias("text")), table)
+    return found.select("query_id", "a.answer", "a.confidence")
 
 
-@query(_values(NAMED, "VARCHAR"))
+@query("""WITH m AS (SELECT a.n_nationkey AS query_id, b.n_name, b.n_regionkey, row_number() OVER (PARTITION BY a.n_nationkey ORDER BY b.n_name) AS k FROM nation a JOIN nation b ON a.n_name = b.n_name OR contains('the land of ' || lower(b.n_name), lower(a.n_name)))
+    SELECT query_id, 'Nation — of region ' || n_regionkey AS answer, n_name AS name FROM m WHERE k = 1""")
 def instant_entity(spark, sf_dir):
-    rows = _rows(spark, NAMED)
-    return rows.join(instant.entity(rows), "query_id", "left").select("query_id", F.get_json_object("a.details", "$.name").alias("answer"))
+    """Nations as entities, found by name or by an alias that holds it."""
+    own = load(spark, sf_dir, "nation")
+    table = own.select(F.col("n_name").alias("name"), F.lit("Nation").alias("entity_type"), F.format_string("of region %d", "n_regionkey").alias("description"), F.concat(F.lit("the land of "), "n_name").alias("aliases"))
+    found = instant.entity(own.select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("tell me about "), "n_name").alias("text")), table)
+    return found.select("query_id", "a.answer", F.get_json_object("a.details", "$.name").alias("name"))
 
 
 @query("SELECT doc_id, md5(text) AS text_md5, lang, source FROM documents")
@@ -278,24 +281,62 @@ def latency_histogram(spark, sf_dir):
     return histogram(load(spark, sf_dir, "events").select((F.col("value") / 100).alias("s")), "s")
 
 
+@query("""WITH s AS (SELECT event_type AS endpoint, count(*)::DOUBLE AS a, count_if(event_type = 'error')::DOUBLE AS b, count_if(user_id % 2 = 0)::DOUBLE AS c, count_if(user_id % 2 = 1)::DOUBLE AS d, count_if(value > 50)::DOUBLE AS e, round(sum(value / 100), 4) AS f, max(value / 100) AS g FROM events GROUP BY ALL)
+    SELECT endpoint, unnest(['search_requests_total', 'search_errors_total', 'cache_hits_total', 'cache_misses_total', 'instant_answers_total', 'search_latency_seconds_sum', 'search_latency_seconds_max']) AS metric, unnest([a, b, c, d, e, f, round(g, 4)]) AS value FROM s""")
+def request_metrics(spark, sf_dir):
+    """Events as a request log."""
+    log = load(spark, sf_dir, "events").select(F.col("event_type").alias("endpoint"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"), (F.col("value") / 100).alias("seconds"), (F.col("user_id") % 2 == 0).alias("cached"), (F.col("value") > 50).alias("answered"))
+    return metrics(log).select("endpoint", "metric", F.round("value", 4).alias("value"))
+
+
+@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'quality' END AS reason FROM (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id) WHERE toxic = 1 OR quality = 0")
+def tombstone_list(spark, sf_dir):
+    """Toxic documents go, then those of low quality; what is gone is not listed twice."""
+    own = load(spark, sf_dir, "labels").withColumn("url", F.format_string("u%d", "doc_id"))
+    now = F.timestamp_seconds(F.lit(1704067200))
+    first = crawl.tombstone(None, own.where("toxic = 1").dropDuplicates(["doc_id"]), "toxic", now)
+    return crawl.tombstone(first, own.where("quality = 0").dropDuplicates(["doc_id"]), "quality", now).select("doc_id", "reason")
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    return streams.files(spark, f"{sf_dir}/events*.parquet", load(spark, sf_dir, "events").schema)
+
+
 @query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily(spark, sf_dir):
-    """Events as a stream: counts in daily windows, with a final row that moves the watermark past all of them."""
-    static = load(spark, sf_dir, "events")
-    own = streams.files(spark, f"{sf_dir}/events*.parquet", static.schema)
-    rows = streams.drain(streams.windowed(own, "ts", "1 day", "1 day", by=("event_type",)), f"daily_{uuid.uuid4().hex}", "complete")
+    """Events as a stream: counts in daily windows."""
+    rows = streams.drain(streams.windowed(_events(spark, sf_dir), "ts", "1 day", "1 day", by=("event_type",)), "daily", "complete")
     return rows.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query()
+@query("""SELECT user_id, event_id, coalesce(last_value(CASE WHEN value >= 50 THEN true WHEN value < 30 THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS paused FROM events""")
 def stream_hysteresis(spark, sf_dir):
-    static = load(spark, sf_dir, "events")
-    own = streams.files(spark, f"{sf_dir}/events*.parquet", static.schema)
-    return streams.drain(streams.paused(own, "user_id", "ts", "value"), f"paused_{uuid.uuid4().hex}")
+    rows = streams.drain(streams.paused(_events(spark, sf_dir), "user_id", "ts", "value", "event_id"), "paused")
+    return rows.select(F.col("key").cast("long").alias("user_id"), F.col("tie").alias("event_id"), "paused")
 
 
-@query()
+@query("""SELECT user_id, event_id, array_to_string(list_reverse(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)), ',') AS recent,
+    coalesce(event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS is_reformulation FROM events""")
 def stream_sessions(spark, sf_dir):
-    static = load(spark, sf_dir, "events")
-    own = streams.files(spark, f"{sf_dir}/events*.parquet", static.schema)
-    return streams.drain(streams.recent_queries(own, "user_id", "ts", "event_type"), f"sessions_{uuid.uuid4().hex}")
+    rows = streams.drain(streams.recent_queries(_events(spark, sf_dir), "user_id", "ts", "event_type", "event_id"), "sessions")
+    return rows.select(F.col("session_id").cast("long").alias("user_id"), F.col("tie").alias("event_id"), F.array_join("recent", ",").alias("recent"), "is_reformulation")
+
+
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def stream_upsert(spark, sf_dir):
+    """Events as a stream of upserts, the user as key."""
+    base = f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
+    own = _events(spark, sf_dir)
+    streams.upsert(own, f"{base}/rows", f"{base}/state", "user_id", "ts", "event_id", buckets=8).trigger(availableNow=True).start().awaitTermination()
+    return streams.state(spark, f"{base}/rows", own.schema).select("user_id", "event_id", "event_type", "value")
+
+
+@query("SELECT count(*) AS documents, sum(coalesce(len(regexp_split_to_array(trim(text, ' '), ' ')), 0))::BIGINT AS spaces FROM documents")
+def stream_tail(spark, sf_dir):
+    """A crawl log tailed into an index: every document arrives."""
+    base = f"{shared_dir(spark)}/tail-{uuid.uuid4().hex}"
+    crawl_log.write(load(spark, sf_dir, "documents").select(F.format_string("u%d", "doc_id").alias("url"), F.coalesce("text", F.lit("")).alias("text")), f"{base}/log", rotate_bytes=4 << 20)
+    index = Index(spark, f"{base}/index", {"text": 1.0})
+    log = streams.tail(spark, f"{base}/log", "url string, text string").drop("file", "pos")
+    streams.index_into(log, index, f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return index.documents().agg(F.count("*").alias("documents"), F.sum(F.size(F.split(F.trim("text"), " "))).alias("spaces"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,8 +11,11 @@ from pyspark.sql.window import Window
 from loomsearch.catalog import query
 from loomsearch.functions import urls as U
 from loomsearch.operators import crawl, linkgraph, parse, ranking
+from loomsearch.operators.index import Index
 from loomsearch.plans import search as S
-from loomsearch.sources.tables import load
+from loomsearch.schema import FRONTIER
+from loomsearch.sources import tables
+from loomsearch.sources.tables import load, shared_dir
 
 HOST = "regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
 
@@ -79,11 +84,14 @@ def supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDGES_SQL = "e AS (SELECT DISTINCT l_suppkey AS src, dst FROM (SELECT l_suppkey, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem) WHERE dst IS NOT NULL)"
 
 
-def _pagerank_sql(rounds: int, teleport: str = "1.0 / (SELECT count(*) FROM v)") -> str:
-    steps = [f"""r{k + 1} AS (SELECT v.id, 0.15 * t + 0.85 * (SELECT coalesce(sum(r), 0) FROM r{k} WHERE id NOT IN (SELECT src FROM o)) * t + 0.85 * coalesce(g.g, 0) AS r, t
+def _rank_steps(rounds: int) -> list[str]:
+    return [f"""r{k + 1} AS (SELECT v.id, 0.15 * t + 0.85 * (SELECT coalesce(sum(r), 0) FROM r{k} WHERE id NOT IN (SELECT src FROM o)) * t + 0.85 * coalesce(g.g, 0) AS r, t
         FROM v JOIN r{k} x USING (id) LEFT JOIN (SELECT dst AS id, sum(r / n) AS g FROM e JOIN o USING (src) JOIN r{k} ON r{k}.id = e.src GROUP BY dst) g USING (id))""" for k in range(rounds)]
+
+
+def _pagerank_sql(rounds: int, teleport: str = "1.0 / (SELECT count(*) FROM v)") -> str:
     return f"""WITH {EDGES_SQL}, v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), o AS (SELECT src, count(*) AS n FROM e GROUP BY src),
-        r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS r, ({teleport})::DOUBLE AS t FROM v), {', '.join(steps)}"""
+        r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS r, ({teleport})::DOUBLE AS t FROM v), {', '.join(_rank_steps(rounds))}"""
 
 
 @query(_pagerank_sql(10) + " SELECT id, round(r, 8) AS pagerank FROM r10")
@@ -110,14 +118,23 @@ def degree(spark, sf_dir):
     return linkgraph.degrees(supplier_edges(spark, sf_dir))
 
 
-@query()
+BASE = "regexp_extract(url, '^[a-z]+://[^/?#]*')"
+LINKS = f"""SELECT DISTINCT url AS src, {BASE} || unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS dst FROM pages"""
+PAGE_GRAPH = f"e AS ({LINKS}), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), o AS (SELECT src, count(*) AS n FROM e GROUP BY src), r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS r, 1.0::DOUBLE / (SELECT count(*) FROM v) AS t FROM v)"
+
+
+@query(f"WITH {PAGE_GRAPH}, {', '.join(_rank_steps(5))} SELECT {HOST.replace('url', 'id')} AS domain, round(sum(r), 7) AS authority FROM r5 GROUP BY ALL")
 def domain_authority(spark, sf_dir):
-    return linkgraph.domain_authority(linkgraph.pagerank(page_edges(spark, sf_dir), iterations=5), U.host(F.col("id")))
+    return linkgraph.domain_authority(linkgraph.pagerank(page_edges(spark, sf_dir), iterations=5), U.host(F.col("id"))).select("domain", F.round("authority", 7).alias("authority"))
 
 
-@query()
+@query(f"""WITH l AS (SELECT page_id, base, html, unnest(range(1, len(hrefs) + 1)) AS k, hrefs, texts FROM (SELECT page_id, {BASE} AS base, html, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hrefs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS texts FROM pages)),
+    d AS (SELECT DISTINCT ON (page_id, base || hrefs[k]) page_id, base || hrefs[k] AS url, trim(texts[k]) AS anchor, k FROM l ORDER BY page_id, base || hrefs[k], k),
+    c AS (SELECT url, anchor, count(*) AS n FROM d WHERE anchor <> '' GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY n DESC, anchor) AS p FROM c)
+    SELECT url, string_agg(anchor, '|' ORDER BY p) AS anchors FROM r WHERE p <= 100 GROUP BY url""")
 def anchor_texts(spark, sf_dir):
-    return linkgraph.anchors(parse.documents(load(spark, sf_dir, "pages")))
+    return linkgraph.anchors(parse.documents(load(spark, sf_dir, "pages"))).select("url", F.array_join("anchors", "|").alias("anchors"))
 
 
 FEATURES = {0: "bm25", 1: "title_ratio", 3: "heading_ratio", 6: "log10(pagerank + 1e-10)", 7: "domain_authority", 8: "url_depth", 9: "1 / (1 + exp(age_days - 30))", 16: "spam", 22: "log10(inlinks + 1)", 23: "log10(words + 1)", 24: "cosine", 29: "https"}
@@ -170,17 +187,22 @@ def _asked(spark) -> DataFrame:
     return spark.createDataFrame([(1, "the edition"), (2, "die und"), (3, "what is 2 + 3 * 4"), (4, "example thther")], "query_id long, text string")
 
 
+def _found(spark, sf_dir) -> DataFrame:
+    """A batch of queries over the stored index of all pages, spelling from its dictionary."""
+    index = Index(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    index.commit(search_docs(spark, sf_dir))
+    return S.search(index.documents(), _asked(spark), F.timestamp_seconds(F.lit(1704067200 + 40 * 86400)), words=index.dictionary(), index=index)
+
+
 @query()
 def search_pages(spark, sf_dir):
-    """A batch of queries over all pages, end to end."""
-    docs = search_docs(spark, sf_dir)
-    return S.search(docs, _asked(spark), F.timestamp_seconds(F.lit(1704067200 + 40 * 86400))).drop("instant")
+    """Pages are parsed once, stored and indexed, then searched end to end."""
+    return _found(spark, sf_dir).drop("instant")
 
 
 @query()
 def search_responses(spark, sf_dir):
-    docs = search_docs(spark, sf_dir)
-    return S.response(S.search(docs, _asked(spark), F.timestamp_seconds(F.lit(1704067200 + 40 * 86400))))
+    return S.response(_found(spark, sf_dir))
 
 
 @query(f"""SELECT page_id, CASE WHEN page_id % 9 = 3 THEN 'backoff' WHEN page_id % 9 = 4 THEN 'drop' ELSE 'keep' END AS verdict FROM pages""")
@@ -189,11 +211,31 @@ def status_gate(spark, sf_dir):
     return crawl.status_gate(own).select("page_id", "verdict")
 
 
-@query()
+@query(f"""SELECT DISTINCT regexp_replace(dst, '/$', '') AS url, regexp_extract(dst, '^[a-z]+://([^/:?#]+)', 1) AS domain, 0.85::DOUBLE AS priority FROM ({LINKS})""")
 def link_expansion(spark, sf_dir):
     return crawl.expand(parse.documents(load(spark, sf_dir, "pages")))
 
 
+@query(f"""WITH u AS (SELECT DISTINCT regexp_replace(dst, '/$', '') AS url FROM ({LINKS})) SELECT count(*) AS urls FROM u""")
+def frontier_count(spark, sf_dir):
+    """The size of a frontier that all followed links were pushed into, twice."""
+    found = crawl.expand(parse.documents(load(spark, sf_dir, "pages")))
+    frontier = crawl.push(spark.createDataFrame([], FRONTIER), found)
+    return crawl.frontier_size(crawl.push(frontier, found))
+
+
+@query(r"""WITH p AS (SELECT regexp_replace(url, '#.*$', '') AS u FROM pages), s AS (SELECT regexp_extract(u, '^[^?]*') AS a, regexp_extract(u, '\?(.*)$', 1) AS q FROM p)
+    SELECT DISTINCT regexp_replace(a, '/$', '') || CASE WHEN q = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(q, '&')), '&') END AS url, regexp_extract(a, '^[a-z]+://([^/:?#]+)', 1) AS domain, 1.0::DOUBLE AS priority FROM s""")
+def seed_urls(spark, sf_dir):
+    """All pages as a curated list."""
+    return crawl.seeds(load(spark, sf_dir, "pages").select("url"))
+
+
+@query("SELECT 'ok' AS status, '1' AS version, count(*) AS documents FROM pages")
+def health(spark, sf_dir):
+    return tables.health(load(spark, sf_dir, "pages"), "1")
+
+
 ROBOTS = ["/admin/", "/en/7", "/fr/"], ["/en/72", "/fr/8"]
 
 

@@ -43,7 +43,11 @@ def unframe(data: bytes) -> Iterator[str]:
 
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of all *.log files under path, through Spark's own file reader, so any file system will do."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(path).select("path", "content")
+    return records(spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(path).select("path", "content"), schema)
+
+
+def records(files: DataFrame, schema: str) -> DataFrame:
+    """Records of whole files (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -44,6 +44,11 @@ def discard(df: DataFrame) -> None:
         fs.delete(place, True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    place, fs, _ = _fs(spark, path)
+    fs.delete(place, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     place, fs, _ = _fs(spark, path)
     return fs.exists(place)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomsearch.operators.dedup import latest
+from loomsearch.operators.index import Index
+from loomsearch.sources import crawl_log
+from loomsearch.sources.tables import discard, names_in, remove, saved, shared_dir
 
 
 def files(spark: SparkSession, path: str, schema, per_trigger: int = 100, form: str = "parquet") -> DataFrame:
@@ -17,19 +21,52 @@ def files(spark: SparkSession, path: str, schema, per_trigger: int = 100, form:
     return spark.readStream.format(form).schema(schema).option("maxFilesPerTrigger", per_trigger).load(path)
 
 
-def upsert(stream: DataFrame, target: str, checkpoint: str, key: str, time: str, tie: str):
-    """Keeps one row a key, the latest, in versioned folders under target: a batch writes its own version, so a repeated batch writes the same one again."""
+def tail(spark: SparkSession, path: str, schema: str, per_trigger: int = 100) -> DataFrame:
+    """Records of a crawl log as its files come in; a file is read once it has its final name, so none of its records is lost."""
+    form = "path string, modificationTime timestamp, length long, content binary"
+    raw = spark.readStream.format("binaryFile").schema(form).option("pathGlobFilter", "*.log").option("maxFilesPerTrigger", per_trigger).load(path)
+    return crawl_log.records(raw.select("path", "content"), schema)
+
+
+def index_into(stream: DataFrame, index: Index, checkpoint: str, time: str | None = None):
+    """Commits every micro-batch to the index under its number, so one that is repeated counts once."""
+
+    def commit(batch: DataFrame, number: int) -> None:
+        index.commit(batch, f"batch{number:08d}", time)
+
+    return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
+
+
+def upsert(stream: DataFrame, target: str, checkpoint: str, key: str, time: str, tie: str, buckets: int = 64):
+    """Keeps one row a key, the latest, in buckets of keys under target.
+
+    A micro-batch rewrites the buckets that its keys fall into, as new versions, and then drops the versions
+    before; a repeated one writes the same again. `state` reads the result.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch
-        if number > 0:
-            new = spark.read.schema(batch.schema).parquet(f"{target}/v{number - 1}").unionByName(batch)
-        latest(new, key, time, tie).write.mode("overwrite").parquet(f"{target}/v{number}")
+        keyed = saved(batch.withColumn("_bucket", (F.crc32(F.col(key).cast("string").cast("binary")) % buckets).cast("int")), "upsert")
+        for row in keyed.select("_bucket").distinct().collect():  # at most `buckets`
+            place = f"{target}/bucket={row[0]}"
+            old = [v for v in names_in(spark, place) if v.startswith("v") and int(v[1:]) < number]
+            new = keyed.where(F.col("_bucket") == row[0]).drop("_bucket")
+            if old:
+                new = spark.read.schema(batch.schema).parquet(f"{place}/{old[-1]}").unionByName(new)
+            latest(new, key, time, tie).write.mode("overwrite").parquet(f"{place}/v{number:08d}")
+            for v in old[:-1]:
+                remove(spark, f"{place}/{v}")
+        discard(keyed)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
+def state(spark: SparkSession, target: str, schema) -> DataFrame:
+    """What `upsert` keeps: the last version of each bucket."""
+    paths = [f"{target}/{b}/{names_in(spark, f'{target}/{b}')[-1]}" for b in names_in(spark, target) if b.startswith("bucket=")]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def windowed(stream: DataFrame, time: str, late: str, size: str, slide: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Counts in event-time windows; rows later than `late` are left out."""
     stream = stream.withColumn(time, F.col(time).cast("timestamp"))
@@ -42,7 +79,7 @@ def session_windows(stream: DataFrame, key: str, time: str, gap: str = "30 minut
     return own.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def recent_queries(stream: DataFrame, session: str, time: str, text: str, keep: int = 5, ttl_s: int = 1800) -> DataFrame:
+def recent_queries(stream: DataFrame, session: str, time: str, text: str, tie: str, keep: int = 5, ttl_s: int = 1800) -> DataFrame:
     """For each query its session's last ones, newest first, and whether it rewords the one before; state is dropped when the watermark is ttl_s past the last query."""
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -50,42 +87,51 @@ def recent_queries(stream: DataFrame, session: str, time: str, text: str, keep:
             state.remove()
             return
         known = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
+        rows = pd.concat(list(batches)).sort_values(["at", "tie"], kind="stable")
         out = []
-        for t in rows["q"]:
+        for t, tie in zip(rows["q"], rows["tie"], strict=True):
             reworded = False
             if known:
                 a, b = set(t.split()), set(known[0].split())
                 reworded = bool(a or b) and len(a & b) / max(len(a), len(b)) > 0.5
             known = [t, *known][:keep]
-            out.append((key[0], list(known), reworded))
+            out.append((key[0], tie, list(known), reworded))
         state.update((known,))
         state.setTimeoutTimestamp(max(int(rows["at"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + ttl_s * 1000)
-        yield pd.DataFrame(out, columns=["session_id", "recent", "is_reformulation"])
+        yield pd.DataFrame(out, columns=["session_id", "tie", "recent", "is_reformulation"])
 
-    own = stream.select(F.col(session).cast("string").alias("session_id"), F.col(time).cast("timestamp").alias("at"), F.coalesce(F.col(text), F.lit("")).alias("q")).withWatermark("at", f"{ttl_s} seconds")
-    return own.groupBy("session_id").applyInPandasWithState(update, "session_id string, recent array<string>, is_reformulation boolean", "recent array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+    own = stream.select(F.col(session).cast("string").alias("session_id"), F.col(time).cast("timestamp").alias("at"), F.coalesce(F.col(text), F.lit("")).alias("q"), F.col(tie).cast("long").alias("tie")).withWatermark("at", f"{ttl_s} seconds")
+    return own.groupBy("session_id").applyInPandasWithState(update, "session_id string, tie long, recent array<string>, is_reformulation boolean", "recent array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def paused(stream: DataFrame, key: str, time: str, percent: str, pause: int = 50, resume: int = 30) -> DataFrame:
+def paused(stream: DataFrame, key: str, time: str, percent: str, tie: str, pause: int = 50, resume: int = 30) -> DataFrame:
     """Hysteresis with the verdict as state."""
 
     def update(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = bool(state.get[0]) if state.exists else False
-        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
+        rows = pd.concat(list(batches)).sort_values(["at", "tie"], kind="stable")
         out = []
-        for at, p in zip(rows["at"], rows["p"], strict=True):
+        for tie, p in zip(rows["tie"], rows["p"], strict=True):
             now = p >= resume if now else p >= pause
-            out.append((k[0], at, bool(now)))
+            out.append((k[0], tie, bool(now)))
         state.update((bool(now),))
-        yield pd.DataFrame(out, columns=["key", "at", "paused"])
+        yield pd.DataFrame(out, columns=["key", "tie", "paused"])
+
+    own = stream.select(F.col(key).cast("string").alias("key"), F.col(time).cast("timestamp").alias("at"), F.col(percent).cast("double").alias("p"), F.col(tie).cast("long").alias("tie"))
+    return own.groupBy("key").applyInPandasWithState(update, "key string, tie long, paused boolean", "paused boolean", "append", GroupStateTimeout.NoTimeout)
+
 
-    own = stream.select(F.col(key).cast("string").alias("key"), F.col(time).cast("timestamp").alias("at"), F.col(percent).cast("double").alias("p"))
-    return own.groupBy("key").applyInPandasWithState(update, "key string, at timestamp, paused boolean", "paused boolean", "append", GroupStateTimeout.NoTimeout)
+def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there into a table in the shared folder and reads it."""
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
 
-def drain(stream: DataFrame, name: str, mode: str = "append", before: Callable | None = None) -> DataFrame:
-    """Runs a stream over what is there and returns the rows, for tests and small tables."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    # In complete mode each batch holds the whole result: the last one counts.
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    batches = sorted(names_in(spark, f"{base}/rows"), key=lambda n: int(n.partition("=")[2]))
+    paths = [f"{base}/rows/{b}" for b in (batches[-1:] if mode == "complete" else batches)]
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
