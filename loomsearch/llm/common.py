@@ -7,6 +7,7 @@ word and everything per occurrence is a numpy operation.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,8 @@ BATCH_BYTES = 16 << 20
 def tune(spark: SparkSession) -> None:
     """Bounds the rows and bytes of an Arrow batch, so that a batch of long texts fits a Python worker. Holds for the session."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        own = int(spark.conf.get(f"spark.sql.execution.arrow.{name}"))
+        number, unit = re.fullmatch(r"(-?\d+)\s*([kmg]?)b?", spark.conf.get(f"spark.sql.execution.arrow.{name}").lower()).groups()
+        own = int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]
         if own > most or own <= 0:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 

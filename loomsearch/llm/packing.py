@@ -5,7 +5,9 @@ size that holds it; what is longer is cut into whole longest windows first. A ti
 of exactly its size, cutting the document at a window's edge. At the end of a partition the
 longest open window is filled from the next shorter tiers, and what is left becomes windows of
 powers of two, so no token of padding is needed. Windows gather into slots as long as the longest
-tier, slots into step groups, which therefore hold equal numbers of tokens.
+tier, slots into step groups. A group ends at step_slots slots full of tokens; what is left at a
+partition's end is a group of its own from half of that on, else its windows go round the groups
+before. So groups differ only by such windows, and by the last group of each partition.
 
 Packing is local to an input partition: no shuffle, memory for one Arrow batch and one open window
 a tier, and a lost executor's partition is packed again with the same result.
@@ -43,10 +45,16 @@ class Packer:
         self.open: dict[int, list] = {t: [] for t in tiers}
         self.room = {t: t for t in tiers}
         self.slots: dict[int, list] = {t: [] for t in tiers}
-        self.made = 0
-        self.step_slots = step_slots
+        self.group: list[tuple] = []  # windows of the step group that is being filled
+        self.filled = self.steps = 0
+        self.step_tokens = step_slots * tiers[-1]
         self.out: list[tuple] = []
 
+    def waiting(self) -> set:
+        """Documents of which pieces are not put out yet."""
+        windows = [w for t in self.tiers for w, _ in self.slots[t]] + [w for w, *_ in self.group] + list(self.open.values())
+        return {piece[0] for w in windows for piece in w}
+
     def add(self, doc, tokens: int) -> None:
         start, longest = 0, self.tiers[-1]
         while tokens - start >= longest and start % longest == 0 and self.room[longest] == longest:
@@ -66,21 +74,31 @@ class Packer:
                 self.open[tier], self.room[tier] = [], tier
 
     def _window(self, tier: int, pieces: list, size: int) -> None:
-        """A full window waits until its slot is full; a slot counts as so many tokens as the longest window."""
+        """A full window waits until its slot holds as many tokens as the longest window."""
         self.slots[tier].append((pieces, size))
         if len(self.slots[tier]) * tier >= self.tiers[-1]:
             self._slot(tier)
 
     def _slot(self, tier: int) -> None:
-        step = self.first_id + self.made // self.step_slots
         for pieces, size in self.slots[tier]:
-            at = 0
-            for doc, start, length in pieces:
-                self.out.append((doc, start, length, self.next_id, at, size, tier, step))
-                at += length
-            self.next_id += 1
-        self.made += bool(self.slots[tier])
+            self.group.append((pieces, size, tier))
+            self.filled += size
         self.slots[tier] = []
+        if self.filled >= self.step_tokens:
+            self._step()
+
+    def _step(self) -> None:
+        for window in self.group:
+            self._put_out(window, self.steps)
+        self.group, self.filled, self.steps = [], 0, self.steps + 1
+
+    def _put_out(self, window: tuple, step: int) -> None:
+        pieces, size, tier = window
+        at = 0
+        for doc, start, length in pieces:
+            self.out.append((doc, start, length, self.next_id, at, size, tier, self.first_id + step))
+            at += length
+        self.next_id += 1
 
     def end(self) -> None:
         """Fills the long tiers' open windows from the shorter ones, then cuts the rest at powers of two."""
@@ -106,6 +124,11 @@ class Packer:
             self.slots[tier].append((window, size))
             self._slot(tier)
             left -= size
+        if 2 * self.filled >= self.step_tokens or not self.steps:
+            self._step()
+        for k, window in enumerate(self.group):
+            self._put_out(window, k % self.steps)
+        self.group = []
 
 
 def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID, step_slots: int = STEP_SLOTS, with_ids: bool = False) -> DataFrame:
@@ -134,7 +157,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end_id
                     col.append(x)
                 if with_ids:
                     cols[10].append(own)
-            waiting = {p[0] for t in tiers for p in packer.open[t]} | {p[0] for t in tiers for w, _ in packer.slots[t] for p in w}
+            waiting = packer.waiting()
             for doc in [d for d in live if d not in waiting]:
                 del live[doc]
             kinds = [pa.int64()] * 8 + [pa.int32(), pa.int64()]

@@ -297,6 +297,55 @@ def test_packing(docs, none):
     assert packing.pack(none, TOKENIZER).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_packer(seed):
+    """Tiers, gaps and step groups of one partition: every token once, no padding, groups equal but for what is left at the end."""
+    r = random.Random(seed)
+    tiers, slots = (8, 16, 32), 4
+    packer = packing.Packer(tiers, 5 << 32, slots)
+    sizes = [r.choice([1, 3, 8, 9, 20, 32, 33, 100, 500]) for _ in range(r.choice([0, 1, 5, 300]))]
+    for doc, size in enumerate(sizes):
+        packer.add(doc, size)
+        assert len(packer.waiting()) <= 32 * (slots + 2)  # of the open group, slots and windows only
+    packer.end()
+    assert not packer.waiting()
+    seen, windows, groups = defaultdict(list), defaultdict(list), Counter()
+    for doc, start, length, sequence, offset, size, tier, step in packer.out:
+        seen[doc].append((start, length))
+        windows[sequence].append((offset, length, size, tier))
+        groups[step] += length
+        assert step >> 32 == sequence >> 32 == 5
+    for doc, size in enumerate(sizes):
+        at = 0
+        for start, length in sorted(seen[doc]):
+            assert start == at
+            at += length
+        assert at == size
+    for own in windows.values():
+        assert sum(length for _, length, *_ in own) == own[0][2] <= own[0][3] and own[0][2] & (own[0][2] - 1) == 0
+    full = slots * 32
+    if sum(sizes) >= 2 * full:
+        assert all(full // 2 <= n for n in groups.values()) and max(groups.values()) <= full + 32 * -(-slots * 3 // len(groups))
+        assert sum(n != full for n in groups.values()) <= slots * 8
+
+
+def test_packer_fills_gaps():
+    """The open window of the longest tier is filled from shorter ones at the end; nothing is padded."""
+    packer = packing.Packer((8, 16, 32), 0, 4)
+    for doc, size in enumerate((20, 5, 7)):
+        packer.add(doc, size)
+    packer.end()
+    # The second and third make a window of 8; the rest of the third fills up what the first leaves open.
+    assert sorted({(x[3], x[5], x[7]) for x in packer.out}) == [(0, 8, 0), (1, 16, 0), (2, 8, 0)]
+    assert [x[:5] for x in sorted(packer.out)] == [(0, 0, 16, 1, 0), (0, 16, 4, 2, 0), (1, 0, 5, 0, 0), (2, 0, 3, 0, 5), (2, 3, 4, 2, 4)]
+    # Documents go to the shortest tier that holds them.
+    packer = packing.Packer((8, 16, 32), 0, 4)
+    for doc, size in enumerate((8, 8, 8, 8, 16, 16, 32)):
+        packer.add(doc, size)
+    packer.end()
+    assert [(x[0], x[6]) for x in sorted(packer.out)] == [(0, 8), (1, 8), (2, 8), (3, 8), (4, 16), (5, 16), (6, 32)]
+
+
 def test_quality(spark, docs, none):
     good = ["Some plain words in a sentence that goes on for a while and then ends " + str(k) for k in range(60)]
     bad = ["### *** $$$ %%% ||| <<< >>> &&& a b c " * 3 + str(k) for k in range(60)]
