@@ -43,9 +43,9 @@ COMMON = 512
 BLOCK = 128
 CLUSTERS = 32
 #: Texts that are scored at once.
-CHUNK = 256
-#: Texts whose postings are added up at once.
-ADDED = 32
+CHUNK = 128
+#: Postings that are added up at once.
+ADDED = 1 << 18
 #: Cosines of the first look are single precision; what lies so near the k-th best is looked at again.
 SLACK = 1e-5
 SHRINK = 2.0
@@ -148,61 +148,69 @@ class Index:
         n, size = len(self.first_id), np.diff(self.offsets)
         self.tf = 1 + np.log(np.arange(1, int(self.times.max(initial=1)) + 1))
         self.norm, squares, df = np.ones(n), np.zeros(n), np.zeros(len(self.scale), np.int64)
-        for of, term, own in self._entries([np.arange(a, min(a + 512, n)) for a in range(0, n, 512)]):
+        for of, term, own in self._entries(np.arange(n)):
             squares += np.bincount(of, own * own, minlength=n)
             df += np.bincount(term, minlength=len(df))
         self.norm = np.sqrt(squares)
-        self.sorter = np.full(len(self.scale), -1, np.int16)
+        self.sorter = np.full(len(df), -1, np.int16)
         common = most_common(df)
         self.sorter[common] = np.arange(len(common))
-        matrix = np.zeros((n, COMMON), np.float32)
-        for of, term, own in self._entries([np.arange(a, min(a + 512, n)) for a in range(0, n, 512)]):
+        self.matrix = np.zeros((n, COMMON), np.float32)
+        for of, term, own in self._entries(np.arange(n)):
             column = self.sorter.take(term)
-            matrix[of[column >= 0], column[column >= 0]] = own[column >= 0]
-        cluster, self.centres = clusters_of(matrix)
+            self.matrix[of[column >= 0], column[column >= 0]] = own[column >= 0]
+        cluster, self.centres = clusters_of(self.matrix)
         self.order = np.argsort(cluster, kind="stable")
         starts = np.searchsorted(cluster[self.order], np.arange(len(self.centres) + 1))
+        members = [self.order[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
         place = np.empty(n, np.int32)
         place[self.order] = np.arange(n, dtype=np.int32)
-        matrix[:] = 0
-        commons, rest_terms, rest = [], [], []
-        column = np.full(len(self.scale), -1, np.int16)
-        for of, term, own in self._entries([self.order[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]):
-            commons.append(most_common(np.bincount(term, minlength=len(df))))
+        self.matrix[:] = 0
+        commons = []
+        self.length = df  # of each term: entries that are not common in their group
+        column = np.full(len(df), -1, np.int16)
+        for vectors in members:
+            own_df = np.zeros(len(df), np.int64)
+            for _, term, _ in self._entries(vectors):
+                own_df += np.bincount(term, minlength=len(df))
+            commons.append(most_common(own_df))
+            df[commons[-1]] -= own_df[commons[-1]]
             column[commons[-1]] = np.arange(len(commons[-1]))
-            at = column.take(term)
-            matrix[place[of[at >= 0]], at[at >= 0]] = own[at >= 0]
-            rest_terms.append(term[at < 0])
-            rest.append(beside(place[of[at < 0]], own[at < 0]))
+            for of, term, own in self._entries(vectors):
+                at = column.take(term)
+                self.matrix[place[of[at >= 0]], at[at >= 0]] = own[at >= 0]
             column[commons[-1]] = -1
         # Of terms that are common in some group: a number, and their columns in each group.
         some = np.unique(np.concatenate(commons))
-        self.number = np.full(len(self.scale), -1, np.int32)
+        self.number = np.full(len(df), -1, np.int32)
         self.number[some] = np.arange(len(some))
         self.slot = np.full((len(self.centres), len(some) + 1), -1, np.int16)  # the last for all other terms
         for g, common in enumerate(commons):
             self.slot[g, self.number[common]] = np.arange(len(common))
-        self.matrix = matrix
         # Blocks end with their group.
         cuts = [np.arange(a, b, BLOCK) for a, b in zip(starts[:-1], starts[1:], strict=True)]
         self.blocks = np.concatenate(cuts)
         self.ends = np.append(self.blocks[1:], n)
         self.first_block = np.concatenate([[0], np.cumsum([len(c) for c in cuts])])
-        self.most = np.maximum.reduceat(matrix, self.blocks, axis=0)
-        self.longest = np.maximum.reduceat(np.sqrt(np.einsum("ij,ij->i", matrix, matrix)), self.blocks)
-        term, rest = np.concatenate(rest_terms), np.concatenate(rest)
-        rest = rest[np.argsort(term, kind="stable")]
-        df[:] = 0
-        for a in range(0, len(term), 1 << 20):
-            df += np.bincount(term[a : a + (1 << 20)], minlength=len(df))
-        self.postings = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(df)]).astype(np.int32)), pa.array(rest))
-        self.length = df
-        self.query = np.zeros(len(self.scale))
+        self.most = np.maximum.reduceat(self.matrix, self.blocks, axis=0)
+        self.longest = np.maximum.reduceat(np.sqrt(np.einsum("ij,ij->i", self.matrix, self.matrix)), self.blocks)
+        begin = np.concatenate([[0], np.cumsum(df)])
+        posting, free = np.empty(begin[-1], np.int64), begin[:-1].copy()
+        for g, vectors in enumerate(members):
+            for of, term, own in self._entries(vectors):
+                rest = np.flatnonzero(self.slot[g].take(self.number.take(term), mode="wrap") < 0)
+                rest = rest[np.argsort(term[rest], kind="stable")]
+                term = term[rest]
+                posting[free[term] + np.arange(len(term)) - np.searchsorted(term, term)] = beside(place[of[rest]], own[rest])
+                free += np.bincount(term, minlength=len(df))
+        self.postings = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(posting))
+        self.query = np.zeros(len(df))
         self.ready = True
 
-    def _entries(self, parts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
-        """Of each part (numbers of vectors): all its entries' vector, term and weight."""
-        for part in parts:
+    def _entries(self, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Vector, term and weight of all entries of some vectors, a few vectors at a time."""
+        for first in range(0, len(vectors), 1024):
+            part = vectors[first : first + 1024]
             size = self.offsets[part + 1] - self.offsets[part]
             here = spans(self.offsets[part], size)
             of, term = np.repeat(part, size), self.term.take(here)
@@ -212,11 +220,13 @@ class Index:
         """What terms that are not common in an example's group add to the cosines of texts (rows) with it, in single precision."""
         n = len(self.first_id)
         out = np.zeros((rows, n), np.float32)
-        cuts = np.searchsorted(row, np.arange(0, rows + ADDED, ADDED))
+        length = self.length.take(term)
+        total = np.cumsum(length)
+        cuts = np.unique(np.searchsorted(total, np.arange(0, (total[-1] if len(total) else 0) + ADDED, ADDED), side="right"))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             # A place (or a text's first cell) and a weight stand side by side in eight bytes, so that both are fetched at once.
             found = self.postings.take(pa.array(term[a:b])).flatten().to_numpy().view(np.int32).reshape(-1, 2)
-            asked = np.repeat(beside(row[a:b] * n, own[a:b]), self.length.take(term[a:b])).view(np.int32).reshape(-1, 2)
+            asked = np.repeat(beside(row[a:b] * n, own[a:b]), length[a:b]).view(np.int32).reshape(-1, 2)
             np.add.at(out.reshape(-1), found[:, 0] + asked[:, 0], found.view(np.float32)[:, 1] * asked.view(np.float32)[:, 1])
         return out
 
