@@ -17,9 +17,10 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomsearch.sources.tables import saved as materialise  # noqa: F401  the operators take it from here
-from loomsearch.sources.tables import shared_dir  # noqa: F401
+from loomsearch.sources.tables import discard, shared_dir  # noqa: F401
 
 U64 = np.uint64
 #: Rows and bytes that one Arrow batch holds at most; a longer text is a batch of its own.
@@ -234,8 +235,17 @@ class Counter64:
 
 
 def with_row(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """row: the document as it came (or its columns in keep), beside its text; so no column's name can clash with an operator's."""
-    return docs.select(F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
+    """row: the document as it came (or its columns in keep), so no column's name can clash with an operator's; and text where row has it not as a string."""
+    names = keep or docs.columns
+    row = F.struct(*[docs[c] for c in names]).alias("row")
+    if "text" in names and docs.schema["text"].dataType == T.StringType():
+        return docs.select(row)
+    return docs.select(row, docs["text"].cast("string").alias("text"))
+
+
+def texts_in(batch: pa.RecordBatch) -> pa.Array:
+    """Texts of a batch of `with_row`, null as empty."""
+    return texts_of(batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text"))
 
 
 def strip_terms(vocab: pa.Array) -> pa.Array:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASES, CodeTable, Rolling, arrow_map, collect_bounded, split_words, strip_terms, texts_of, tune, with_row
+from .common import BASES, CodeTable, Rolling, arrow_map, collect_bounded, split_words, strip_terms, texts_in, tune, with_row
 
 WINDOW = 5
 LEAST = 0.8
@@ -227,7 +227,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK
     kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("containment", T.DoubleType())]))
     rows = with_row(docs).withColumn("items", F.array().cast(kind))
     arrow_kind = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64())]))
-    schema = T.StructType([rows.schema["row"], rows.schema["text"], T.StructField("items", kind)])
+    carried = rows.columns[:-1]
+    schema = T.StructType([*(rows.schema[c] for c in carried), T.StructField("items", kind)])
     for block in range(blocks):
         part = collect_bounded(items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id"), 4 * block_windows)
         shared = spark.sparkContext.broadcast(bench(part.column("item_id").to_pylist(), part.column("text").to_pylist()))
@@ -236,10 +237,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK
             own = shared.value
 
             def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-                new = leaks(template(texts_of(batch.column("text"))), own)
+                new = leaks(template(texts_in(batch)), own)
                 old = batch.column("items").to_pylist()
                 items = pa.array([a + b for a, b in zip(old, new, strict=True)], arrow_kind)
-                return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), items], names=["row", "text", "items"])
+                return pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), items], names=[*carried, "items"])
 
             return each
 

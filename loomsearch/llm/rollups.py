@@ -11,7 +11,8 @@ that names them.
 
 Defined cases: null and empty texts count no tokens but one document; null sources and languages
 are groups of their own; repeated rows count each; totals of zero documents are left out; an
-empty batch commits no sums; other columns are ignored.
+empty batch commits no sums; a delete may come before its insert, and totals are below zero until
+then; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,7 +108,9 @@ class Rollup:
         return False
 
     def commit(self, batch: str, rows: DataFrame) -> bool:
-        """Adds a batch of deltas; False if it was there already."""
+        """Adds a batch of deltas; False if it was there already, whatever its rows."""
+        if not batch or batch.startswith((".", "_")) or "/" in batch or "\\" in batch:
+            raise ValueError(f"not a batch id: {batch!r}")
         if batch in self.batches():
             return False
         return self._place(lambda to: summed(rows).write.parquet(to), f"batches/{batch}")

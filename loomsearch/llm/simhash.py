@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, arrow_map, bytes_of, materialise, row_keys, split_words, texts_of, tune
+from .common import U64, Words, arrow_map, bytes_of, discard, materialise, row_keys, split_words, texts_of, tune
 
 SHINGLE = 3
 SEED = 42
@@ -141,7 +141,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("root"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).unionByName(low.select("a", F.col("root").alias("b"))).where("a != b").distinct()
-        now = materialise(small, "edges")
+        before, now = now, materialise(small, "edges")
+        discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASES, U64, Rolling, arrow_map, collect_bounded, materialise, row_keys, split_words, texts_of, tune
+from .common import BASES, U64, Rolling, arrow_map, collect_bounded, discard, materialise, row_keys, split_words, texts_in, texts_of, tune
 
 WINDOW = 35
 SEED_WORDS = 12
@@ -181,8 +181,7 @@ def _cut(spanned: DataFrame, window: int, row_type: T.StructType) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            own_text = batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
-            texts = texts_of(own_text).to_pylist()
+            texts = texts_in(batch).to_pylist()
             spans = batch.column("spans").to_pylist()
             n_words, n_removed, kept, cuts = [], [], [], []
             for text, own in zip(texts, spans, strict=True):
@@ -217,6 +216,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS
     keyed = docs.select(*row_keys(docs), text)
     repeated = materialise(_anchors(docs.select(text), window, seed), "anchors")
     paths = materialise(_repeated_paths(keyed, repeated, window, seed), "paths")
+    discard(repeated)
 
     whole = paths.where("not branches").select("k1", "k2", F.explode("begins").alias("begin"), "windows")
     branching = paths.where("branches")

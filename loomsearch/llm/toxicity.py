@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, collect_bounded, fold_of, materialise, split_words, strip_terms, texts_of, tune, with_row
+from .common import arrow_map, collect_bounded, fold_of, materialise, split_words, strip_terms, texts_in, texts_of, tune, with_row
 
 SAMPLE = 20_000
 #: A term's weight grows by its G2 over this.
@@ -459,7 +459,7 @@ def apply(docs: DataFrame, index: Index, keep: list[str] | None = None) -> DataF
         own = shared.value
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            row, term, times = term_ids(texts_of(batch.column("text")), own.terms)
+            row, term, times = term_ids(texts_in(batch), own.terms)
             scores, evidence = own.score(row, term, times, batch.num_rows)
             return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores), evidence], names=["row", "score", "evidence"])
 

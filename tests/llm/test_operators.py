@@ -441,6 +441,9 @@ def test_rollups(spark, docs, none, tmp_path):
     store.commit("b", rollups.deltas(counts, versions, -1))
     assert total() == {}
     assert rollups.deltas(rollups.count_tokens(none, TOKENIZER), versions, 1).count() == 0
+    for bad in ("", "a/b", "_x", "..", "a\\b"):
+        with pytest.raises(ValueError):
+            store.commit(bad, rollups.deltas(counts, versions, 1))
     first, copies = rollups.without_copies(counts)
     assert first.count() + copies.count() == len(ROWS)
 
