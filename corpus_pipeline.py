@@ -3,6 +3,11 @@
 Each stage takes the documents its predecessor kept; all but the last return documents again, the
 last the pieces of the training sequences. A stage's result is written as Parquet and read again
 by the next.
+
+Defined cases: null and empty texts are scored, linked, cut and packed like any other (the empty ones
+are near-duplicates of each other, so one stays); of repeated rows near-dedup keeps one; a null doc_id
+stays null; a text whose words all go in substring dedup stays as an empty document; extra columns pass
+through to the last stage; an empty table gives no rows. A row of packing is a piece of a document.
 """
 
 from __future__ import annotations
@@ -31,7 +36,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents without the words of repeated passages; texts without any stay as they are."""
     out = substring.remove_repeats(docs)
     row = F.col("row")
-    columns = [F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(row["text"]).alias("text") if c == "text" else row[c].alias(c) for c in docs.columns]
+    kept = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(row["text"])
+    columns = [kept.alias(c) if c == "text" else row[c].alias(c) for c in docs.columns]
     return out.select(*columns)
 
 
@@ -45,7 +51,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, packing.tokenizer_path())
 
 
-STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", one_of_near_duplicates), ("substring_dedup", drop_repeats), ("benchmark_decontamination", drop_leaks), ("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", one_of_near_duplicates),
+    ("substring_dedup", drop_repeats),
+    ("benchmark_decontamination", drop_leaks),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
