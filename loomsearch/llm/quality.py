@@ -4,8 +4,8 @@ A logistic model over a text's measurements gives each document's own evidence.
 grouped by host and by path below it; the share of good documents of a path is shrunk towards its
 host's, the host's towards the global one. How strongly is estimated from the groups themselves
 (method of moments: the between-group variance beyond what the group sizes explain). The posterior
-share of a document's path, without the document itself, shifts its log odds; a path with few
-documents shifts them little.
+share of a document's path, the document itself left out of path, host and whole, shifts its log odds;
+a path with few documents shifts them little.
 
 The model is fitted on at most SAMPLE labelled texts (least hash of the id) outside the held-out
 fold. Groups are summed before the shuffle, from paths to hosts to the whole, and path statistics
@@ -105,18 +105,21 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
     paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("good"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    whole = hosts.agg(F.sum("n").alias("all_n"), F.sum("good").alias("all_good")).select((F.col("all_good") / F.col("all_n")).alias("mean"))
-    mean = whole.first()[0]
-    mean = 0.5 if mean is None else float(mean)
-    host_k = hosts.agg(strength(hosts, F.lit(mean)).alias("k")).first()[0] or 1.0
-    host_share = ((F.col("good") + host_k * F.lit(mean)) / (F.col("n") + host_k)).alias("host_share")
-    shares = hosts.select("host", host_share)
+    total, good = (float(x or 0) for x in hosts.agg(F.sum("n"), F.sum("good")).first())
+    mean = good / total if total else 0.5
+    host_k = float(hosts.agg(strength(hosts, F.lit(mean)).alias("k")).first()[0] or 1.0)
+    host_share = (F.col("good") + host_k * F.lit(mean)) / (F.col("n") + host_k)
+    shares = hosts.select("host", host_share.alias("host_share"), F.col("n").alias("host_n"), F.col("good").alias("host_good"))
     under = paths.join(shares, "host")
-    path_k = under.agg(strength(under, F.col("host_share")).alias("k")).first()[0] or 1.0
+    path_k = float(under.agg(strength(under, F.col("host_share")).alias("k")).first()[0] or 1.0)
     logit = lambda x: F.log(x / (1 - x))
     clamp = lambda x: F.least(F.greatest(x, F.lit(1e-6)), F.lit(1 - 1e-6))
-    joined = scored.join(under, ["host", "path"])
-    without = (F.col("good") - F.col("p") + path_k * F.col("host_share")) / (F.col("n") - 1 + path_k)
-    shift = SITE_WEIGHT * (logit(clamp(without)) - F.lit(float(np.log(max(mean, 1e-6) / max(1 - mean, 1e-6)))))
+    joined = scored.join(under.drop("host_share"), ["host", "path"])
+    # Without the document itself.
+    others = (F.lit(good) - F.col("p")) / F.lit(max(total - 1, 1.0)) if total > 1 else F.lit(0.5)
+    of_host = (F.col("host_good") - F.col("p") + host_k * others) / (F.col("host_n") - 1 + host_k)
+    of_path = (F.col("good") - F.col("p") + path_k * of_host) / (F.col("n") - 1 + path_k)
+    shift = SITE_WEIGHT * (logit(clamp(of_path)) - logit(clamp(others)))
     final = 1 / (1 + F.exp(-(logit(clamp(F.col("p"))) + shift)))
-    return joined.select("doc_id", F.col("p").alias("document_score"), "host_share", without.alias("path_share"), final.alias("score"), (final >= KEEP).alias("kept"))
+    joined = joined.withColumns({"host_share": of_host, "path_share": of_path})
+    return joined.select("doc_id", F.col("p").alias("document_score"), "host_share", "path_share", final.alias("score"), (final >= KEEP).alias("kept"))

@@ -355,9 +355,48 @@ def test_quality(spark, docs, none):
     assert all(got[k] == (k < 60) for k in got) and len(got) == 120
     w = quality.fit(df, labels)
     assert quality.classify(docs, labels, weights=w).count() == len(ROWS) and quality.classify(none, labels).count() == 0
-    # A sparse site stays near the global share, a large one keeps its own.
-    table = quality.classify(df, labels, weights=w).groupBy("host_share").count().collect()
-    assert all(0 < r.host_share < 1 for r in table)
+
+
+def moments(groups, mean):
+    """Pseudo-counts of groups [(n, good)] around mean(group)."""
+    n, squares, k = sum(g[0] for g in groups), sum(g[0] ** 2 for g in groups), len(groups)
+    spread = sum(g[0] * (g[1] / g[0] - mean(g)) ** 2 for g in groups)
+    noise = sum(mean(g) * (1 - mean(g)) for g in groups)
+    between = max((spread - noise * (1 - 1 / max(k, 2))) / max(n - squares / n, 1.0), 0.0)
+    return min(max(noise / k / between - 1 if between else 10_000.0, 1.0), 10_000.0)
+
+
+def test_quality_shares(spark):
+    """Posteriors of sparse and large sites against plain sums; the document itself is left out."""
+    r = random.Random(6)
+    rows = []
+    for h in range(25):
+        bad = r.random()
+        for k in range(r.choice([1, 1, 2, 5, 60])):
+            text = "### *** $$$ %%% ||| a b c " * 3 if r.random() < bad else "some plain words in a sentence that goes on for a while and then ends"
+            rows.append((len(rows), text + f" {r.randrange(99)}", r.choice(["p", "q", None]), f"h{h}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    w = np.array([0.3, -2.0, 0.1, -0.4, 0.2, 1.0, -0.3, 0.0, -1.0, 0.2, -0.5, 0.4])
+    x = quality.features_of(pa.array([t for _, t, *_ in rows], pa.large_string()))
+    p = 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ w, -30, 30)))
+    by_path, by_host = defaultdict(list), defaultdict(list)
+    for (k, _, path, host), own in zip(rows, p, strict=True):
+        by_path[(host, path)].append(own)
+        by_host[host].append(own)
+    mean = p.mean()
+    host_k = moments([(len(v), sum(v)) for v in by_host.values()], lambda g: mean)
+    share = {h: (sum(v) + host_k * mean) / (len(v) + host_k) for h, v in by_host.items()}
+    path_k = moments([(len(v), sum(v), share[h]) for (h, _), v in by_path.items()], lambda g: g[2])
+    logit = lambda z: math.log(z / (1 - z))
+    got = {g.doc_id: g for g in quality.classify(df, df.select("doc_id"), weights=w).collect()}
+    assert len(got) == len(rows)
+    for (k, _, path, host), own in zip(rows, p, strict=True):
+        others = (p.sum() - own) / (len(p) - 1)
+        of_host = (sum(by_host[host]) - own + host_k * others) / (len(by_host[host]) - 1 + host_k)
+        of_path = (sum(by_path[(host, path)]) - own + path_k * of_host) / (len(by_path[(host, path)]) - 1 + path_k)
+        score = 1 / (1 + math.exp(-(logit(own) + quality.SITE_WEIGHT * (logit(of_path) - logit(others)))))
+        assert (got[k].host_share, got[k].path_share, got[k].score) == pytest.approx((of_host, of_path, score), abs=1e-9)
+        assert got[k].kept == (got[k].score >= quality.KEEP)
 
 
 def slow_fingerprint(text):
@@ -480,6 +519,48 @@ def test_decontamination_of_twins_runs_and_first_words(spark):
     assert decontaminate.find_leaks(text, short).where("size(items) = 1").count() == 1
 
 
+def naive_leak(text, item, window=5, least=0.8, slack=3):
+    """Whether an item of lower-case words and numbers stands in a text, with numbers replaced one to one."""
+    is_number = lambda w: w.isdigit()
+    t, w = text.split(), item.split()
+    size = min(window, len(w))
+    shape = lambda x: tuple("#" if is_number(y) else y for y in x)
+    hits = [(i - j, j, i) for j in range(len(w) - size + 1) for i in range(len(t) - size + 1) if shape(w[j : j + size]) == shape(t[i : i + size])]
+    for c in {d for d, *_ in hits}:
+        near = {}
+        for d, j, i in sorted(hits):
+            if abs(d - c) <= slack and (j not in near or abs(d - c) < abs(near[j][0] - c)):
+                near[j] = (d, i)
+        if len(near) < least * (len(w) - size + 1):
+            continue
+        pairs = {(w[j + k], t[i + k]) for j, (_, i) in near.items() for k in range(size) if is_number(w[j + k])}
+        if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
+            return True
+    return False
+
+
+def test_decontamination_by_brute_force(spark):
+    r = random.Random(17)
+    word = lambda: str(r.randrange(4)) if r.random() < 0.3 else r.choice("abcde") * 3
+    items = [" ".join(word() for _ in range(r.choice([3, 5, 8, 14]))) for _ in range(25)]
+    texts = []
+    for _ in range(150):
+        w = r.choice(items).split()
+        swap = dict(zip("0123", r.sample("0123456789", 4), strict=True))
+        w = [swap.get(x, x) for x in w] if r.random() < 0.5 else w
+        if r.random() < 0.5:
+            w[r.randrange(len(w))] = word()
+        if r.random() < 0.3:
+            w.insert(r.randrange(len(w)), word())
+        texts.append(" ".join([word() for _ in range(r.randrange(6))] + w + [word() for _ in range(r.randrange(6))]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if naive_leak(t, item)}
+    for windows in (1 << 21, 64):
+        got = decontaminate.find_leaks(df, bench, block_windows=windows).select("row.doc_id", F.explode("items.item_id").alias("i")).collect()
+        assert {(x.doc_id, x.i) for x in got} == want and 50 < len(want) < 2000
+
+
 def test_tables():
     codes = np.unique(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000))
     table = CodeTable(codes)
