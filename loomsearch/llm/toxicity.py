@@ -6,11 +6,12 @@ similar ones, and of each term that is common in its group a block knows the gre
 lists of all less common terms are added up in full; with the greatest weights of the common ones
 they bound the cosines in each block, and only blocks whose bound reaches the k-th best cosine so far are looked
 into. Cosines near the k-th best are computed again in full, so the nearest examples are exact.
-Their votes, weighted by cosine and shrunk towards the share of toxic examples, give the score; the
-nearest examples' ids are the evidence.
+Their votes, weighted by cosine and shrunk towards the share of toxic examples, are calibrated: a
+logistic curve over their log odds is fitted to examples that vote with themselves left out. The nearest
+examples' ids are the evidence.
 
 The classifier is fitted on at most SAMPLE labelled texts (those with the least hash of their id);
-document frequencies come from all documents. The vocabulary is all terms of these texts. Terms,
+document frequencies come from all documents, and at most CALIBRATION of the texts fit the curve. The vocabulary is all terms of these texts. Terms,
 vectors and index are bounded by the sample, so they are broadcast.
 
 Defined cases: texts without any term of the vocabulary (null and empty ones too) get the share of
@@ -27,7 +28,7 @@ from dataclasses import dataclass, fields
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +51,8 @@ ADDED = 1 << 18
 SLACK = 1e-5
 SHRINK = 2.0
 THRESHOLD = 0.3
+#: Examples that calibrate the votes.
+CALIBRATION = 5_000
 EVIDENCE = 3
 
 
@@ -101,6 +104,25 @@ def most_common(df: np.ndarray) -> np.ndarray:
     return common[df[common] > 0]
 
 
+def log_odds(share: np.ndarray) -> np.ndarray:
+    own = np.clip(share, 1e-6, 1 - 1e-6)
+    return np.log(own / (1 - own))
+
+
+def curve(z: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 100) -> tuple[float, float]:
+    """Slope and offset of a logistic curve, by Newton's method; (1, 0) where there is no rising one."""
+    if len(set(y.tolist())) < 2:
+        return 1.0, 0.0
+    x, w = np.column_stack([z, np.ones(len(z))]), np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2), x.T @ (p - y) + ridge * (w - (1.0, 0.0)))
+        w -= np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-10:
+            break
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+
+
 def beside(numbers: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """A number (32 bits) and a weight (single precision) in one 64-bit word each."""
     out = np.empty((len(numbers), 2), np.int32)
@@ -123,6 +145,8 @@ class Index:
     first_id: np.ndarray
     empty: float
     prior: float
+    slope: float = 1.0  # of the curve over the log odds of the votes
+    offset: float = 0.0
     ready: bool = False
 
     def __getstate__(self) -> dict:
@@ -341,20 +365,38 @@ class Index:
     def nearest(self, term: np.ndarray, times: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         return self.nearest_of(np.zeros(len(term), np.int64), term, times, k)[1:]
 
-    def score(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, rows: int) -> tuple[np.ndarray, pa.Array]:
-        """Score and evidence of each of so many texts."""
+    def votes(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, rows: int, own: np.ndarray | None = None) -> tuple[np.ndarray, pa.Array]:
+        """Share of votes for toxic and evidence of each of so many texts; own: labels of texts that are examples themselves and do not vote."""
         present, place = np.unique(row, return_inverse=True)
-        text, vector, cosine = self.nearest_of(place, term, times) if len(self.first_id) else self._nothing()
+        k = NEIGHBOURS + (own is not None)
+        text, vector, cosine = self.nearest_of(place, term, times, k) if len(self.first_id) else self._nothing()
         text = present[text]
-        pos, neg = (np.bincount(text, cosine * share[vector], minlength=rows) for share in (self.positive, self.negative))
-        scores = np.where(np.bincount(row, minlength=rows) > 0, (pos + SHRINK * self.prior) / (pos + neg + SHRINK), self.empty)
-        if not len(self.first_id):
-            scores[:] = self.empty
         nth = np.arange(len(text)) - np.searchsorted(text, text)
+        ayes, noes = self.positive[vector].astype(np.float64), self.negative[vector].astype(np.float64)
+        if own is not None:
+            mine = (nth == 0) & (cosine > 1 - SLACK)
+            ayes[mine] -= own[text[mine]] == 1
+            noes[mine] -= own[text[mine]] != 1
+        pos, neg = np.bincount(text, cosine * ayes, minlength=rows), np.bincount(text, cosine * noes, minlength=rows)
+        share = (pos + SHRINK * self.prior) / (pos + neg + SHRINK)
         shown = nth < EVIDENCE
         near = pa.StructArray.from_arrays([pa.array(self.first_id[vector[shown]]), pa.array(cosine[shown])], names=["doc_id", "cosine"])
         size = np.bincount(text[shown], minlength=rows)
-        return scores, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), near)
+        return share, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), near)
+
+    def score(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, rows: int, slope: float | None = None, offset: float | None = None) -> tuple[np.ndarray, pa.Array]:
+        """Score and evidence of each of so many texts."""
+        share, evidence = self.votes(row, term, times, rows)
+        slope, offset = (self.slope, self.offset) if slope is None else (slope, offset)
+        scores = 1 / (1 + np.exp(-(slope * log_odds(share) + offset)))
+        known = (np.bincount(row, minlength=rows) > 0) & (len(self.first_id) > 0)
+        return np.where(known, scores, self.empty), evidence
+
+    def shared(self, spark: SparkSession):
+        """The index as a broadcast, made once; the curve is not part of it."""
+        if getattr(self, "_shared", None) is None:
+            self._shared = spark.sparkContext.broadcast(self)
+        return self._shared
 
 
 def _examples(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, sample: int) -> DataFrame:
@@ -447,12 +489,39 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2,
     offsets = np.concatenate([[0], np.cumsum(size[some] // 2)]).astype(np.int64)
     scale = (np.log((1 + n) / (1 + df)) + 1) * (1 + g2 / g2_unit)
     times = pairs[:, 1].astype(np.min_scalar_type(int(pairs[:, 1].max(initial=1))))
-    return Index(terms, scale, offsets, pairs[:, 0].astype(np.int32), times, pos[some], neg[some], first_id[some], float(empty), float(prior))
+    index = Index(terms, scale, offsets, pairs[:, 0].astype(np.int32), times, pos[some], neg[some], first_id[some], float(empty), float(prior))
+    index.slope, index.offset = _calibrated(examples, index)
+    return index
+
+
+def _calibrated(examples: DataFrame, index: Index) -> tuple[float, float]:
+    """The curve that turns votes into probabilities, from examples that do not vote for themselves."""
+    shared = index.shared(examples.sparkSession)
+
+    def make():
+        own = shared.value
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            row, term, times = term_ids(texts_of(batch.column("text")), own.terms)
+            if not len(row) or not len(own.first_id):
+                return None
+            labels = batch.column("toxic").to_numpy()
+            share, _ = own.votes(row, term, times, batch.num_rows, labels)
+            some = np.unique(row)
+            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(some)), pa.array(log_odds(share[some])), pa.array(labels[some])], names=["doc_id", "z", "toxic"])
+
+        return each
+
+    chosen = examples.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(CALIBRATION).select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    # The least hashes arrive in one task; they are dealt anew before they are scored.
+    dealt = chosen.repartition(max(1, examples.sparkSession.sparkContext.defaultParallelism), "doc_id")
+    table = collect_bounded(arrow_map(dealt, make, "doc_id long, z double, toxic int").orderBy("doc_id"), CALIBRATION)
+    return curve(table.column("z").to_numpy(), (table.column("toxic").to_numpy() == 1).astype(np.float64))
 
 
 def apply(docs: DataFrame, index: Index, keep: list[str] | None = None) -> DataFrame:
     """row (the document as it came, or its columns in keep), score, and evidence: the nearest examples and their cosines."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared, slope, offset = index.shared(docs.sparkSession), index.slope, index.offset
     rows = with_row(docs, keep)
 
     def make():
@@ -460,7 +529,7 @@ def apply(docs: DataFrame, index: Index, keep: list[str] | None = None) -> DataF
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             row, term, times = term_ids(texts_in(batch), own.terms)
-            scores, evidence = own.score(row, term, times, batch.num_rows)
+            scores, evidence = own.score(row, term, times, batch.num_rows, slope, offset)
             return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores), evidence], names=["row", "score", "evidence"])
 
         return each

@@ -188,7 +188,7 @@ def test_toxicity(spark, docs, none):
 
 
 def naive_toxicity(texts, examples, k=toxicity.NEIGHBOURS):
-    """Scores of texts by brute force: examples (id, text, toxic) and document frequencies over all texts."""
+    """Scores of texts by brute force: examples (id, text, toxic) and document frequencies over all texts; votes that a logistic curve over left-out examples turns into probabilities."""
     bag = lambda t: Counter(x for x in (re.sub(r"^[^\w]+|[^\w]+$", "", w.lower()) for w in words(t)) if x)
     n, df = len(texts), Counter(w for t in texts for w in bag(t))
     pos, neg = ([bag(t) for _, t, y in examples if y == label] for label in (1, 0))
@@ -208,17 +208,24 @@ def naive_toxicity(texts, examples, k=toxicity.NEIGHBOURS):
 
     prior = len(pos) / total
     known = [(vector(t), y) for _, t, y in examples]
+
+    def vote(own, known, k):
+        near = sorted(((sum(x * v.get(w, 0.0) for w, x in own.items()), y) for v, y in known), reverse=True)
+        near = [x for x in near if x[0] > 0 and x[0] >= near[min(k, len(near)) - 1][0] - 1e-9]
+        yes, no = (sum(c for c, y in near if y == label) for label in (1, 0))
+        share = min(max((yes + toxicity.SHRINK * prior) / (yes + no + toxicity.SHRINK), 1e-6), 1 - 1e-6)
+        return math.log(share / (1 - share))
+
+    z = np.array([vote(v, known[:i] + known[i + 1 :], k) for i, (v, _) in enumerate(known) if v])
+    slope, offset = toxicity.curve(z, np.array([float(y) for v, y in known if v]))
     out = []
     for t in texts:
         own = vector(t)
-        if not own:
-            none = [y for v, y in known if not v]
+        none = [y for v, y in known if not v]
+        if own:
+            out.append(1 / (1 + math.exp(-(slope * vote(own, known, k) + offset))))
+        else:
             out.append((sum(none) + toxicity.SHRINK * prior) / (len(none) + toxicity.SHRINK) if none else prior)
-            continue
-        near = sorted(((sum(x * v.get(w, 0.0) for w, x in own.items()), y) for v, y in known), reverse=True)
-        near = [x for x in near if x[0] > 0 and x[0] >= near[min(k, len(near)) - 1][0] - 1e-9]
-        yes, no = (sum(c for c, y in near if y == label) for label in (1, 0))
-        out.append((yes + toxicity.SHRINK * prior) / (yes + no + toxicity.SHRINK))
     return out
 
 
@@ -240,6 +247,17 @@ def test_toxicity_votes(spark, monkeypatch, sizes):
     assert [got[k] for k in range(len(texts))] == pytest.approx(want, abs=1e-6)
 
 
+def test_curve():
+    """The curve's expected share equals the true one, and it rises or stays as it is."""
+    r = np.random.default_rng(3)
+    z = r.normal(size=2000)
+    y = (r.random(2000) < 1 / (1 + np.exp(-(2 * z - 1)))).astype(float)
+    slope, offset = toxicity.curve(z, y)
+    assert (slope, offset) == pytest.approx((2, -1), abs=0.3)
+    assert (1 / (1 + np.exp(-(slope * z + offset)))).mean() == pytest.approx(y.mean(), abs=1e-3)
+    assert toxicity.curve(z, np.zeros(2000)) == toxicity.curve(z, (z < 0).astype(float)) == toxicity.curve(z[:0], y[:0]) == (1.0, 0.0)
+
+
 def test_toxicity_of_rare_terms(spark):
     """A text finds its neighbour by terms that do not tell the labels apart."""
     r = random.Random(9)
