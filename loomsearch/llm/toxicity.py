@@ -512,8 +512,9 @@ def _calibrated(examples: DataFrame, index: Index) -> tuple[float, float]:
 
         return each
 
-    chosen = examples.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(CALIBRATION).select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    # The least hashes arrive in one task; they are dealt anew before they are scored.
+    # Ids only pass through one task; the texts stay where they are, and are dealt anew for scoring.
+    ids = examples.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(CALIBRATION)
+    chosen = examples.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").join(F.broadcast(ids), "doc_id")
     dealt = chosen.repartition(max(1, examples.sparkSession.sparkContext.defaultParallelism), "doc_id")
     table = collect_bounded(arrow_map(dealt, make, "doc_id long, z double, toxic int").orderBy("doc_id"), CALIBRATION)
     return curve(table.column("z").to_numpy(), (table.column("toxic").to_numpy() == 1).astype(np.float64))
