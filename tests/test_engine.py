@@ -1,5 +1,7 @@
 """Facts about the search engine's operators on small tables."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -313,3 +315,108 @@ def test_dense_ids(spark, tmp_path):
     assert (got.n, got.a, got.b) == (3_000_000, 5, 3_000_004)
     bounds = spark.read.parquet(f"{tmp_path}/ids").groupBy((F.col("doc_id") - 5 >= 1_500_000).alias("half")).agg(F.min("url").alias("a"), F.max("url").alias("b")).orderBy("half").collect()
     assert bounds[0].b <= bounds[1].a
+
+
+def test_fetch_and_robots_cache(spark):
+    rows = [(1, 200, "text/html; charset=x", "a"), (2, 200, "image/png", "a"), (3, 301, "image/png", "a"), (4, 404, "text/html", "a"), (5, 200, "application/xhtml+xml", "a" * 99), (6, 200, None, "a")]
+    df = spark.createDataFrame(rows, "page_id long, status int, content_type string, html string")
+    assert {r.page_id for r in parse.fetched(df, 50).collect()} == {1, 3}
+    assert one(spark, crawl.crawl_delay_ms(F.lit(0))) == 1000 and one(spark, crawl.crawl_delay_ms(F.lit(250))) == 250
+    at = lambda h: F.timestamp_seconds(F.lit(1_700_000_000 + h * 3600))
+    cache = spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("b", 3, -30)], "domain string, rules int, h int").withColumn("fetched_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("h") * 3600))
+    assert {(r.domain, r.rules) for r in crawl.fresh_robots(cache, at(21)).collect()} == {("a", 2)}
+
+
+def test_tombstones(spark):
+    docs = spark.createDataFrame([(1, "u1"), (2, "u2"), (3, "u3")], "doc_id long, url string")
+    now = F.timestamp_seconds(F.lit(1_700_000_000))
+    dead = crawl.tombstone(crawl.tombstone(None, docs.where("doc_id = 1"), "gone", now), docs.where("doc_id < 3"), "spam", now)
+    assert {(r.doc_id, r.reason) for r in dead.collect()} == {(1, "gone"), (2, "spam")}
+    assert [r.doc_id for r in crawl.live(docs, dead).collect()] == [3] and crawl.live(docs, crawl.cleared(dead)).count() == 3
+    seeds = crawl.seeds(spark.createDataFrame([("HTTP://A.com/x/",), ("http://a.com/x",), ("ftp://b",)], "url string")).collect()
+    assert [tuple(r) for r in seeds] == [("http://a.com/x", "a.com", 1.0)]
+
+
+def test_saved_graph_and_vectors(spark, tmp_path):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    linkgraph.save(f"file://{tmp_path}/g", edges, linkgraph.pagerank(edges, iterations=3))
+    own, ranks = linkgraph.load(spark, f"file://{tmp_path}/g")
+    assert own.count() == 2 and ranks.count() == 3
+    got = {r.url: r.pagerank for r in linkgraph.ranks_of(ranks, spark.createDataFrame([("a",), ("z",)], "url string")).collect()}
+    assert got["z"] == 0 and got["a"] > 0
+    vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "doc_id long, vec array<float>")
+    vectors.save(vecs, f"file://{tmp_path}/v", 2)
+    back = vectors.load(spark, f"file://{tmp_path}/v", 2)
+    assert back.count() == 2 and vectors.current(back, spark.createDataFrame([(2,)], "doc_id long")).first().doc_id == 2
+    assert vectors.non_zero(back).count() == 1
+    with pytest.raises(Exception, match="dimension 2"):
+        vectors.load(spark, f"file://{tmp_path}/v", 3).collect()
+
+
+def test_pagerank_by_hand(spark):
+    """Until stable and by a fixed number of rounds, against plain loops; some nodes dangle."""
+    pairs = [(0, 1), (0, 2), (1, 2), (2, 0), (3, 2), (3, 4), (5, 4)]
+    seeds = {1, 3}
+    df = spark.createDataFrame(pairs, "src long, dst long")
+
+    def plain(teleport, rounds):
+        n, out = 6, Counter(a for a, _ in pairs)
+        r = {v: 1 / n for v in range(n)}
+        for _ in range(rounds):
+            lost = sum(r[v] for v in r if not out[v])
+            r = {v: (0.15 + 0.85 * lost) * teleport[v] + 0.85 * sum(r[a] / out[a] for a, b in pairs if b == v) for v in r}
+        return r
+
+    even, some = dict.fromkeys(range(6), 1 / 6), {v: (v in seeds) / 2 for v in range(6)}
+    both = {"pagerank": None, "s": F.col("id").isin(*seeds)}
+    for rounds in (1, 4):
+        got = {r.id: (r.pagerank, r.s) for r in linkgraph.pagerank(df, both, iterations=rounds).collect()}
+        assert got == {v: pytest.approx((plain(even, rounds)[v], plain(some, rounds)[v])) for v in range(6)}
+    got = {r.id: (r.pagerank, r.s) for r in linkgraph.pagerank(df, both).collect()}
+    assert all(got[v] == pytest.approx((plain(even, 200)[v], plain(some, 200)[v]), abs=1e-5) for v in range(6))
+
+
+def test_cross_rerank(spark):
+    ranked = spark.createDataFrame([(1, 10, 1), (1, 20, 2), (1, 30, 3)], "query_id long, doc_id long, final_rank int")
+    cross = spark.createDataFrame([(1, 30, 0.9), (1, 20, 0.1)], "query_id long, doc_id long, cross double")
+    assert [r.doc_id for r in ranking.cross_rerank(ranked, cross).orderBy("final_rank").collect()] == [30, 20, 10]
+    assert ranking.cross_rerank(ranked, None) is ranked
+    assert one(spark, ranking.softmax_second(F.lit(1.0), F.lit(1.0))) == 0.5 and one(spark, ranking.softmax_second(F.lit(0.0), F.lit(3.0))) == pytest.approx(0.9525741)
+
+
+def test_folders_and_sessions(spark, tmp_path):
+    tables.init_dirs(spark, f"file://{tmp_path}/root")
+    assert tables.names_in(spark, f"file://{tmp_path}/root") == ["crawl", "graph", "index", "snapshots", "vectors"]
+    used, capacity = tables.disk_usage(spark, f"file://{tmp_path}")
+    assert 0 < used <= capacity
+    own = tables.saved(spark.range(3), "scratch")
+    tables.discard(own)
+    assert not any(tables.exists(spark, f) for f in own.inputFiles())
+    ids = session.new_ids(spark.range(50)).select("session_id").distinct().count()
+    assert ids == 50
+
+
+def test_streams(spark, tmp_path):
+    """Session windows, upserts over several batches, and a log that grows while it is tailed."""
+    from loomsearch.operators.index import Index
+    from loomsearch.streaming import streams
+
+    base = f"file://{tmp_path}"
+    at = lambda m: F.timestamp_seconds(F.lit(1_700_000_000) + m * 60)
+    rows = [("a", 0), ("a", 10), ("a", 90), ("b", 5)]
+    spark.createDataFrame(rows, "k string, m int").withColumn("t", at(F.col("m"))).write.parquet(f"{base}/in")
+    stream = streams.files(spark, f"{base}/in", "k string, m int, t timestamp")
+    got = {(r.k, r.n) for r in streams.drain(streams.session_windows(stream, "k", "t"), "sessions", "complete").collect()}
+    assert got == {("a", 2), ("a", 1), ("b", 1)}
+    schema = "k string, t long, v string"
+    for part in ([("x", 1, "old"), ("y", 1, "y")], [("x", 2, "new"), ("z", 1, "z")], [("x", 1, "late")]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{base}/rows")
+        own = streams.files(spark, f"{base}/rows", schema)
+        streams.upsert(own, f"{base}/state", f"{base}/check", "k", "t", "v", buckets=3).trigger(availableNow=True).start().awaitTermination()
+    assert {(r.k, r.v) for r in streams.state(spark, f"{base}/state", schema).collect()} == {("x", "new"), ("y", "y"), ("z", "z")}
+    index = Index(spark, f"{base}/index", {"text": 1.0})
+    for part in ([("u1", "first words"), ("u2", "second")], [("u1", "replaced"), ("u3", "third")]):
+        crawl_log.write(spark.createDataFrame(part, "url string, text string"), f"{base}/log")
+        log = streams.tail(spark, f"{base}/log", "url string, text string").drop("file", "pos")
+        streams.index_into(log, index, f"{base}/tail").trigger(availableNow=True).start().awaitTermination()
+    assert {(r.url, r.text) for r in index.documents().collect()} == {("u1", "replaced"), ("u2", "second"), ("u3", "third")}
