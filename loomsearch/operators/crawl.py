@@ -142,7 +142,21 @@ def change_probability(elapsed: Column, mean: Column) -> Column:
 @arrow_vectorised("double")
 def stuffing(text: pa.Array) -> pa.Array:
     """By the share of the most frequent content word, from 20 words on."""
+    return pa.array(_stuffing(text, *batch_words(text)))
+
+
+@arrow_vectorised("words int, stuffing double, ads double")
+def word_scores(text: pa.Array) -> pa.Array:
+    """Number of words, stuffing and density of ads of each text, its words split once."""
     row, word, vocab = batch_words(text)
+    count = np.bincount(row, minlength=len(text))
+    ad = pc.is_in(pc.utf8_lower(vocab), pa.array(AD_TERMS, vocab.type)).to_numpy(zero_copy_only=False)
+    share = np.bincount(row[ad[word]] if len(row) else row, minlength=len(text)) / np.maximum(count, 1)
+    ads = np.where(count < 50, 0.0, np.where(share > 0.05, 0.6, np.where(share > 0.02, 0.3, 0.0)))
+    return pa.StructArray.from_arrays([pa.array(count.astype(np.int32)), pa.array(_stuffing(text, row, word, vocab)), pa.array(ads)], names=["words", "stuffing", "ads"])
+
+
+def _stuffing(text: pa.Array, row: np.ndarray, word: np.ndarray, vocab: pa.Array) -> np.ndarray:
     stops = pc.is_in(pc.utf8_lower(vocab), pa.array(STOPWORDS, vocab.type)).to_numpy(zero_copy_only=False)
     long_ = np.bincount(row, minlength=len(text)) >= 20
     kept = long_[row] & ~stops[word] if len(row) else np.zeros(0, bool)
@@ -152,7 +166,7 @@ def stuffing(text: pa.Array) -> pa.Array:
     most = np.zeros(len(text))
     np.maximum.at(most, of, times)
     ratio = most / np.maximum(total, 1)
-    return pa.array(np.where(ratio > 0.25, 0.8, np.where(ratio > 0.15, 0.4, 0.0)))
+    return np.where(ratio > 0.25, 0.8, np.where(ratio > 0.15, 0.4, 0.0))
 
 
 def link_spam(links: Column, words_: Column) -> Column:

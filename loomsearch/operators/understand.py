@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomsearch.functions.text import deletes, query_tokens, quoted_phrases
+from loomsearch.sources.tables import saved
 
 # Cue words of each intent, in order of precedence, and their confidences.
 NAVIGATIONAL = "go goto navigate site login homepage".split()
@@ -76,24 +77,39 @@ def dictionary(postings: DataFrame) -> DataFrame:
     return own.distinct().groupBy("word").agg(F.count("*").alias("freq"))
 
 
+#: Unknown terms that are compared directly.
+FEW = 1000
+
+
 def corrections(terms: DataFrame, words: DataFrame, most: int) -> DataFrame:
     """(term, word): the best known word for each unknown term (column term).
 
-    Symmetric deletes: both sides' strings with characters removed meet in an equi-join; a word
-    counts if the characters removed from both sum to at most `most`. Ranked by edit distance,
-    then frequency, then the word.
+    A word counts if the characters removed from both, until they are equal, are `most` in all. Up to FEW
+    unknown terms are held against the dictionary, more of them by symmetric deletes: both sides'
+    strings with characters removed meet in an equi-join. Ranked by edit distance, then frequency,
+    then the word.
     """
     usable = terms.select("term").distinct().where((F.octet_length("term") > 2) & ~F.col("term").rlike("[0-9]"))
     unknown = usable.join(words.select(F.col("word").alias("term")), "term", "left_anti")
-    left = unknown.select("term", F.explode(deletes(F.col("term"), most)).alias("part"))
-    right = words.select("word", "freq", F.explode(deletes(F.col("word"), most)).alias("part"))
-    met = left.join(right, "part").withColumn("removed", F.length("term") + F.length("word") - 2 * F.length("part")).where(F.col("removed") <= most).select("term", "word", "freq").distinct()
+    few = [r.term for r in unknown.limit(FEW + 1).collect()]
+    if len(few) <= FEW:
+        # A stated few against the dictionary, which is read once: lengths and edits rule out nearly all words.
+        rows = [(t, n) for t in few for n in range(max(len(t) - most, 1), len(t) + most + 1)]
+        asked = terms.sparkSession.createDataFrame(rows, "term string, size int")
+        near = words.withColumn("size", F.length("word")).join(F.broadcast(asked), "size").where(F.levenshtein("term", "word") <= most)
+        parts = F.array_intersect(deletes(F.col("term"), most), deletes(F.col("word"), most))
+        met = near.where(F.exists(parts, lambda p: F.length("term") + F.length("word") - 2 * F.length(p) <= most)).select("term", "word", "freq")
+    else:
+        left = unknown.select("term", F.explode(deletes(F.col("term"), most)).alias("part"))
+        right = words.select("word", "freq", F.explode(deletes(F.col("word"), most)).alias("part"))
+        met = left.join(right, "part").withColumn("removed", F.length("term") + F.length("word") - 2 * F.length("part")).where(F.col("removed") <= most).select("term", "word", "freq").distinct()
     order = Window.partitionBy("term").orderBy(F.levenshtein("term", "word"), F.desc("freq"), "word")
     return met.withColumn("k", F.row_number().over(order)).where("k = 1").select("term", "word")
 
 
 def correct(queries: DataFrame, words: DataFrame) -> DataFrame:
     """queries (query_id, terms) with correction: null where nothing changed. One edit for up to four terms, else two."""
+    words = saved(words, "dictionary")
     each = queries.select("query_id", F.size("terms").alias("n"), F.posexplode("terms").alias("pos", "term"))
     short, long_ = (corrections(each.where(test), words, most).withColumn("few", F.lit(few)) for test, most, few in (("n <= 4", 1, True), ("n > 4", 2, False)))
     fixed = each.withColumn("few", F.col("n") <= 4).join(short.unionByName(long_), ["term", "few"], "left")

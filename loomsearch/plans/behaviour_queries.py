@@ -140,11 +140,12 @@ def thin_and_ads(spark, sf_dir):
 def spam_score(spark, sf_dir):
     """Bars stand in for links; every third document has a suspicious host, every fifth no title."""
     own = load(spark, sf_dir, "documents")
-    bars = F.length(F.regexp_replace("text", "[^|]", ""))
+    bars = F.length("text") - F.length(F.replace("text", F.lit("|"), F.lit("")))
     url = F.when(F.col("doc_id") % 3 == 0, "http://a.xyz/").otherwise("http://a.com/")
     title = F.when(F.col("doc_id") % 5 == 0, " ").otherwise("t")
-    n = X.word_count(F.col("text"))
-    return own.select("doc_id", F.round(crawl.spam_score(crawl.stuffing(F.col("text")), crawl.link_spam(bars, n), crawl.thin(n), crawl.ad_density(F.col("text")), url, title), 6).alias("spam"))
+    read = own.select("doc_id", bars.alias("bars"), crawl.word_scores(F.col("text")).alias("x"))
+    score = crawl.spam_score(F.col("x.stuffing"), crawl.link_spam(F.col("bars"), F.col("x.words")), crawl.thin(F.col("x.words")), F.col("x.ads"), url, title)
+    return read.select("doc_id", F.round(score, 6).alias("spam"))
 
 
 @query("""SELECT event_id, user_id, value FROM (SELECT * FROM events WHERE event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 2) ORDER BY value DESC, event_id LIMIT 50""")

@@ -143,7 +143,9 @@ def test_pagerank(spark):
     assert seeded[0] > seeded[1] > 0
 
 
-def test_spelling(spark):
+@pytest.mark.parametrize("few", [1000, 0])
+def test_spelling(spark, monkeypatch, few):
+    monkeypatch.setattr(understand, "FEW", few)
     words = spark.createDataFrame([("the", 9), ("there", 3), ("their", 3), ("they", 3), ("programming", 2), ("python", 1), ("rust", 1), ("java", 1)], "word string, freq long")
     fix = lambda t, most: {r.term: r.word for r in understand.corrections(spark.createDataFrame([(t,)], "term string"), words, most).collect()}.get(t)
     assert (fix("teh", 2), fix("the", 2), fix("pythn", 1), fix("rudt", 1)) == ("the", None, "python", None)
