@@ -21,6 +21,8 @@ from loomsearch.sources import tables
 from loomsearch.sources.crawl_log import with_ids
 
 BUCKETS = 64
+#: Raised when segments are laid out in another way.
+FORMAT = 1
 
 
 def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
@@ -86,9 +88,12 @@ class Index:
         start = 0 if before is None else (before.agg(F.max("doc_id")).first()[0] if before.take(1) else -1) + 1
         one = dedup.latest(docs, "url", time, time) if time else docs.dropDuplicates(["url"])
         lengths = F.struct(*[F.size(retrieval.index_tokens(F.coalesce(F.col(f), F.lit("")))).alias(f) for f in self.fields])
-        own = with_ids(one.drop("doc_id"), start).withColumn("_lengths", lengths)
+        # Saved first, as dealing by range reads its input twice.
+        one = tables.saved(one.drop("doc_id"), "commit")
+        own = with_ids(one, start).withColumn("_lengths", lengths)
         new = f"{self.path}/_new-{uuid.uuid4().hex}"
         own.write.parquet(f"{new}/documents")
+        tables.discard(one)
         own = self.spark.read.parquet(f"{new}/documents")
         tokens = retrieval.field_tokens(own, list(self.fields))
         postings = retrieval.positional(tokens).withColumn("bucket", bucket_of(F.col("term"), self.buckets))

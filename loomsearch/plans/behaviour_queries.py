@@ -337,7 +337,7 @@ def stream_tail(spark, sf_dir):
     """A crawl log tailed into an index: every document arrives."""
     base = f"{shared_dir(spark)}/tail-{uuid.uuid4().hex}"
     crawl_log.write(load(spark, sf_dir, "documents").select(F.format_string("u%d", "doc_id").alias("url"), F.coalesce("text", F.lit("")).alias("text")), f"{base}/log", rotate_bytes=4 << 20)
-    index = Index(spark, f"{base}/index", {"text": 1.0})
+    index = Index(spark, f"{base}/index", {"text": 1.0}, buckets=8)
     log = streams.tail(spark, f"{base}/log", "url string, text string").drop("file", "pos")
     streams.index_into(log, index, f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return index.documents().agg(F.count("*").alias("documents"), F.sum(F.size(F.split(F.trim("text"), " "))).alias("spaces"))

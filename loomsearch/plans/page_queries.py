@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,7 +9,7 @@ from pyspark.sql.window import Window
 from loomsearch.catalog import query
 from loomsearch.functions import urls as U
 from loomsearch.operators import crawl, linkgraph, parse, ranking
-from loomsearch.operators.index import Index
+from loomsearch.operators.index import FORMAT, Index
 from loomsearch.plans import search as S
 from loomsearch.schema import FRONTIER
 from loomsearch.sources import tables
@@ -188,9 +186,14 @@ def _asked(spark) -> DataFrame:
 
 
 def _found(spark, sf_dir) -> DataFrame:
-    """A batch of queries over the stored index of all pages, spelling from its dictionary."""
-    index = Index(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
-    index.commit(search_docs(spark, sf_dir))
+    """A batch of queries over the stored index of all pages, spelling from its dictionary.
+
+    The index is named after its format and the pages' files, so it is built once for each state of them.
+    """
+    state = tables.state_of(load(spark, sf_dir, "pages"))
+    index = Index(spark, f"{shared_dir(spark)}/pages-index-{FORMAT}-{state}", buckets=8)
+    if not index.segments():
+        index.commit(search_docs(spark, sf_dir), "pages")
     return S.search(index.documents(), _asked(spark), F.timestamp_seconds(F.lit(1704067200 + 40 * 86400)), words=index.dictionary(), index=index)
 
 

@@ -237,7 +237,7 @@ CHANGED = "source = 'src1'"
 def index_upsert(spark, sf_dir):
     """All documents are indexed, then those of one source come in again with another text."""
     docs = load(spark, sf_dir, "documents").select(F.format_string("u%d", "doc_id").alias("url"), "source", F.coalesce("text", F.lit("")).alias("text"))
-    index = Index(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", {"text": 1.0})
+    index = Index(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", {"text": 1.0}, buckets=8)
     again = docs.where(CHANGED).withColumn("text", F.concat(F.lit("replaced "), "source"))
     for batch, own in (("all", docs), ("again", again), ("again", again)):
         index.commit(own, batch)

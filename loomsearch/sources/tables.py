@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,16 @@ def discard(df: DataFrame) -> None:
         fs.delete(place, True)
 
 
+def state_of(df: DataFrame) -> str:
+    """A digest of the files that df reads: their paths, sizes and times."""
+    digest = hashlib.sha256()
+    for path in sorted(df.inputFiles()):
+        place, fs, _ = _fs(df.sparkSession, path)
+        own = fs.getFileStatus(place)
+        digest.update(f"{path} {own.getLen()} {own.getModificationTime()}\n".encode())
+    return digest.hexdigest()[:32]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     place, fs, _ = _fs(spark, path)
     fs.delete(place, True)
