@@ -490,6 +490,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2,
     scale = (np.log((1 + n) / (1 + df)) + 1) * (1 + g2 / g2_unit)
     times = pairs[:, 1].astype(np.min_scalar_type(int(pairs[:, 1].max(initial=1))))
     index = Index(terms, scale, offsets, pairs[:, 0].astype(np.int32), times, pos[some], neg[some], first_id[some], float(empty), float(prior))
+    del table, pairs, size, pos, neg, first_id
     index.slope, index.offset = _calibrated(examples, index)
     return index
 
