@@ -116,8 +116,9 @@ def links(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) -> Dat
     skipped = F.array(*[F.lit(sum(1 << g for g in range(chosen[-1]) if g not in chosen)) for chosen in choices])
     cells = [F.struct(F.lit(k).alias("choice"), F.col("counts").bitwiseAND(F.lit(signed(sum(masks[g] for g in chosen)))).alias("cell")) for k, chosen in enumerate(choices)]
     placed = fps.select("fp", segment_counts(F.col("fp")).alias("counts")).select("fp", F.explode(F.array(*cells)).alias("x")).select("fp", "x.choice", "x.cell")
-    # Both sides are the same rows, so they are shuffled once.
-    left, right = placed.toDF("a", "choice", "cell"), placed.toDF("b", "choice_b", "cell_b")
+    # Both sides are the same rows, so they are shuffled once. Spark takes the exploded rows for as few bytes as
+    # the fingerprints were, and would broadcast them: they are merged whatever it estimates.
+    left, right = placed.toDF("a", "choice", "cell").hint("merge"), placed.toDF("b", "choice_b", "cell_b").hint("merge")
     x, y = segment_counts(F.col("a")), segment_counts(F.col("b"))
     agree = F.lit(0)
     for g, mask in enumerate(masks):

@@ -481,6 +481,14 @@ def test_links(spark):
     assert {(x.node, x.root) for x in simhash.components(chain).collect()} == {(k, 1) for k in range(1, 31)} | {(k, 100) for k in (100, 101, 102)}
 
 
+def test_links_are_not_broadcast(spark, tmp_path):
+    """A few bytes of fingerprints become 35 rows each: by their estimate they would be broadcast."""
+    spark.range(1000).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/groups")
+    joined = simhash.links(spark.read.parquet(f"{tmp_path}/groups"))
+    assert joined.count() == 0
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rollups(spark, docs, none, tmp_path):
     counts = rollups.count_tokens(docs, TOKENIZER).cache()
     store = rollups.Rollup(spark, f"file://{tmp_path}/r")
