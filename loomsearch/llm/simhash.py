@@ -160,7 +160,8 @@ def grouped(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, s
     roots = components(links(groups.select("fp"), distance, MORE_GROUPS if groups.count() >= MANY else GROUPS))
     of = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return own.join(of.join(least, "root").select("fp", "root", "component_id"), "fp")
+    # Every fingerprint has its row in `of`; a left join says that the documents are never the side to broadcast, however few bytes copies take.
+    return own.join(of.join(least, "root").select("fp", "root", "component_id"), "fp", "left")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:

@@ -489,6 +489,12 @@ def test_links_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
 
 
+def test_copies_are_not_broadcast(spark):
+    """The documents are the side that streams, however few bytes they are."""
+    plan = simhash.near_duplicates(spark.createDataFrame([(k, "one text") for k in range(1000)], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan.splitlines()[1]
+
+
 def test_rollups(spark, docs, none, tmp_path):
     counts = rollups.count_tokens(docs, TOKENIZER).cache()
     store = rollups.Rollup(spark, f"file://{tmp_path}/r")
