@@ -7,6 +7,7 @@ word and everything per occurrence is a numpy operation.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -26,6 +27,8 @@ U64 = np.uint64
 #: Rows and bytes that one Arrow batch holds at most; a longer text is a batch of its own.
 BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
+#: Bytes of texts that are taken apart at once.
+PIECE = 1 << 21
 
 
 def tune(spark: SparkSession) -> None:
@@ -90,6 +93,16 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def pieces(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Texts in runs of at most PIECE bytes (a longer text is one of its own), and the number of each run's first."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PIECE, side="right")))
+        yield first, texts.slice(first, last - first)
+        first = last
+
+
 def split_words(texts: pa.Array, lower: bool = False) -> Words:
     """Words [^\\x20\\x09-\\x0D]+ of every text; lower maps A-Z only."""
     if lower:
@@ -134,6 +147,25 @@ class Rolling:
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker serves later stages and operators too, and what it keeps adds to their own."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same for mapInArrow, giving back what earlier tasks' broadcasts took before, and what its own took after a partition."""
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return lean_run
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """mapInArrow with one function for each partition, made on the executor."""
 
@@ -144,8 +176,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
                 out = each(batch)
                 if out is not None:
                     yield out
-
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import texts_of, tune
+from .common import lean, texts_of, tune
 from .tokens import WordBpe
 
 TIERS = (512, 1024, 2048, 4096)
@@ -176,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end_id
         yield emit()
 
     columns = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return columns.mapInArrow(run, PIECES + ", ids array<long>" * with_ids)
+    return columns.mapInArrow(lean(run), PIECES + ", ids array<long>" * with_ids)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, collect_bounded, fold_of, materialise, split_words, strip_terms, texts_in, texts_of, tune, with_row
+from .common import arrow_map, collect_bounded, fold_of, lean, materialise, pieces, split_words, strip_terms, texts_in, texts_of, tune, with_row
 
 SAMPLE = 20_000
 #: A term's weight grows by its G2 over this.
@@ -57,14 +57,25 @@ EVIDENCE = 3
 
 
 def term_ids(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, times) of the vocabulary's terms in each text, by row and term."""
-    words = split_words(texts)
-    known = pc.fill_null(pc.index_in(strip_terms(words.vocab).cast(terms.type), terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    term = known[words.ids]
-    at = np.flatnonzero(term >= 0)
-    key = words.row_of[at] * (len(terms) + 1) + term[at]
-    key, times = np.unique(key, return_counts=True)
-    return key // (len(terms) + 1), key % (len(terms) + 1), times
+    """(row, term, times) of the vocabulary's terms in each text, by row and term.
+
+    What is kept of each word of a text is bounded by PIECE. A piece's own terms are few, so the vocabulary
+    is looked up in a hash table of these, not these in one of the vocabulary.
+    """
+    found = [(np.zeros(0, np.int64),) * 3]
+    for first, part in pieces(texts):
+        words = split_words(part)
+        own = strip_terms(words.vocab).cast(terms.type).dictionary_encode()
+        place = pc.index_in(terms, own.dictionary)
+        some = pc.indices_nonzero(place.is_valid())
+        known = np.full(len(own.dictionary), -1, np.int64)
+        known[place.take(some).to_numpy()] = some.to_numpy()
+        term = known[own.indices.to_numpy()][words.ids] if len(words) else words.ids
+        at = np.flatnonzero(term >= 0)
+        key = words.row_of[at] * (len(terms) + 1) + term[at]
+        key, times = np.unique(key, return_counts=True)
+        found.append((key // (len(terms) + 1) + first, key % (len(terms) + 1), times))
+    return tuple(np.concatenate([x[k] for x in found]) for k in range(3))
 
 
 def spans(first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -410,12 +421,16 @@ def _examples(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, sa
 def _term_rows(examples: DataFrame) -> DataFrame:
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            words = split_words(texts_of(batch.column("text")))
-            terms = strip_terms(words.vocab).dictionary_encode()
-            own = terms.indices.to_numpy()[words.ids]
-            key = np.unique(words.row_of * max(len(terms.dictionary), 1) + own)
-            row, term = key // max(len(terms.dictionary), 1), key % max(len(terms.dictionary), 1)
-            return pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(term)).cast(pa.string()), batch.column("toxic").take(pa.array(row))], names=["term", "toxic"])
+            found, labels = [pa.array([], pa.string())], [batch.column("toxic").slice(0, 0)]
+            for first, part in pieces(texts_of(batch.column("text"))):
+                words = split_words(part)
+                terms = strip_terms(words.vocab).dictionary_encode()
+                own = terms.indices.to_numpy()[words.ids]
+                key = np.unique(words.row_of * max(len(terms.dictionary), 1) + own)
+                row, term = key // max(len(terms.dictionary), 1) + first, key % max(len(terms.dictionary), 1)
+                found.append(terms.dictionary.take(pa.array(term)).cast(pa.string()))
+                labels.append(batch.column("toxic").take(pa.array(row)))
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(found), pa.concat_arrays(labels)], names=["term", "toxic"])
 
         return each
 
@@ -450,7 +465,7 @@ def _frequencies(docs: DataFrame, terms: pa.Array) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "n"])
 
-    sums = collect_bounded(docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), len(terms) + 1)
+    sums = collect_bounded(docs.select(docs["text"].cast("string").alias("text")).mapInArrow(lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), len(terms) + 1)
     out = np.zeros(len(terms) + 1, np.int64)
     out[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
     return out[:-1], int(out[-1])

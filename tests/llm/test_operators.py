@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomsearch.llm import chat, decontaminate, packing, ppm, quality, rollups, rules, simhash, substring, toxicity
+from loomsearch.llm import chat, common, decontaminate, packing, ppm, quality, rollups, rules, simhash, substring, toxicity
 from loomsearch.llm.common import CodeTable, Counter64
 from loomsearch.llm.tokens import WordBpe
 
@@ -247,6 +248,35 @@ def test_toxicity_votes(spark, monkeypatch, sizes):
     assert [got[k] for k in range(len(texts))] == pytest.approx(want, abs=1e-6)
 
 
+def test_toxicity_splits_pieces(monkeypatch):
+    """Terms of a batch are counted piece by piece: the same as at once, within a bounded memory."""
+    r = random.Random(4)
+    texts = [" ".join(f"{r.choice('abc')}{int(r.paretovariate(0.6)) % 5000}" for _ in range(1500)) for _ in range(700)] * 4 + ["", "Foul, foul a1", "?!", "a1 " * 5000, ""]
+    terms = pa.array(sorted({f"{c}{k}" for c in "abc" for k in range(0, 5000, 2)} | {"foul"}), pa.large_string())
+    batch, where = pa.array(texts, pa.large_string()), {t: k for k, t in enumerate(terms.to_pylist())}
+    tracemalloc.start()
+    got = toxicity.term_ids(batch, terms)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = [sorted(Counter(where[x] for x in (w.strip(",?!").lower() for w in t.split()) if x in where).items()) for t in texts]
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == [(k, t, n) for k, own in enumerate(counts) for t, n in own]
+    assert peak < 60 << 20  # four million words; a few arrays of eight bytes for each would be more
+    monkeypatch.setattr(common, "PIECE", 100)
+    few = toxicity.term_ids(batch.slice(2790), terms)
+    assert all((a == b[got[0] >= 2790]).all() for a, b in zip(few, (got[0] - 2790, *got[1:]), strict=True))
+    assert [len(x) for x in toxicity.term_ids(batch.slice(0, 0), terms)] == [0, 0, 0] and len(toxicity.term_ids(batch, terms.slice(0, 0))[0]) == 0
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """Before a partition and once its own arrays are gone."""
+    seen = []
+    monkeypatch.setattr(common, "give_back", lambda: seen.append("back"))
+    assert [seen.append(x) or x for x in common.lean(lambda batches: (2 * b for b in batches))(iter([1, 2]))] == [2, 4]
+    assert seen == ["back", 2, 4, "back"]
+    monkeypatch.undo()
+    common.give_back()
+
+
 def test_curve():
     """The curve's expected share equals the true one, and it rises or stays as it is."""
     r = np.random.default_rng(3)
