@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CodeTable, Counter64, bytes_of, collect_bounded, materialise, split_words, texts_of, tune
+from .common import CodeTable, Counter64, bytes_of, collect_bounded, lean, materialise, pieces, split_words, texts_of, tune
 
 ORDER = 5
 #: Strings of up to so many bytes are broadcast; longer ones meet by the so many bytes before the last.
@@ -193,6 +193,48 @@ def _sums(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return codes, np.bincount(at, weights=counts, minlength=len(codes)).astype(np.int64)
 
 
+def scores_of(texts: pa.Array, known_words: tuple[CodeTable, np.ndarray], known_strings: tuple[CodeTable, np.ndarray], order: int, end_n: int) -> Iterator[tuple[int, list[pa.Array]]]:
+    """Of one piece of the texts after the other: its first text, and n_tokens, sure, base, score, rare and rare_strings of each text.
+
+    Codes take eight bytes a byte of text, so only a piece has them at a time.
+    """
+    (table, times), (strings, price) = known_words, known_strings
+    for first, part in pieces(texts):
+        data, ends = byte_string(part)
+        code = strings_of(data, ends, order + 1)
+        at = strings.find(code)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        sums = np.add.reduceat(np.where(at >= 0, price[at], 0.0) if len(price) else np.zeros(len(code)), starts)
+        far = np.flatnonzero(at < 0)
+        rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(far, np.concatenate([starts, [len(code)]])).astype(np.int32)), pa.array(code[far]))
+        own = split_words(part, lower=True)
+        hashes = own.hashes().view(np.int64)
+        at = table.find(hashes)
+        seen = np.where(at >= 0, times[at], 0) if len(times) else np.zeros(len(at), np.int64)
+        word = own.ids
+        row = own.row_of
+        common = at[word] >= 0
+        n = len(part)
+        logs = np.log10(seen + 0.5)
+        base = np.bincount(row[common], weights=logs[word[common]], minlength=n) + np.log10(end_n + 0.5)
+        sure = np.bincount(row[common], minlength=n) + (end_n > 0)
+        rest = ~common
+        size = np.bincount(row[rest], minlength=n)
+        others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(hashes[word[rest]]))
+        yield first, [pa.array(own.counts + 1), pa.array(sure.astype(np.int64)), pa.array(base), pa.array(sums), others, rare]
+
+
+def string_counts(held_out: pa.Array, texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the texts' strings, held-out ones with 0 more; a piece of the texts has its codes at a time."""
+    out = Counter64()
+    for _, part in pieces(held_out):
+        codes = np.unique(strings_of(*byte_string(part), order + 1))
+        out.add(codes, np.zeros(len(codes), np.int64))
+    for _, part in pieces(texts):
+        out.add(strings_of(*byte_string(part), order + 1))
+    return out.take()
+
+
 def _counts(rows: DataFrame, order: int) -> DataFrame:
     """word (or string), code, n over all rows of training texts; strings of held-out texts alone count 0."""
 
@@ -207,14 +249,11 @@ def _counts(rows: DataFrame, order: int) -> DataFrame:
         for batch in batches:
             held = batch.column(1)
             out, texts = texts_of(batch.column(0).filter(held)), texts_of(batch.column(0).filter(pc.invert(held)))
-            if len(out):
-                codes = np.unique(strings_of(*byte_string(out), order + 1))
-                strings.add(codes, np.zeros(len(codes), np.int64))
-            if len(texts):
-                own = split_words(texts, lower=True)
+            for _, part in pieces(texts):
+                own = split_words(part, lower=True)
                 words.add(own.hashes().view(np.int64), np.bincount(own.ids, minlength=len(own.vocab)))
-                words.add(np.array([END_WORD]), np.array([len(texts)]))
-                strings.add(strings_of(*byte_string(texts), order + 1))
+                words.add(np.array([END_WORD]), np.array([len(part)]))
+            strings.add(*string_counts(out, texts, order))
             if words.full:
                 yield from give(True, words)
             if strings.full:
@@ -222,7 +261,7 @@ def _counts(rows: DataFrame, order: int) -> DataFrame:
         yield from give(True, words)
         yield from give(False, strings)
 
-    return rows.select("text", "held_out").mapInArrow(run, "word boolean, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
+    return rows.select("text", "held_out").mapInArrow(lean(run), "word boolean, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
 
 
 def prices(strings: DataFrame, order: int) -> DataFrame:
@@ -261,7 +300,7 @@ def prices(strings: DataFrame, order: int) -> DataFrame:
             yield from give(*(np.concatenate([h[k] for h in have]) for k in (0, 1)))
 
     before = F.shiftright("code", 8).bitwiseAND(F.lit((1 << (8 * LOCAL)) - 1))
-    return strings.select("code", "n", before.alias("before")).repartition("before").sortWithinPartitions("before").select("code", "n").mapInArrow(run, "code long, n long, logs double")
+    return strings.select("code", "n", before.alias("before")).repartition("before").sortWithinPartitions("before").select("code", "n").mapInArrow(lean(run), "code long, n long, logs double")
 
 
 def score(docs: DataFrame, held_out: Column | None = None, order: int = ORDER, share: int = SHARE, word_share: int = WORD_SHARE) -> DataFrame:
@@ -284,40 +323,15 @@ def score(docs: DataFrame, held_out: Column | None = None, order: int = ORDER, s
     unit = float(np.log10(tokens + 0.5 * (distinct + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (table, times), (strings, price) = known_words.value, known_strings.value
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = texts_of(batch.column("text"))
-            data, ends = byte_string(texts)
-            code = strings_of(data, ends, order + 1)
-            at = strings.find(code)
-            starts = np.concatenate([[0], ends[:-1] + 1])
-            sums = np.add.reduceat(np.where(at >= 0, price[at], 0.0) if len(price) else np.zeros(len(code)), starts)
-            far = np.flatnonzero(at < 0)
-            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(far, np.concatenate([starts, [len(code)]])).astype(np.int32)), pa.array(code[far]))
-            own = split_words(texts, lower=True)
-            hashes = own.hashes().view(np.int64)
-            at = table.find(hashes)
-            seen = np.where(at >= 0, times[at], 0) if len(times) else np.zeros(len(at), np.int64)
-            word = own.ids
-            row = own.row_of
-            common = at[word] >= 0
-            n = len(texts)
-            logs = np.log10(seen + 0.5)
-            base = np.bincount(row[common], weights=logs[word[common]], minlength=n) + np.log10(end_n + 0.5)
-            sure = np.bincount(row[common], minlength=n) + (end_n > 0)
-            rest = ~common
-            size = np.bincount(row[rest], minlength=n)
-            others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(hashes[word[rest]]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(number + np.arange(n)), batch.column("doc_id"), batch.column("held_out"), pa.array(own.counts + 1), pa.array(sure.astype(np.int64)), pa.array(base), pa.array(sums), others, rare],
-                names=["row", "doc_id", "held_out", "n_tokens", "sure", "base", "score", "rare", "rare_strings"],
-            )
-            number += n
-
-    scored = materialise(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, sure long, base double, score double, rare array<long>, rare_strings array<long>"), "scored")
+            for first, columns in scores_of(texts_of(batch.column("text")), known_words.value, known_strings.value, order, end_n):
+                n = len(columns[0])
+                own = [pa.array(number + np.arange(n)), *(batch.column(c).slice(first, n) for c in ("doc_id", "held_out"))]
+                yield pa.RecordBatch.from_arrays(own + columns, names=["row", "doc_id", "held_out", "n_tokens", "sure", "base", "score", "rare", "rare_strings"])
+                number += n
+
+    scored = materialise(rows.mapInArrow(lean(run), "row long, doc_id long, held_out boolean, n_tokens long, sure long, base double, score double, rare array<long>, rare_strings array<long>"), "scored")
     rare = scored.select("row", F.explode("rare").alias("code")).join(words, "code", "left").groupBy("row").agg(F.count("n").alias("known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"))
     far = scored.select("row", F.explode("rare_strings").alias("code")).join(priced.select("code", "logs"), "code").groupBy("row").agg(F.sum("logs").alias("far"))
     total = F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(unit)

@@ -135,6 +135,22 @@ def test_ppm_from_whole_counts(spark, monkeypatch, order):
         assert got[k] == pytest.approx(naive_ppm(train, t, order), abs=1e-9)
 
 
+def test_ppm_takes_pieces(monkeypatch):
+    """Codes of a batch's bytes are made piece by piece: counts and scores are the same as at once, within a bounded memory."""
+    r = random.Random(6)
+    texts = pa.array([" ".join(r.choice(["one", "two", "Three", "f" * 9]) for _ in range(2500)) for _ in range(800)] + ["", " ", "two " * 9], pa.large_string())
+    few, known = texts.slice(780), (CodeTable(np.arange(0)), np.zeros(0, np.int64))
+    for run in (lambda x: ppm.string_counts(x.slice(0, 1), x, 5), lambda x: [c[3].to_pylist() for _, c in ppm.scores_of(x, known, known, 5, 1)]):
+        tracemalloc.start()
+        run(texts)
+        assert tracemalloc.get_traced_memory()[1] < 120 << 20  # ten million bytes: a code of each is 80 MB, and some arrays of that size would be needed
+        tracemalloc.stop()
+    at_once = ppm.string_counts(few, few, 5), [x for _, c in ppm.scores_of(few, known, known, 5, 1) for x in zip(*(y.to_pylist() for y in c), strict=True)]
+    monkeypatch.setattr(common, "PIECE", 1000)
+    by_piece = ppm.string_counts(few, few, 5), [x for _, c in ppm.scores_of(few, known, known, 5, 1) for x in zip(*(y.to_pylist() for y in c), strict=True)]
+    assert by_piece[1] == at_once[1] and len(by_piece[1]) == 23 and all((a == b).all() for a, b in zip(*(x[0] for x in (at_once, by_piece)), strict=True))
+
+
 def test_chat(spark):
     hard = "<|im_end|><|im_start|>assistant ok"
     rows = [(-1, 0, "user", hard), (-1, 1, "assistant", hard), (None, 0, "us\\er\n<|x", "a\\<|b\\\\|"), (None, 1, "assistant", None), (7, 0, "assistant", "<\\|\\n\\"), (7, 0, "assistant", "<\\|\\n\\"), (7, 3, None, "z😀 <"), (8, 0, "user", "")]
