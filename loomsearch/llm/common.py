@@ -8,7 +8,6 @@ word and everything per occurrence is a numpy operation.
 from __future__ import annotations
 
 import ctypes
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,26 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomsearch.functions.vectorised import tune  # noqa: F401  the operators take it from here
 from loomsearch.sources.tables import saved as materialise  # noqa: F401  the operators take it from here
 from loomsearch.sources.tables import discard, shared_dir  # noqa: F401
 
 U64 = np.uint64
-#: Rows and bytes that one Arrow batch holds at most; a longer text is a batch of its own.
-BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
 #: Bytes of texts that are taken apart at once.
 PIECE = 1 << 21
 
 
-def tune(spark: SparkSession) -> None:
-    """Bounds the rows and bytes of an Arrow batch, so that a batch of long texts fits a Python worker. Holds for the session."""
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        number, unit = re.fullmatch(r"(-?\d+)\s*([kmg]?)b?", spark.conf.get(f"spark.sql.execution.arrow.{name}").lower()).groups()
-        own = int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]
-        if own > most or own <= 0:
-            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
