@@ -204,6 +204,33 @@ def test_lsh_recall(spark):
     assert vectors.lsh_top(few, q, 10, probes=1).count() == 200
 
 
+def test_lsh_by_hand(spark):
+    """Every vector in one of a query's buckets counts and no other, whatever the tiles and blocks; none of them is shuffled."""
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=64).tolist()) for k in range(1500)]
+    rows += [(1500 + k, rows[100][1]) for k in range(20)]  # equal ones go by id
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).cache()
+    q = df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    all_ = np.array([v for _, v in rows])
+    normals = np.random.default_rng(7).normal(size=(8, 10, 64))
+    sides = np.einsum("nd,tpd->ntp", all_, normals)
+    own = ((sides > 0) << np.arange(10)).sum(2)
+    flips = [[c >> p & 1 for p in range(10)] for c in range(1024)]
+    unit = all_ / np.linalg.norm(all_, axis=1)[:, None]
+    want = set()
+    for i in range(0, 1520, 50):
+        near = [own[i, t] ^ np.argsort(sides[i, t] ** 2 @ np.array(flips, float).T, kind="stable")[:20] for t in range(8)]
+        met = np.flatnonzero(np.any([np.isin(own[:, t], near[t]) for t in range(8)], axis=0))
+        met = met if len(met) >= 10 else np.arange(1520)
+        s = np.round(unit[met] @ unit[i], 9)
+        want |= {(i, int(met[j]), n + 1) for n, j in enumerate(np.lexsort((met, -s))[:10])}
+    for most in (10_000, 7):
+        out = vectors.lsh_top(df, q, 10, probes=20, most_queries=most)
+        assert {(r.query_id, r.vec_id, r.rank) for r in out.collect()} == want
+    plan = vectors.lsh_top(df, q, 10, probes=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "embedding" not in plan.split("MapInArrow")[0] and "Generate" not in plan
+
+
 def test_robots(spark):
     text = "User-agent: *\nDisallow: /admin/\nDisallow: /private/\nAllow: /admin/public/\nCrawl-delay: 2\nSitemap: http://s/m.xml"
     rules = crawl.parse_robots(text, ("me",))
