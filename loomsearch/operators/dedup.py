@@ -64,8 +64,10 @@ def near_pairs(hashes: DataFrame, distance: int = 3, bits: int = BITS, blocks: i
     choices = list(itertools.combinations(range(blocks), blocks - distance))
     skipped = F.array(*[F.lit(sum(1 << k for k in range(c[-1]) if k not in c)) for c in choices])
     keys = F.explode(F.array(*[F.struct(F.lit(n).alias("choice"), F.col("simhash").bitwiseAND(F.lit(sum(masks[k] for k in c))).alias("part")) for n, c in enumerate(choices)]))
-    own = hashes.select("simhash").distinct().select("simhash", keys.alias("x")).select("simhash", "x.choice", "x.part")
-    left, right = own.toDF("a", "choice", "part"), own.toDF("b", "choice_b", "part_b")
+    parts = int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = hashes.select("simhash").distinct().repartition(parts, "simhash").select("simhash", keys.alias("x")).select("simhash", "x.choice", "x.part")
+    # 35 rows a fingerprint: merged whatever Spark estimates, so neither side is broadcast.
+    left, right = own.toDF("a", "choice", "part").hint("merge"), own.toDF("b", "choice_b", "part_b").hint("merge")
     agree = F.lit(0)
     for k, mask in enumerate(masks):
         agree = agree.bitwiseOR(F.when(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.lit(mask)) == 0, 1 << k).otherwise(0))
