@@ -49,8 +49,18 @@ def url_escape(text: Column) -> Column:
     return text
 
 
+#: Letters whose capital is one letter though their upper case in a word is two: sharp s, and Greek ones with iota below.
+CAPITALS = {"ß": "ẞ"} | {chr(c): chr(c).title() for c in (*range(0x1F80, 0x1FB0), 0x1FB3, 0x1FBC, 0x1FC3, 0x1FCC, 0x1FF3, 0x1FFC)}
+
+
+def capital(letter: Column) -> Column:
+    """The one letter that is its capital, as SQL engines map letter by letter; the letter itself where there is none."""
+    upper = F.upper(letter)
+    return F.when(F.length(upper) == 1, upper).otherwise(F.translate(letter, "".join(CAPITALS), "".join(CAPITALS.values())))
+
+
 def capitalise(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), text.substr(F.lit(2), F.length(text)))
+    return F.concat(capital(F.substring(text, 1, 1)), text.substr(F.lit(2), F.length(text)))
 
 
 def quoted_phrases(text: Column) -> Column:
