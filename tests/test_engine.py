@@ -89,6 +89,21 @@ def test_simhash(spark):
     assert {(r.a, r.b): r.distance for r in near.collect()} == {(0, 1): 1, (0, 7): 3, (1, 7): 2, (0, 1 << 59): 1, (1, 1 << 59): 2}
 
 
+def test_near_pairs_are_never_broadcast(spark):
+    """Few bytes of fingerprints become 35 rows each: they are merged however small Spark takes them for."""
+    hashes = spark.createDataFrame([(k * 0x9E3779B97F4A7 % (1 << 60),) for k in range(300)] + [(1,), (3,)], "simhash long")
+    near = dedup.near_pairs(hashes)
+    assert (1, 3, 1) in {tuple(r) for r in near.collect()}
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_capitals_by_letter(spark):
+    """One letter for one letter, as in SQL; what has no single capital stays."""
+    for text, want in (("ßa", "ẞa"), ("ﬁn", "ﬁn"), ("ŉa", "ŉa"), ("ᾳx", "ᾼx"), ("éa", "Éa"), ("ab", "Ab"), ("", ""), ("ǆx", "Ǆx"), ("ß", "ẞ")):
+        assert one(spark, X.capitalise(F.col("t")), t=text) == want
+
+
 def tokens(spark):
     docs = spark.createDataFrame([(1, "Rust", "rust is a systems language"), (2, "Python", "python is a dynamic language"), (3, "Other", "nothing")], "doc_id long, title string, body string")
     return retrieval.field_tokens(docs, ["title", "body"])
@@ -231,6 +246,16 @@ def test_lsh_by_hand(spark):
     assert "embedding" not in plan.split("MapInArrow")[0] and "Generate" not in plan
 
 
+def test_exact_top_orders_as_its_sql(spark):
+    """Similarities that agree in nine decimals tie and go by id, over many tiles and batches; a partition gives k rows a query."""
+    rows = [(k, [1.0, 1e-5 * (4 - k) ** 0.5, 0.0]) for k in (3, 2, 1)] + [(k, [0.0, 1.0, float(k % 7)]) for k in range(4, 4500)] + [(9000, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0])], "query_id long, vec array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in vectors.exact_top(df, q, 3).collect()}
+    assert [got[1, n] for n in (1, 2, 3)] == [1, 2, 3] and [got[2, n] for n in (1, 2, 3)] == [7, 14, 21]
+    assert vectors._nearest(df, q, 3, "vec_id", "embedding", 100).count() == 6
+
+
 def test_robots(spark):
     text = "User-agent: *\nDisallow: /admin/\nDisallow: /private/\nAllow: /admin/public/\nCrawl-delay: 2\nSitemap: http://s/m.xml"
     rules = crawl.parse_robots(text, ("me",))
