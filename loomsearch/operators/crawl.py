@@ -8,12 +8,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from loomsearch.functions.text import words
 from loomsearch.functions.urls import host, normalise_url, top_level
-from loomsearch.functions.vectorised import arrow_vectorised, batch_words
+from loomsearch.functions.vectorised import arrow_vectorised, batch_words, vectorised
 
 LINK_PRIORITY = 0.85
 # Suspicious top-level domains, advertising terms of one word (longer ones equal no word), stop words, blacklist seeds.
@@ -97,7 +96,7 @@ def parse_robots(text: str | None, agents: tuple[str, ...]) -> dict:
 
 
 def robots_rules(agents: tuple[str, ...] = ("loomsearch", "loomsearchbot")):
-    @pandas_udf("disallow array<string>, allow array<string>, delay_ms long, sitemaps array<string>")
+    @vectorised("disallow array<string>, allow array<string>, delay_ms long, sitemaps array<string>")
     def parse(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse_robots(t, agents) for t in text], columns=["disallow", "allow", "delay_ms", "sitemaps"])
 

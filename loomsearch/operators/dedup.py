@@ -37,7 +37,7 @@ def fingerprints_of(texts: pa.Array, hasher: Callable[[bytes], int] = portable_h
     return out
 
 
-@arrow_vectorised("long")
+@arrow_vectorised("long", once=True)
 def fingerprint(text: pa.Array) -> pa.Array:
     return pa.array(fingerprints_of(text))
 

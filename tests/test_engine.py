@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,6 +257,41 @@ def test_exact_top_orders_as_its_sql(spark):
     assert vectors._nearest(df, q, 3, "vec_id", "embedding", 100).count() == 6
 
 
+def test_python_functions_take_bounded_pieces(spark):
+    """Whatever a partition holds, a function of pandas gets 2,000 rows at most and one of Arrow 2 MB; results keep their rows."""
+    from loomsearch.functions.vectorised import BATCH_ROWS, PIECE, arrow_vectorised, vectorised
+
+    df = spark.range(9000).select("id", F.repeat(F.lit("x"), 3000).alias("t")).coalesce(1)
+    rows = vectorised("long")(lambda t: t.map(lambda _: len(t)))
+    size = arrow_vectorised("long")(lambda t: pa.array([sum(len(x) for x in t.to_pylist())] * len(t)))
+    got = df.select(rows("t").alias("rows"), size("t").alias("size")).agg(F.max("rows").alias("rows"), F.max("size").alias("size"), F.count("*").alias("n")).first()
+    assert got.n == 9000 and got.rows <= BATCH_ROWS and got["size"] <= PIECE
+    texts = df.select("id", F.concat(F.col("id").cast("string"), F.lit(" "), "t").alias("t"))
+    assert texts.select("id", X.model_tokens(8)("t").alias("i")).where(F.expr("i[1] != 1000 + 0") & (F.size("i") == 4)).count() == 9000
+    ids = {r.id: r.i[1] for r in texts.select("id", X.model_tokens(8)("t").alias("i")).where("id % 1000 = 7").collect()}
+    assert ids == {k: X.model_ids(str(k), 8)[1] for k in ids}
+    assert X.model_ids("a b c d", 5) == X.model_ids("a b c", 5) and len(X.model_ids("a b c d", 5)) == 5
+
+
+def test_pages_are_parsed_once(spark, tmp_path):
+    """Filters on what the parser gave are not moved below it, which would parse each page again."""
+    from loomsearch.plans import page_queries
+
+    spark.createDataFrame([(1, "http://a.com/x", PAGE), (2, "http://b.com/", '<a href="/y">t</a><a href="z/">u</a>')], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for name in ("page_links", "anchor_texts"):
+        plan = getattr(page_queries, name)(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+    assert page_queries.frontier_count(spark, str(tmp_path)).first().urls == 2  # one of the three is not followed
+    assert "EvalPython" not in page_queries.frontier_count(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.page_id, r.href) for r in page_queries.page_links(spark, str(tmp_path)).collect()} == {(1, "x/x#f"), (2, "x/y"), (2, "x/z/")}
+
+
+def test_embedding(spark):
+    got = spark.createDataFrame([(1, "a b a"), (2, None), (3, "")], "id long, t string").select("id", vectors.embed(vectors.hashed_features, 16)("t").alias("v")).collect()
+    want = {1: vectors.hashed_features("a b a"), 2: np.zeros(16), 3: np.zeros(16)}
+    assert all(r.v == pytest.approx(np.asarray(want[r.id][:16], np.float32).tolist()) for r in got)
+
+
 def test_robots(spark):
     text = "User-agent: *\nDisallow: /admin/\nDisallow: /private/\nAllow: /admin/public/\nCrawl-delay: 2\nSitemap: http://s/m.xml"
     rules = crawl.parse_robots(text, ("me",))
