@@ -78,7 +78,7 @@ def normalise(url: str | None, base: str | None = None) -> str | None:
     return urlunsplit((scheme, place, path or "/", query, ""))
 
 
-@vectorised("string")
+@vectorised("string", once=True)
 def normalise_url(url: pd.Series) -> pd.Series:
     return url.map(normalise)
 

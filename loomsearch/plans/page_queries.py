@@ -222,7 +222,7 @@ def link_expansion(spark, sf_dir):
 @query(f"""WITH u AS (SELECT DISTINCT regexp_replace(dst, '/$', '') AS url FROM ({LINKS})) SELECT count(*) AS urls FROM u""")
 def frontier_count(spark, sf_dir):
     """The size of a frontier that all followed links were pushed into, twice."""
-    found = crawl.expand(parse.documents(load(spark, sf_dir, "pages")))
+    found = tables.saved(crawl.expand(parse.documents(load(spark, sf_dir, "pages"))), "links")
     frontier = crawl.push(spark.createDataFrame([], FRONTIER), found)
     return crawl.frontier_size(crawl.push(frontier, found))
 
