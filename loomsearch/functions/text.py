@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from loomsearch.functions.vectorised import vectorised
+from loomsearch.functions.vectorised import arrow_vectorised, vectorised
 
 INDEX_SPLIT = r"[^\p{L}\p{N}]+"
 LONGEST_TOKEN = 40
@@ -151,7 +152,7 @@ def snippet(body: pd.Series, query: pd.Series) -> pd.Series:
 
 def model_ids(text: str | None, most: int, framed: bool = True) -> list[int]:
     ids = []
-    for word in (text or "").lower().split():
+    for word in (text or "").lower().split(maxsplit=most)[:most]:
         h = 5381
         for byte in word.encode():
             h = (h * 33 + byte) & 0xFFFFFFFFFFFFFFFF
@@ -162,9 +163,9 @@ def model_ids(text: str | None, most: int, framed: bool = True) -> list[int]:
 def model_tokens(most: int):
     """ids framed by 101 and 102, cut to `most`."""
 
-    @pandas_udf("array<int>")
-    def tokens(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: model_ids(t, most))
+    @arrow_vectorised("array<int>")
+    def tokens(text: pa.Array) -> pa.Array:
+        return pa.array([model_ids(t, most) for t in text.to_pylist()], pa.list_(pa.int32()))
 
     return tokens
 
@@ -172,7 +173,7 @@ def model_tokens(most: int):
 def pair_tokens(query_most: int = 32, passage_most: int = 128):
     """ids, mask and types of 101 query 102 passage 102, padded to query_most + passage_most + 3."""
 
-    @pandas_udf("ids array<int>, mask array<int>, types array<int>")
+    @vectorised("ids array<int>, mask array<int>, types array<int>")
     def tokens(query: pd.Series, passage: pd.Series) -> pd.DataFrame:
         rows = []
         width = query_most + passage_most + 3
@@ -282,7 +283,8 @@ def stem_english(word: str) -> str:
     return w.replace("Y", "y")
 
 
-@vectorised("array<string>")
-def linguistic_tokens(text: pd.Series) -> pd.Series:
-    """NFKC, Unicode words, lower case, two bytes or more, stemmed as English."""
-    return text.map(lambda t: [stem_english(w) for w in unicode_words(t) if len(w.encode()) >= 2])
+@arrow_vectorised("array<string>")
+def linguistic_tokens(text: pa.Array) -> pa.Array:
+    """NFKC, Unicode words, lower case, two bytes or more, stemmed as English; each distinct word of a batch once."""
+    stem = functools.cache(stem_english)
+    return pa.array([[stem(w) for w in unicode_words(t) if len(w.encode()) >= 2] for t in text.to_pylist()], pa.list_(pa.string()))
