@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomsearch.functions.vectorised import tune
 from loomsearch.sources.tables import saved
 
 ROTATE_BYTES = 256 << 20
@@ -48,6 +49,7 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def records(files: DataFrame, schema: str) -> DataFrame:
     """Records of whole files (path, content)."""
+    tune(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -78,6 +80,7 @@ def write(df: DataFrame, path: str, rotate_bytes: int = ROTATE_BYTES) -> None:
     a failed task leaves nothing in the log.
     """
     spark = df.sparkSession
+    tune(spark)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
