@@ -21,6 +21,8 @@ from loomsearch.sources import tables
 from loomsearch.sources.crawl_log import with_ids
 
 BUCKETS = 64
+#: Bytes of stored documents whose postings one task sorts and writes.
+TASK_BYTES = 32 << 20
 #: Raised when segments are laid out in another way.
 FORMAT = 1
 
@@ -77,7 +79,7 @@ class Index:
         return understand.dictionary(self.postings())
 
     def commit(self, docs: DataFrame, name: str | None = None, time: str | None = None) -> bool:
-        """Adds documents (url, the searched fields, others), the last by time of each URL; False where a batch of this name is there."""
+        """Adds documents (url, the searched fields, others), the last by time of each URL; False where a batch of this name is there. docs are read twice."""
         name = name or uuid.uuid4().hex
         if "/" in name or "\\" in name or ".." in name:
             raise ValueError(f"not a batch name: {name!r}")
@@ -86,18 +88,20 @@ class Index:
             return False
         before = self._all("documents")
         start = 0 if before is None else (before.agg(F.max("doc_id")).first()[0] if before.take(1) else -1) + 1
-        one = dedup.latest(docs, "url", time, time) if time else docs.dropDuplicates(["url"])
+        # A struct, so that a document without URL has a key too. Only keys are dealt by range and numbered; the
+        # documents are shuffled once, by the same key for the choice among them and for their numbers.
+        keyed = docs.drop("doc_id").withColumn("_key", F.struct("url"))
+        ids = with_ids(keyed.select("_key").distinct(), start, "_key")
+        one = dedup.latest(keyed, "_key", time, time) if time else keyed.dropDuplicates(["_key"])
         lengths = F.struct(*[F.size(retrieval.index_tokens(F.coalesce(F.col(f), F.lit("")))).alias(f) for f in self.fields])
-        # Saved first, as dealing by range reads its input twice.
-        one = tables.saved(one.drop("doc_id"), "commit")
-        own = with_ids(one, start).withColumn("_lengths", lengths)
         new = f"{self.path}/_new-{uuid.uuid4().hex}"
-        own.write.parquet(f"{new}/documents")
-        tables.discard(one)
+        one.join(ids, "_key").drop("_key").withColumn("_lengths", lengths).write.parquet(f"{new}/documents")
         own = self.spark.read.parquet(f"{new}/documents")
-        tokens = retrieval.field_tokens(own, list(self.fields))
-        postings = retrieval.positional(tokens).withColumn("bucket", bucket_of(F.col("term"), self.buckets))
-        postings.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "term", "field", "doc_id").write.partitionBy("bucket").parquet(f"{new}/postings")
+        postings = retrieval.positional(retrieval.field_tokens(own, list(self.fields))).withColumn("bucket", bucket_of(F.col("term"), self.buckets))
+        # A bucket is dealt to many tasks by document, so that none of them grows with the index.
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), tables.size_of(self.spark, f"{new}/documents") // TASK_BYTES)
+        slices = -(-4 * parts // self.buckets)
+        postings.repartition(parts, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(slices))).sortWithinPartitions("bucket", "term", "field", "doc_id").write.partitionBy("bucket").parquet(f"{new}/postings")
         void = own.select("doc_id").limit(0) if before is None else self.documents().join(own.select("url"), "url", "left_semi").select("doc_id")
         void.write.parquet(f"{new}/void")
         return tables.rename(self.spark, new, f"{self.path}/segment-{len(have):08d}-{name}")

@@ -292,6 +292,46 @@ def test_embedding(spark):
     assert all(r.v == pytest.approx(np.asarray(want[r.id][:16], np.float32).tolist()) for r in got)
 
 
+def test_ranks_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """A round's tables would go through the driver each time."""
+    plans, saved = [], tables.saved
+    monkeypatch.setattr(linkgraph, "saved", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or saved(df, name))
+    got = linkgraph.pagerank(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "c")], "src string, dst string"), iterations=3)
+    assert sum(r.pagerank for r in got.collect()) == pytest.approx(1) and any("SortMergeJoin" in p for p in plans)
+    assert not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_postings_by_hand(spark):
+    """Terms with their positions, where the rows are; counts for unique ids, null ids and repeated ones."""
+    rows = [(1, ["b", "a", "b"]), (2, []), (None, ["a", "é"]), (3, ["c"] * 3 + ["b"])]
+    own = spark.createDataFrame(rows, "doc_id long, tokens array<string>").withColumn("field", F.lit("text")).coalesce(1)
+    got = retrieval.positional(own)
+    assert {(r.term, r.doc_id, r.tf, r.len, tuple(r.pos)) for r in got.collect()} == {("b", 1, 2, 3, (0, 2)), ("a", 1, 1, 3, (1,)), ("a", None, 1, 2, (0,)), ("é", None, 1, 2, (1,)), ("c", 3, 3, 4, (0, 1, 2)), ("b", 3, 1, 4, (3,))}
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in retrieval.term_counts(own).collect()} == {("a", 1, 2), ("b", 2, 3), ("é", 0, 1), ("c", 1, 3)}
+    assert not retrieval.repeats(own) and retrieval.repeats(own.union(own))
+
+
+def test_terms_of_repeated_ids(spark, tmp_path):
+    """Two documents of one id count once in a term's document frequency."""
+    spark.createDataFrame([(1, "a b"), (1, "a c"), (2, "a"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in text_queries.tok_terms(spark, str(tmp_path)).collect()} == {("a", 2, 3), ("b", 1, 1), ("c", 1, 1)}
+
+
+def test_index_deals_a_bucket_to_many_tasks(spark, tmp_path):
+    """No task writes a whole bucket; ids follow the URLs, and a document without URL is kept."""
+    from loomsearch.operators.index import Index
+
+    rows = [(f"u{k:03}", f"common word{k}") for k in range(200)] + [("u000", "common word0"), (None, "no url")]
+    index = Index(spark, f"file://{tmp_path}/index", {"text": 1.0}, buckets=1)
+    assert index.commit(spark.createDataFrame(rows, "url string, text string").repartition(3), "a")
+    got = [r.url for r in index.documents().orderBy("doc_id").collect()]
+    assert got == [None, *[f"u{k:03}" for k in range(200)]] and [r.doc_id for r in index.documents().select("doc_id").orderBy("doc_id").collect()] == list(range(201))
+    files = list((tmp_path / "index").glob("segment-*/postings/bucket=0/*.parquet"))
+    assert len(files) >= 3 and max(spark.read.parquet(str(f)).count() for f in files) < 200
+    assert index.postings().where("term = 'common'").count() == 200
+
+
 def test_robots(spark):
     text = "User-agent: *\nDisallow: /admin/\nDisallow: /private/\nAllow: /admin/public/\nCrawl-delay: 2\nSitemap: http://s/m.xml"
     rules = crawl.parse_robots(text, ("me",))
