@@ -34,13 +34,14 @@ def pagerank(edges_: DataFrame, teleport: dict[str, Column] | None = None, setti
     Dangling mass goes where teleport goes. All columns share one loop. Without a fixed number of
     iterations the loop ends when no column moves more than the tolerance in sum. Each round is saved
     once, and one pass over what was saved gives the dangling mass and the movement; the round before
-    is then deleted.
+    is then deleted. Ranks and edges are merged whatever their size: what is broadcast goes through the
+    driver, in every round anew.
     """
     d = settings.damping
     names = list(teleport or {"pagerank": None})
     edges_ = saved(edges_.select("src", "dst"), "edges")
     out = edges_.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out"))
-    base = nodes(edges_).join(out, "id", "left")
+    base = nodes(edges_).hint("merge").join(out, "id", "left")
     seeds = {n: (teleport or {}).get(n) for n in names}
     base = saved(base.select("id", "out", *[(F.lit(1.0) if c is None else F.when(c, 1.0).otherwise(0.0)).alias(f"t_{n}") for n, c in seeds.items()]), "nodes")
     total = base.agg(F.count("*").alias("n"), *[F.sum(f"t_{n}").alias(f"t_{n}") for n in names]).first()
@@ -54,9 +55,9 @@ def pagerank(edges_: DataFrame, teleport: dict[str, Column] | None = None, setti
         seen = ranks.agg(*measures).first()
         if iterations is None and _ and all(seen[f"d_{n}"] < settings.tolerance for n in names):
             break
-        given = edges_.join(ranks.where("out is not null").select(F.col("id").alias("src"), *[(F.col(n) / F.col("out")).alias(f"g_{n}") for n in names]), "src").groupBy(F.col("dst").alias("id")).agg(*[F.sum(f"g_{n}").alias(f"g_{n}") for n in names])
+        given = edges_.hint("merge").join(ranks.where("out is not null").select(F.col("id").alias("src"), *[(F.col(n) / F.col("out")).alias(f"g_{n}") for n in names]), "src").groupBy(F.col("dst").alias("id")).agg(*[F.sum(f"g_{n}").alias(f"g_{n}") for n in names])
         new = [((1 - d + d * seen[n]) * F.col(f"t_{n}") + d * F.coalesce(F.col(f"g_{n}"), F.lit(0.0))).alias(f"n_{n}") for n in names]
-        moved = ranks.join(given, "id", "left").select("id", "out", *[f"t_{n}" for n in names], *names, *new)
+        moved = ranks.hint("merge").join(given, "id", "left").select("id", "out", *[f"t_{n}" for n in names], *names, *new)
         moved = moved.select("id", "out", *[f"t_{n}" for n in names], *[F.col(f"n_{n}").alias(n) for n in names], *[F.abs(F.col(f"n_{n}") - F.col(n)).alias(f"d_{n}") for n in names])
         before, ranks = ranks, saved(moved, "ranks")
         discard(before)

@@ -106,9 +106,9 @@ def topic_pagerank(spark, sf_dir):
 @query()
 def page_pagerank(spark, sf_dir):
     """The page graph with its topic vectors, until they are stable: all link targets dangle."""
-    edges = page_edges(spark, sf_dir)
+    edges = tables.saved(page_edges(spark, sf_dir), "links")  # pages are parsed once for both
     own = linkgraph.pagerank(edges)
-    return own.join(linkgraph.topic_pagerank(edges), "id")
+    return own.hint("merge").join(linkgraph.topic_pagerank(edges), "id")
 
 
 @query(f"WITH {EDGES_SQL} SELECT id, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree FROM (SELECT dst AS id, count(*) AS i FROM e GROUP BY dst) FULL JOIN (SELECT src AS id, count(*) AS o FROM e GROUP BY src) USING (id)")
@@ -193,7 +193,9 @@ def _found(spark, sf_dir) -> DataFrame:
     state = tables.state_of(load(spark, sf_dir, "pages"))
     index = Index(spark, f"{shared_dir(spark)}/pages-index-{FORMAT}-{state}", buckets=8)
     if not index.segments():
-        index.commit(search_docs(spark, sf_dir), "pages")
+        docs = tables.saved(search_docs(spark, sf_dir), "parsed")  # the index reads them twice
+        index.commit(docs, "pages")
+        tables.discard(docs)
     return S.search(index.documents(), _asked(spark), F.timestamp_seconds(F.lit(1704067200 + 40 * 86400)), words=index.dictionary(), index=index)
 
 
